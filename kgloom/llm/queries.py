@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions.ids import id_long, plain_id, plain_id_sql
 from kgloom.functions.labels import FILLERS
-from kgloom.llm import capping, consolidate, fusion, topn
+from kgloom.llm import capping, consolidate, fusion, leakage, mixing, sentences, topn
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -151,6 +151,40 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(now, 5, "cut_id", "candidate_score", "move_id", "selection_rank")
 
 
+# p6
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the evaluation items that leaked into them."""
+    return leakage.contaminated(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+
+
+def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each affected document is leaked, and whether to drop it or cut the runs out."""
+    return leakage.coverage(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+
+
+# p7
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of the mix with its tokens and how often it is used."""
+    return mixing.mix(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What each source was asked for and what it reached."""
+    return mixing.mix(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[1]
+
+
+# p8
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Offsets of the sentence units of every document."""
+    return sentences.sentences(_table(spark, d, "documents"))
+
+
 SQL = {
     "p1_found": f"WITH {_P1_SQL} SELECT run_id, move_id FROM m WHERE gone",
     "p1_shares": f"""WITH {_P1_SQL} SELECT run_id, count(*) AS edges, count(*) FILTER (WHERE NOT gone) AS kept_edges, count(*) FILTER (WHERE NOT gone AND r = 'P17') AS p17_edges,
@@ -167,4 +201,4 @@ r AS (SELECT cut_id, move_id, row_number() OVER (PARTITION BY cut_id ORDER BY ca
 SELECT * FROM r WHERE selection_rank <= 5""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p1_kept, p2_found, p2_sizes, p4_found, p4_fused, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p1_kept, p2_found, p2_sizes, p4_found, p4_fused, p5_found, p6_found, p6_coverage, p7_mix, p7_shares, p8_found)}
