@@ -54,7 +54,7 @@ def over_cap(edges: DataFrame, caps: DataFrame) -> tuple[DataFrame, DataFrame]:
     final = merged.repartition(parts, "scope", "contributor")
     kept = _ranked(final).where(F.col("_rank") <= F.col("cap")).select("ident")
     if not rows.where(F.col("cap") > HEAP_CAP).isEmpty():
-        worst = F.coalesce(F.isnan("score"), F.lit(True))
+        worst = F.col("score").isNull() | F.isnan("score")
         large = rows.where(F.col("cap") > HEAP_CAP).withColumn("_worst", worst).withColumn("_neg", F.when(~worst, -F.col("score")))
         run = running_totals(large, ["scope", "contributor"], [F.col("_worst"), F.col("_neg"), F.col("ident")], total="_rank")
         kept = kept.unionByName(run.where(F.col("_rank") <= F.col("cap")).select("ident"))

@@ -144,16 +144,18 @@ def evidence(rows: Iterable[tuple[str, str, int]], state: State, n_false: int) -
     return out
 
 
-def updated(sums: dict[tuple[str, str, str, str], float], n_false: int, prior: float) -> State:
+def updated(sums: dict[tuple[str, str, str, str], float], n_false: int, prior: float, first: bool = False) -> State:
     """Accuracies and copying probabilities of each field from the summed evidence.
 
     Copying is judged by how often two sources share values that are probably false: rare for independent sources, common for a copier.
+    In the ``first`` round nothing is known of what is false (a clique of copiers may outvote everybody), so accuracies stay as they are
+    and only agreement as such counts: copiers agree more often than independent sources can.
     """
     state: State = {}
     for field, kind, s, _ in sums:
         accuracy, _ = state.setdefault(field, ({}, {}))
         if kind == "told":
-            accuracy[s] = min(0.99, max(0.05, (sums.get((field, "right", s, ""), 0.0) + 1.6) / (sums[field, "told", s, ""] + 2)))
+            accuracy[s] = START if first else min(0.99, max(0.05, (sums.get((field, "right", s, ""), 0.0) + 1.6) / (sums[field, "told", s, ""] + 2)))
     for field, a, b in {(f, a, b) for f, _, a, b in sums if b}:
         accuracy, copying = state[field]
         t, f = accuracy[a] * accuracy[b], (1 - accuracy[a]) * (1 - accuracy[b]) / n_false
@@ -161,6 +163,9 @@ def updated(sums: dict[tuple[str, str, str, str], float], n_false: int, prior: f
         alone = (math.log(t), math.log(f), math.log(d))
         copied = (math.log(COPIED * mean + (1 - COPIED) * t), math.log(COPIED * (1 - mean) + (1 - COPIED) * f), math.log((1 - COPIED) * d))
         seen = [sums.get((field, k, a, b), 0.0) for k in ("true", "false", "differ")]
+        if first:
+            alone = (math.log(t + f),) * 2 + (math.log(d),)
+            copied = (math.log(COPIED + (1 - COPIED) * (t + f)),) * 2 + (math.log((1 - COPIED) * d),)
         gap = math.log(prior / (1 - prior)) + sum(k * (y - x) for k, x, y in zip(seen, alone, copied, strict=True))
         copying[a, b] = 1 / (1 + math.exp(-max(-50.0, min(50.0, gap))))
     return state
@@ -176,7 +181,7 @@ def fuse(records: DataFrame, source: str, rounds: int = 6, n_false: int = 10, pr
     per, freqs = patterns(claims(records, source))
     freqs = cut(freqs)
     state: State = {}
-    for _ in range(rounds):
+    for turn in range(rounds):
         now = state
 
         def part(batches: Iterator[pd.DataFrame], now: State = now) -> Iterator[pd.DataFrame]:
@@ -187,7 +192,7 @@ def fuse(records: DataFrame, source: str, rounds: int = 6, n_false: int = 10, pr
         got = {(r.field, r.kind, r.a, r.b): r.w for r in sums.limit(3 * 4 * MAX_SOURCES**2).collect()}
         if len({a for _, _, a, _ in got}) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources: name kinds of sources, not records")
-        state = updated(got, n_false, prior)
+        state = updated(got, n_false, prior, first=turn == 0)
     done = state
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
