@@ -114,7 +114,8 @@ def heavy_keys(freqs: DataFrame, scope: str, key: str, parts: int, of: int, freq
 
     Rows without a key count in the total but are no key. At most of/parts rows per scope come out.
     """
-    per = freqs.groupBy(scope, key).agg(F.sum(freq).alias("n_rows"))
+    # "has a key" is asked after aggregation: a filter pushed below it would make the total a second scan
+    per = freqs.groupBy(scope, key).agg(F.sum(freq).alias("n_rows"), F.count(key).alias("_named"))
     total = per.groupBy(F.col(scope).alias("_scope")).agg(F.sum("n_rows").alias("_total"))
-    out = per.where(F.col(key).isNotNull()).join(total, F.col(scope) == F.col("_scope"))
+    out = per.where(F.col("_named") > 0).join(total, F.col(scope) == F.col("_scope"))
     return out.where(F.col("n_rows") * of >= F.col("_total") * parts).select(scope, key, "n_rows")
