@@ -36,4 +36,5 @@ def micros(col: Column | str) -> Column:
     offset = c.rlike(r"([zZ]|[+-][0-9]{2}:?[0-9]{2})$") & c.rlike(r"[0-9]:[0-9]")
     stamp = F.when(offset, c).when(c.rlike(r"[0-9]:[0-9]"), F.concat(c, F.lit("Z"))).otherwise(F.concat(c, F.lit("T00:00:00Z")))
     stamp = F.regexp_replace(F.regexp_replace(stamp, "z$", "Z"), r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
-    return F.when(number, F.round(c.try_cast("double") * 1_000_000).try_cast("long")).otherwise(F.unix_micros(stamp.try_cast("timestamp")))
+    dated = c.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}")  # a bare time of day would be read as today's
+    return F.when(number, F.round(c.try_cast("double") * 1_000_000).try_cast("long")).when(dated, F.unix_micros(stamp.try_cast("timestamp")))

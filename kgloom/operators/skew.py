@@ -45,11 +45,12 @@ def profile(freqs: DataFrame, keys: Sequence[str], value: str, freq: str = "freq
         out = freqs.groupBy(*keys).agg(*aggs)
         return out.withColumn("mean_value", F.col("sum_value") / F.when(F.col("n_values") > 0, F.col("n_values")))
     # text can't be negated: take the highest frequency first, then the smallest value that has it, both mergeable
-    top = freqs.groupBy(*keys).agg(*aggs, F.max(F.when(v.isNotNull(), n)).alias("_top"))
-    best = freqs.where(v.isNotNull()).groupBy(*keys, freq).agg(F.min(v).alias("mode_value")).withColumnRenamed(freq, "_top")
-    cond = [top[k].eqNullSafe(best[k]) for k in keys] + [top["_top"] == best["_top"]]
+    inner = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]  # a key may be called like one of the results
+    top = freqs.groupBy(*inner).agg(*aggs, F.max(F.when(v.isNotNull(), n)).alias("_top"))
+    best = freqs.where(v.isNotNull()).groupBy(*inner, n.alias("_n")).agg(F.min(v).alias("mode_value"))
+    cond = [top[f"_k{i}"].eqNullSafe(best[f"_k{i}"]) for i in range(len(keys))] + [top["_top"] == best["_n"]]
     joined = top.join(best, _all(cond), "left")
-    return joined.select(*[top[k] for k in keys], "n_rows", "n_values", "n_distinct", best["mode_value"])
+    return joined.select(*[top[f"_k{i}"].alias(k) for i, k in enumerate(keys)], "n_rows", "n_values", "n_distinct", best["mode_value"])
 
 
 def _all(conds: list[Column]) -> Column:
