@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.operators.skew import skew_join
+from kgloom.operators.unionfind import BOUND, forest
 from kgloom.session import cut, drop_cut
 
 
@@ -24,23 +24,29 @@ def _state(df: DataFrame) -> tuple[int, int]:
     return r.n, r.x
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None, bound: int = BOUND) -> DataFrame:
     """(node, component): component is the smallest node that a node is linked to directly or through others.
 
-    Alternates large-star and small-star steps: every node links its larger neighbours to its smallest one, then its smaller neighbours to
-    the smallest; the number of rounds grows with the logarithm of the graph. ``nodes`` (one column) adds nodes that may have no edge.
+    Partitions of at most ``bound`` edges are contracted to stars by union-find first. If there are several, large-star and small-star
+    steps alternate on what is left: every node links its larger neighbours to its smallest one, then its smaller neighbours to the smallest;
+    the rounds grow with the logarithm of the graph. Hubs make skewed joins, which adaptive execution splits. ``nodes`` (one column) adds
+    nodes that may have no edge.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = _state(e)
+    parts = -(-e.count() // bound)
+    if parts:
+        kind = e.schema["u"].dataType.simpleString()
+        spread = e.coalesce(1) if parts == 1 else e.repartitionByRange(parts, "v", "u")
+        e = cut(spread.mapInArrow(forest, f"u {kind}, v {kind}").where("u <> v"))
+    seen = _state(e) if parts > 1 else (0, 0)
     while seen[0]:
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = both.groupBy(F.col("x").alias("_x")).agg(F.min(F.least("x", "y")).alias("m"))
-        large = skew_join(both.where("y > x"), low, [("x", "_x")]).select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        # a node without larger neighbours is covered from their side; what is small enough is linked in the second step
-        large = cut(large)
-        least = large.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"))
-        small = skew_join(large, least, [("u", "_u")]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = cut(small.unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))).distinct())
+        low = both.groupBy("x").agg(F.min(F.least("x", "y")).alias("m"))
+        # a node without larger neighbours is covered from their side
+        large = cut(both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = _state(after)
         drop_cut(large)
         drop_cut(e)

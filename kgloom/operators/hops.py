@@ -57,21 +57,38 @@ def two_paths(triples: DataFrame) -> DataFrame:
     return a.join(b, "y").select("h", "r1", "r2", "t")
 
 
+def shortcuts(triples: DataFrame) -> DataFrame:
+    """(r1, r2, r3, x, y, z): every chain that an edge r3 joins directly, each edge looking for its middles from the end with fewer edges."""
+    k = triples.select("h", "r", "t")
+    d_out = k.groupBy(F.col("h").alias("x")).agg(F.count(F.lit(1)).alias("_o"))
+    d_in = k.groupBy(F.col("t").alias("z")).agg(F.count(F.lit(1)).alias("_i"))
+    direct = k.select(F.col("h").alias("x"), F.col("r").alias("r3"), F.col("t").alias("z")).join(d_out, "x").join(d_in, "z")
+    first = k.select(F.col("h").alias("x"), F.col("r").alias("r1"), F.col("t").alias("y"))
+    second = k.select(F.col("h").alias("y"), F.col("r").alias("r2"), F.col("t").alias("z"))
+    found = direct.where("_o <= _i").join(first, "x").join(second, ["y", "z"]).select("r1", "r2", "r3", "x", "y", "z")
+    return found.unionByName(direct.where("_o > _i").join(second, "z").join(first, ["x", "y"]).select("r1", "r2", "r3", "x", "y", "z"))
+
+
 def composition(triples: DataFrame) -> DataFrame:
     """(r1, r2, r3, examined, shortcuts, missing, confidence): of the distinct (x, z) joined by r1 and r2, how many r3 joins directly.
 
-    Only rows with a shortcut. Chains that can have one start and end like an edge, so edges are probed: each chain is checked against the
-    edges of its start by (x, z), never listed against all relations.
+    Only rows with a shortcut. Chains are counted by compression; two chains of r1 and r2 can only share both ends if the start has several
+    r1 edges and the end several r2 edges, so only these are listed to be told apart. Shortcuts come from :func:`shortcuts`.
     """
-    k = triples
-    a = k.select(F.col("h").alias("x"), F.col("r").alias("r1"), F.col("t").alias("y"))
-    b = k.select(F.col("h").alias("y"), F.col("r").alias("r2"), F.col("t").alias("z"))
-    chain = a.join(b, "y").select("r1", "r2", "x", "z").distinct()
-    examined = chain.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("examined"))
-    direct = k.select(F.col("h").alias("x"), F.col("r").alias("r3"), F.col("t").alias("z"))
-    short = chain.join(direct, ["x", "z"]).groupBy("r1", "r2", "r3").agg(F.count(F.lit(1)).alias("shortcuts"))
-    out = short.join(examined, ["r1", "r2"])
-    return out.select("r1", "r2", "r3", "examined", "shortcuts", (F.col("examined") - F.col("shortcuts")).alias("missing"), (F.col("shortcuts") / F.col("examined")).alias("confidence"))
+    k = triples.select("h", "r", "t")
+    into, out = _ends(k)
+    total = into.join(out, "y").groupBy("r1", "r2").agg(F.sum(F.col("n_in") * F.col("n_out")).alias("_all"))
+    many_out = k.groupBy("h", "r").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    many_in = k.groupBy("t", "r").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    a = k.join(many_out, ["h", "r"], "left_semi").select(F.col("h").alias("x"), F.col("r").alias("r1"), F.col("t").alias("y"))
+    b = k.join(many_in, ["t", "r"], "left_semi").select(F.col("h").alias("y"), F.col("r").alias("r2"), F.col("t").alias("z"))
+    per = a.join(b, "y").groupBy("r1", "r2", "x", "z").agg(F.count(F.lit(1)).alias("_n"))
+    surplus = per.groupBy("r1", "r2").agg(F.sum(F.col("_n") - 1).alias("_more"))
+    examined = total.join(surplus, ["r1", "r2"], "left").select("r1", "r2", (F.col("_all") - F.coalesce("_more", F.lit(0))).alias("examined"))
+
+    short = shortcuts(k).select("r1", "r2", "r3", "x", "z").distinct().groupBy("r1", "r2", "r3").agg(F.count(F.lit(1)).alias("shortcuts"))
+    m = short.join(examined, ["r1", "r2"])
+    return m.select("r1", "r2", "r3", "examined", "shortcuts", (F.col("examined") - F.col("shortcuts")).alias("missing"), (F.col("shortcuts") / F.col("examined")).alias("confidence"))
 
 
 def relation_symmetry(triples: DataFrame) -> DataFrame:

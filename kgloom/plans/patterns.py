@@ -58,9 +58,7 @@ def _examples(s, d):
     """Up to three witness pairs of every composition, smallest first."""
     from pyspark.sql import Window
 
-    k = triples(s, d)
-    a, b = k.select(F.col("h").alias("x"), F.col("r").alias("r1"), F.col("t").alias("y")), k.select(F.col("h").alias("y"), F.col("r").alias("r2"), F.col("t").alias("z"))
-    short = a.join(b, "y").join(k.select(F.col("h").alias("x"), F.col("r").alias("r3"), F.col("t").alias("z")), ["x", "z"]).groupBy("r1", "r2", "r3", "x", "z").agg(F.min("y").alias("witness"))
+    short = H.shortcuts(triples(s, d)).groupBy("r1", "r2", "r3", "x", "z").agg(F.min("y").alias("witness"))
     w = Window.partitionBy("r1", "r2", "r3").orderBy("x", "z")
     return short.withColumn("place", F.row_number().over(w)).where("place <= 3")
 

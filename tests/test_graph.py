@@ -29,7 +29,16 @@ def graph(seed, n=40, m=48):
     return sorted({(f"n{a:03d}", f"r{r.randrange(4)}", f"n{b:03d}") for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(m))})
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("shape", ["random", "path", "hub"])
+def test_star_rounds_after_bounded_contraction(spark, shape):
+    r = random.Random(5)
+    edges = {"random": [(h, t) for h, _, t in graph(8, 60, 50)], "path": [(f"{i:03d}", f"{i + 1:03d}") for i in range(40)], "hub": [("m", f"{i:03d}") for i in range(30)] + [("zz", "z1")]}[shape]
+    r.shuffle(edges)
+    got = {tuple(x) for x in G.components(spark.createDataFrame(edges, "a string, b string"), bound=12).collect()}
+    assert got == set(find(edges).items())
+
+
+@pytest.mark.parametrize("seed", [1])
 def test_components_and_bridges(spark, seed):
     k = graph(seed)
     df = spark.createDataFrame(k, "h string, r string, t string")
