@@ -28,7 +28,7 @@ CC = f"WITH RECURSIVE {TRIPLES_SQL}, {_cc_sql('cc', 'k')}"
 
 
 def members(s, d, name="candidates"):
-    k = triples(s, d, name)
+    k = cut(triples(s, d, name))
     return cut(G.components(G.simple_edges(k), T.entities(k)))
 
 
