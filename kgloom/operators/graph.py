@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgloom.operators.skew import running_totals
 from kgloom.operators.unionfind import BOUND, forest
 from kgloom.session import cut, drop_cut
 
@@ -158,3 +159,64 @@ def two_edge_components(edges: DataFrame, bridge: DataFrame | None = None) -> Da
 def bridge_forest(members: DataFrame, bridge: DataFrame) -> DataFrame:
     """Bridges as edges (ca, cb) between two-edge components, with their ends."""
     return bridge.select("a", "b", "side").join(members.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(members.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+
+
+def _up(levels: DataFrame, deepest: int, folds: dict[str, tuple]) -> DataFrame:
+    """``levels`` (node, parent, depth, …) with columns folded over each node's subtree, level by level from the deepest. ``folds``: column ->
+    (aggregate of the children's values, how to join it to the node's own)."""
+    done: list[DataFrame] = []
+    below: DataFrame | None = None
+    for depth in range(deepest, -1, -1):
+        own = levels.where(F.col("depth") == depth)
+        if below is not None:
+            up = below.groupBy(F.col("parent").alias("_n")).agg(*[agg(F.col(c)).alias(f"_{c}") for c, (agg, _) in folds.items()])
+            own = own.join(up, F.col("node") == F.col("_n"), "left").drop("_n")
+            own = own.withColumns({c: F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(both(F.col(c), F.col(f"_{c}"))) for c, (_, both) in folds.items()}).drop(*[f"_{c}" for c in folds])
+        below = cut(own)
+        done.append(below)
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return cut(out)
+
+
+def blocks(edges: DataFrame) -> DataFrame:
+    """(node, block): the two-node-connected parts each node of an edge belongs to; a bridge is a block of its own.
+
+    A tree edge is named by its lower node. Two tree edges share a block if an edge outside of the tree says so: one that leaves a subtree
+    past its parent's, or one between unrelated subtrees. Numbers that tell subtrees apart (place in preorder, size) and the span that each
+    subtree's edges reach are computed level by level; places among siblings come from range pieces, so a hub's children need no single task.
+    """
+    members = cut(components(edges))
+    tree = spanning_tree(edges, members)
+    deepest = tree.agg(F.max("depth").alias("d")).collect()[0].d or 0
+    sized = _up(tree.withColumn("size", F.lit(1).cast("long")), deepest, {"size": (F.sum, lambda a, b: a + b)})
+    kids = running_totals(sized.where("parent IS NOT NULL").select("parent", "node", "size"), ["parent"], [F.col("node")], F.col("size"), "_upto").select("node", (F.col("_upto") - F.col("size")).alias("_off"))
+    placed = cut(sized.join(kids, "node", "left"))
+    level = cut(placed.where("depth = 0").select("node", "parent", "depth", "size", F.lit(0).cast("long").alias("pre")))
+    levels = level
+    for depth in range(1, deepest + 1):
+        above = level.select(F.col("node").alias("parent"), F.col("pre").alias("_p"))
+        level = cut(placed.where(F.col("depth") == depth).join(above, "parent").select("node", "parent", "depth", "size", (F.col("_p") + 1 + F.col("_off")).alias("pre")))
+        levels = levels.unionByName(level)
+    levels = cut(levels)
+    tied = levels.where("parent IS NOT NULL").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
+    num = levels.select("node", "pre", "size")
+    end = lambda c: num.select(F.col("node").alias(c), F.col("pre").alias(f"pre_{c}"), F.col("size").alias(f"size_{c}"))
+    extra = cut(edges.select("a", "b").join(tied, ["a", "b"], "left_anti").join(end("a"), "a").join(end("b"), "b"))
+    seen = extra.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("pre_b").alias("p")), F.struct(F.col("b").alias("n"), F.col("pre_a").alias("p")))).alias("x")).groupBy(F.col("x.n").alias("_n")).agg(F.min("x.p").alias("_lo"), F.max("x.p").alias("_hi"))
+    own = levels.join(seen, F.col("node") == F.col("_n"), "left").select("node", "parent", "depth", "size", "pre", F.least("pre", "_lo").alias("low"), F.greatest("pre", "_hi").alias("high"))
+    span = _up(own, deepest, {"low": (F.min, F.least), "high": (F.max, F.greatest)})
+    parent = num.select(F.col("node").alias("_q"), F.col("pre").alias("_qp"), F.col("size").alias("_qs"))
+    inner = span.where("parent IS NOT NULL").join(span.where("parent IS NOT NULL").select(F.col("node").alias("_inner")), F.col("parent") == F.col("_inner"), "left_semi").join(parent, F.col("parent") == F.col("_q"))
+    leave = inner.where((F.col("low") < F.col("_qp")) | (F.col("high") >= F.col("_qp") + F.col("_qs"))).select(F.col("node").alias("a"), F.col("parent").alias("b"))
+    apart = extra.where("pre_a + size_a <= pre_b OR pre_b + size_b <= pre_a").select("a", "b")
+    lower = span.where("parent IS NOT NULL").select("node", "parent")
+    named = components(leave.unionByName(apart), lower.select("node"))
+    of = lower.join(named.withColumnRenamed("component", "block"), "node")
+    return of.select(F.explode(F.array("node", "parent")).alias("node"), "block").distinct()
+
+
+def articulation_points(edges: DataFrame) -> DataFrame:
+    """(node, blocks): nodes whose removal parts their component, with the number of blocks that meet there."""
+    return blocks(edges).groupBy("node").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")

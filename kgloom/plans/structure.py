@@ -11,6 +11,7 @@ from kgloom.operators import candidates as N
 from kgloom.operators import construct as B
 from kgloom.operators import graph as G
 from kgloom.operators import triples as T
+from kgloom.operators import vectors as V
 from kgloom.plans.evidence import annotated
 from kgloom.plans.registry import Registry
 from kgloom.session import cut
@@ -70,6 +71,14 @@ R.add("two_edge_components", lambda s, d: _two_edge(s, d)[0])
 R.add("bridge_forest", lambda s, d: G.bridge_forest(*_two_edge(s, d)))
 
 
+R.add("articulation_points", lambda s, d: G.articulation_points(cut(G.simple_edges(triples(s, d)))))
+R.add("vector_centrality", lambda s, d: V.centrality(table(s, d, "embeddings"), "vec_id", "label", "embedding").withColumn("centrality", F.round("centrality", 5)), """WITH f AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT label, i, avg(x) AS m FROM f GROUP BY 1, 2) SELECT vec_id, label, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 5) AS centrality FROM f JOIN m USING (label, i) GROUP BY 1, 2""")
+R.add("vectors_most_central", lambda s, d: V.most_central(table(s, d, "embeddings"), "vec_id", "label", "embedding", 5).select("vec_id", "label", "place"), """WITH f AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT label, i, avg(x) AS m FROM f GROUP BY 1, 2), c AS (SELECT vec_id, label, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 6) AS c FROM f JOIN m USING (label, i) GROUP BY 1, 2)
+SELECT vec_id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY c DESC, vec_id) AS INTEGER) AS place FROM c QUALIFY place <= 5""")
+
+
 def _structure(s, d):
     """One row of structural measures of the candidate graph."""
     k = cut(triples(s, d))

@@ -62,6 +62,39 @@ def test_components_and_bridges(spark, seed):
     assert two == {(v, c) for v, c in find([(v, v) for v in ends] + list(pairs - bridge)).items()}
 
 
+def test_articulation_points(spark):
+    k = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("d", "f"), ("f", "g"), ("x", "y"), ("y", "z"), ("x", "z"), ("b", "z1"), ("b", "z2"), ("z1", "z2")]
+    r = random.Random(3)
+    k += [tuple(sorted(r.sample([f"n{i:02d}" for i in range(22)], 2))) for _ in range(26)]
+    k = sorted(set(k))
+    nodes = {v for e in k for v in e}
+    n = len(set(find(k).values()))
+    want = {v for v in nodes if len(set(find([(u, u) for u in nodes - {v}] + [e for e in k if v not in e]).values())) > n}
+    # a node without neighbours left counts as a part less, so isolated ends don't make their neighbour's count wrong
+    got = {x.node for x in G.articulation_points(spark.createDataFrame(k, "a string, b string")).collect()}
+    assert got == want
+
+
+def test_driver_side_exact_problems():
+    from kgloom.operators.matching import best_subset, largest_matching
+
+    r = random.Random(1)
+    for _ in range(60):
+        opt = {f"l{i}": [f"r{r.randrange(6)}" for _ in range(r.randrange(4))] for i in range(7)}
+        m = largest_matching(opt)
+        assert all(v in opt[k] for k, v in m.items()) and len(set(m.values())) == len(m)
+
+        def most(keys, used=frozenset()):
+            if not keys:
+                return 0
+            return max([most(keys[1:], used)] + [1 + most(keys[1:], used | {x}) for x in opt[keys[0]] if x not in used])
+
+        assert len(m) == most(list(opt))
+    assert best_subset([3, -1, 4, 2], 2, sum) == (3, 4)
+    with pytest.raises(ValueError, match="at most"):
+        best_subset(range(30), 2, sum)
+
+
 def test_long_path_and_nothing(spark):
     path = [(f"{i:04d}", f"{i + 1:04d}") for i in range(60)]
     random.Random(1).shuffle(path)
