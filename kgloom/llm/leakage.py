@@ -265,3 +265,81 @@ def coverage(documents: DataFrame, items: DataFrame, drop_from: float = 0.5) ->
     share = F.col("leaked_units") / F.col("n_units")
     out = out.groupBy("doc_id").agg(F.max_by(F.struct("leaked_units", "n_units"), F.struct(share, F.col("leaked_units"))).alias("x")).select("doc_id", "x.leaked_units", "x.n_units")
     return out.withColumn("share", F.round(share, 6)).withColumn("verdict", F.when(share >= drop_from, "drop").otherwise("cut"))
+
+
+_ATOM = regex.compile(r"&#?\w{1,32};?|</?[a-zA-Z][^<>]*>|<!--.*?-->|\*+|`+|~~|.\p{M}*[ᅠ-ᇿ]*", regex.S)
+
+
+def located(text: str) -> tuple[str, list[int], list[int]]:
+    """The normalised text with the place [start, end) in ``text`` that each of its characters comes from.
+
+    Entities, tags and base characters with their marks are normalised one by one. Where that differs from normalising the whole (exotic
+    compositions), every character of the result stands for the whole text, so a cut is too large rather than too small.
+    """
+    pieces: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
+    for m in _ATOM.finditer(text):
+        norm = normalised(m[0])
+        pieces.append(norm)
+        starts.extend([m.start()] * len(norm))
+        ends.extend([m.end()] * len(norm))
+    whole = normalised(text)
+    if "".join(pieces) != whole:
+        return whole, [0] * len(whole), [len(text)] * len(whole)
+    return whole, starts, ends
+
+
+def without_runs(text: str, pair: tuple[Automaton, Automaton], drop_from: float = 0.5) -> str | None:
+    """``text`` without its leaked runs (with the marks between their units), or None where they cover ``drop_from`` of its units or more.
+
+    Cutting repeats until no run is left, since what stood around a run may join to another.
+    """
+    by_word, by_char = pair
+    for turn in range(100):
+        norm, starts, ends = located(text)
+        cuts: list[tuple[int, int]] = []
+        for automaton, unit in ((by_word, _WORD), (by_char, _UNIT)):
+            if not automaton.items or (automaton is by_char and not (by_char.plain_run or _UNSPACED.search(norm))):
+                continue
+            at = list(unit.finditer(norm))
+            _, spans = automaton.matches([m[0] for m in at])
+            if turn == 0 and at and sum(e - s for s, e in spans) >= drop_from * len(at):
+                return None
+            cuts += [(starts[at[s].start()], ends[at[e - 1].end() - 1]) for s, e in spans]
+        if not cuts:
+            return text
+        kept, last = [], 0
+        for s, e in sorted(cuts):
+            if s > last:
+                kept.append(text[last:s])
+            last = max(last, e)
+        text = "".join(kept) + text[last:]
+    return None
+
+
+def cleaned(documents: DataFrame, items: DataFrame, drop_from: float = 0.5) -> DataFrame:
+    """``doc_id``, ``text`` of every affected document without its leaked runs, NULL where the document is to be dropped.
+
+    With several blocks of items the runs of each block are cut in turn; a document dropped once stays dropped.
+    """
+    spark = documents.sparkSession
+    docs = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    rows = ((r.item_id, r.passage) for r in items.where(F.col("passage").isNotNull()).select("item_id", "passage").orderBy("item_id").toLocalIterator())
+
+    def cutter(pair: object) -> object:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automata = pair.value  # type: ignore[attr-defined]
+            for b in batches:
+                texts = b.column(1).to_pylist()
+                hit = [t is not None and bool(leaks(t, automata)) for t in texts]
+                out = [without_runs(t, automata, drop_from) if h else t for t, h in zip(texts, hit, strict=True)]
+                touched = [a or h for a, h in zip(b.column(2).to_pylist(), hit, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(touched, pa.bool_())], names=["doc_id", "text", "touched"])
+
+        return run
+
+    out = docs.withColumn("touched", F.lit(False))
+    for pair in blocks(rows):
+        out = out.mapInArrow(cutter(spark.sparkContext.broadcast(pair)), "doc_id long, text string, touched boolean")
+    return out.where("touched").select("doc_id", "text")

@@ -164,6 +164,11 @@ def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
     return leakage.coverage(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
 
 
+def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every affected document without its leaked runs; NULL text where so much is leaked that the document is to be dropped."""
+    return leakage.cleaned(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+
+
 # p7
 
 
@@ -201,4 +206,4 @@ r AS (SELECT cut_id, move_id, row_number() OVER (PARTITION BY cut_id ORDER BY ca
 SELECT * FROM r WHERE selection_rank <= 5""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p1_kept, p2_found, p2_sizes, p4_found, p4_fused, p5_found, p6_found, p6_coverage, p7_mix, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p1_kept, p2_found, p2_sizes, p4_found, p4_fused, p5_found, p6_found, p6_coverage, p6_cleaned, p7_mix, p7_shares, p8_found)}

@@ -53,3 +53,22 @@ def test_blocks_find_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(d, " ".join(f"w{d}x{k}" for k in range(1, 12))) for d in range(9)], "doc_id long, text string")
     monkeypatch.setattr(L, "BLOCK_UNITS", 30)
     assert {tuple(x) for x in L.contaminated(docs, items).collect()} == {(d, d) for d in range(9)}
+
+
+def test_cutting(spark):
+    a = [f"word{k}x" for k in range(30)]
+    zh = "艾科艾奥并入沙伦加哈时塔洛温伦的渡口局只留下九百四十四份契约并把其余交给内哈"
+    items = spark.createDataFrame([(1, " ".join(a)), (2, zh)], "item_id long, passage string")
+    pad = "Something else entirely stands here and goes on for quite a while, so little of it is leaked. "
+    leak = "<b>" + ",&nbsp;".join(x.upper() for x in a[3:15]) + "</b>"
+    docs = spark.createDataFrame([(1, pad + leak + "! " + pad), (2, leak), (3, pad), (4, pad * 3 + "见“" + zh[2:24] + "”吗？"), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in L.cleaned(docs, items).collect()}
+    assert got == {1: pad + "<b></b>! " + pad, 2: None, 4: pad * 3 + "见“”吗？"}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("aB é́ß&amp;<b>*`ﬁ각가​Å名ก้ำ", max_size=40))
+def test_places_cover_the_text(text):
+    norm, starts, ends = L.located(text)
+    assert norm == L.normalised(text) and len(norm) == len(starts) == len(ends)
+    assert all(0 <= s < e <= len(text) for s, e in zip(starts, ends, strict=True))
