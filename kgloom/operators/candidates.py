@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kgloom.operators.triples import incidence
 
 
+# Thresholds and weights of the genericity score.
 @dataclass(frozen=True)
 class GenericitySettings:
     support: float = 1e-12
@@ -47,6 +48,7 @@ def genericity(alloc: DataFrame, matrix: DataFrame, settings: GenericitySettings
     return s.select("relation", "coverage_score", "mass_score", "volume_score", "manual_risk", "genericity_score", bucket.alias("genericity_bucket"))
 
 
+# How many candidates a relation may keep by its budget.
 @dataclass(frozen=True)
 class CollectionSettings:
     alpha: int = 5
@@ -56,6 +58,7 @@ class CollectionSettings:
     small: int = 200
 
 
+# The risk of each bucket, and the weights of the quality score below.
 def shortcut_risk(bucket: Column) -> Column:
     return F.when(bucket == "low", 0.1).when(bucket == "medium", 0.4).when(bucket == "high", 0.8)
 
@@ -121,6 +124,7 @@ def seeds(candidates: DataFrame, alloc: DataFrame, hard: int, per_relation: int,
     return low.unionByName(top).groupBy("h", "r", "t").agg(F.max("kind").alias("kind"))
 
 
+# Weights of the census score.
 SCORE_WEIGHTS = {"relation": 5.0, "pattern": 2.5, "symmetric": 4.0, "reuse": 1.0, "density": 1.0, "redundancy": 1.0, "composition": 6.0, "generic": 1.5, "new_entity": 2.0}
 
 

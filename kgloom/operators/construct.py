@@ -17,6 +17,7 @@ from kgloom.operators.triples import degrees, incidence
 from kgloom.session import cut
 
 
+# Weights of the selection score.
 @dataclass(frozen=True)
 class GreedyWeights:
     need: float = 3.0
