@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgloom.operators.lowlink import articulation_rows, bridge_rows, tree_rows
 from kgloom.operators.skew import running_totals
 from kgloom.operators.unionfind import BOUND, forest
 from kgloom.session import cut, drop_cut
@@ -92,11 +93,22 @@ def without_weak_components(triples: DataFrame, members: DataFrame, min_triples:
     return m.join(keep, "component", "left_semi").select("h", "r", "t")
 
 
-def spanning_tree(edges: DataFrame, members: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, bound: int) -> DataFrame | None:
+    """The edges in one partition if they are at most ``bound``, which a single task can hold; else None."""
+    return edges.select("a", "b").coalesce(1) if len(edges.select("a").take(bound + 1)) <= bound else None
+
+
+def spanning_tree(edges: DataFrame, members: DataFrame, bound: int = BOUND) -> DataFrame:
     """(node, parent, depth): a breadth-first tree of every component, rooted at its smallest node (parent NULL).
 
-    One join of the edges with the newest level per level; levels are as many as the graph is deep.
+    Up to ``bound`` edges one task draws it. Beyond, one join of the edges with the newest level per level; levels are as many as the graph
+    is deep.
     """
+    if (one := _small(edges, bound)) is not None:
+        kind = edges.schema["a"].dataType.simpleString()
+        drawn = cut(one.mapInArrow(tree_rows, f"node {kind}, parent {kind}, depth int"))
+        alone = members.join(drawn.select("node"), "node", "left_anti").select("node", F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth"))
+        return drawn.unionByName(alone)
     both = cut(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))))
     level = cut(members.where("node = component").select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")))
     levels = [level]
@@ -117,15 +129,18 @@ def spanning_tree(edges: DataFrame, members: DataFrame) -> DataFrame:
     return cut(out)
 
 
-def bridges(edges: DataFrame) -> DataFrame:
+def bridges(edges: DataFrame, bound: int = BOUND) -> DataFrame:
     """(a, b, side, component_size): edges whose removal parts their component; ``side`` is the size of the smaller part.
 
-    A spanning tree is drawn; every other edge gets a 64-bit label and lays it on both its ends. The labels below a tree edge cancel out
+    Up to ``bound`` edges (simple, a < b) one task finds them by low points. Beyond, a spanning tree is drawn; every other edge gets a 64-bit label and lays it on both its ends. The labels below a tree edge cancel out
     exactly where no other edge leaves its subtree: then it is a bridge. Labels and sizes go up level by level. Different labels that cancel
     by chance (once in 2^64 a tree edge) would name a false bridge.
     """
+    if (one := _small(edges, bound)) is not None:
+        kind = edges.schema["a"].dataType.simpleString()
+        return one.mapInArrow(bridge_rows, f"a {kind}, b {kind}, side long, component_size long")
     members = cut(components(edges))
-    tree = spanning_tree(edges, members)
+    tree = spanning_tree(edges, members, bound)
     tied = tree.where("parent IS NOT NULL").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
     extra = edges.select("a", "b").join(tied, ["a", "b"], "left_anti").withColumn("x", F.xxhash64("a", "b"))
     laid = extra.select(F.explode(F.array("a", "b")).alias("node"), "x").groupBy("node").agg(F.bit_xor("x").alias("x"))
@@ -188,7 +203,7 @@ def blocks(edges: DataFrame) -> DataFrame:
     subtree's edges reach are computed level by level; places among siblings come from range pieces, so a hub's children need no single task.
     """
     members = cut(components(edges))
-    tree = spanning_tree(edges, members)
+    tree = cut(spanning_tree(edges, members))
     deepest = tree.agg(F.max("depth").alias("d")).collect()[0].d or 0
     sized = _up(tree.withColumn("size", F.lit(1).cast("long")), deepest, {"size": (F.sum, lambda a, b: a + b)})
     kids = running_totals(sized.where("parent IS NOT NULL").select("parent", "node", "size"), ["parent"], [F.col("node")], F.col("size"), "_upto").select("node", (F.col("_upto") - F.col("size")).alias("_off"))
@@ -217,6 +232,11 @@ def blocks(edges: DataFrame) -> DataFrame:
     return of.select(F.explode(F.array("node", "parent")).alias("node"), "block").distinct()
 
 
-def articulation_points(edges: DataFrame) -> DataFrame:
-    """(node, blocks): nodes whose removal parts their component, with the number of blocks that meet there."""
+def articulation_points(edges: DataFrame, bound: int = BOUND) -> DataFrame:
+    """(node, blocks): nodes whose removal parts their component, with the number of blocks that meet there.
+
+    Up to ``bound`` edges (simple, a < b) one task finds them by low points; beyond, :func:`blocks` does.
+    """
+    if (one := _small(edges, bound)) is not None:
+        return one.mapInArrow(articulation_rows, f"node {edges.schema['a'].dataType.simpleString()}, blocks long")
     return blocks(edges).groupBy("node").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")

@@ -53,6 +53,7 @@ def test_components_and_bridges(spark, seed):
     bridge = {p for p in pairs if len(set(find(nodes + list(pairs - {p})).values())) > n}
     got = {(x.a, x.b): (x.side, x.component_size) for x in G.bridges(e).collect()}
     assert set(got) == bridge
+    assert {(x.a, x.b): (x.side, x.component_size) for x in G.bridges(e, bound=5).collect()} == got
     for p, (side, size) in got.items():
         cut = find(nodes + list(pairs - {p}))
         parts = sorted(sum(c == cut[end] for c in cut.values()) for end in p)
@@ -71,8 +72,10 @@ def test_articulation_points(spark):
     n = len(set(find(k).values()))
     want = {v for v in nodes if len(set(find([(u, u) for u in nodes - {v}] + [e for e in k if v not in e]).values())) > n}
     # a node without neighbours left counts as a part less, so isolated ends don't make their neighbour's count wrong
-    got = {x.node for x in G.articulation_points(spark.createDataFrame(k, "a string, b string")).collect()}
-    assert got == want
+    df = spark.createDataFrame(k, "a string, b string")
+    got = {x.node: x.blocks for x in G.articulation_points(df).collect()}
+    assert set(got) == want
+    assert {x.node: x.blocks for x in G.articulation_points(df, bound=5).collect()} == got
 
 
 def test_driver_side_exact_problems():
