@@ -105,7 +105,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]],
     tasks and AQE may split further. ``how``: inner or left.
     """
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in left.columns]), F.lit(salts)).cast("int"))
-    many = right.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Spark judges the repeated side by the size of the unrepeated one and would broadcast it
+    many = right.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     cond = [F.col("_salt") == F.col("_rsalt")] + [F.col(a).eqNullSafe(F.col(b)) for a, b in on]
     return salted.join(many, _all(cond), how).drop("_salt", "_rsalt", *[b for _, b in on])
 
