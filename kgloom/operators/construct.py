@@ -132,15 +132,45 @@ def safe_deletions(triples: DataFrame, surplus: DataFrame, order: list[Column])
     return m.withColumn("_k", F.row_number().over(Window.partitionBy("r").orderBy(*order))).where("_k <= _cap").select("h", "r", "t")
 
 
-def prune(triples: DataFrame, alloc: DataFrame, per_round: int, max_rounds: int, order: list[Column]) -> DataFrame:
-    """(h, r, t, turn) removed in rounds: each deletes safely at most ``per_round`` triples of each relation that is over its budget, until
-    nothing more can go or ``max_rounds`` is reached."""
+def _loose(triples: DataFrame, over: DataFrame) -> DataFrame:
+    """The triples of the relations in ``over`` (relation) that can go together without parting a component or dropping an entity, as many as
+    possible: all other relations stay, so what they join is contracted, and of the rest only a spanning tree of the contracted graph is kept
+    (by its first triple by (r, h, t) between two parts)."""
+    names = over.select(F.col("relation").alias("r"))
+    mine, rest = cut(triples.join(names, "r", "left_semi").select("h", "r", "t")), triples.join(names, "r", "left_anti")
+    ends = lambda df: df.select(F.explode(F.array("h", "t")).alias("node")).distinct()
+    parts = cut(components(simple_edges(rest), ends(triples)))
+    side = lambda e: parts.select(F.col("node").alias(e), F.col("component").alias(f"_{e}"))
+    k = cut(mine.join(side("h"), "h").join(side("t"), "t").select("h", "r", "t", F.least("_h", "_t").alias("_a"), F.greatest("_h", "_t").alias("_b")))
+    edges = cut(k.where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+    members = cut(components(edges, parts.select(F.col("component").alias("node")).distinct()))
+    tree = spanning_tree(edges, members).where("parent IS NOT NULL").select(F.least("node", "parent").alias("_a"), F.greatest("node", "parent").alias("_b"))
+    # an entity that no other triple holds keeps its first self-loop
+    single = members.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_a")).where("_n = 1").select("_a")
+    alone = single.join(ends(rest).withColumnRenamed("node", "_a"), "_a", "left_anti")
+    first = lambda df: df.groupBy("_a", "_b").agg(F.min(F.struct("r", "h", "t")).alias("x")).select("x.*")
+    stays = first(k.where("_a <> _b").join(tree, ["_a", "_b"], "left_semi")).unionByName(first(k.where("_a = _b").join(alone, "_a", "left_semi")))
+    return k.select("h", "r", "t").join(stays, ["h", "r", "t"], "left_anti")
+
+
+def prune(triples: DataFrame, alloc: DataFrame, per_round: int | None, max_rounds: int | None, order: list[Column]) -> DataFrame:
+    """(h, r, t, turn) removed in rounds: each deletes safely, in the given order, at most ``per_round`` triples of each relation that is over
+    its budget (None: its whole surplus), until nothing more can go or ``max_rounds`` (None: no limit) is reached.
+
+    What is left over budget after an unlimited run can't be deleted singly either: it is the last triple of its relation, or parts a
+    component or drops an entity. No relation loses its last triple.
+    """
     eta = cut(alloc.groupBy("relation").agg(F.sum("eta").alias("eta")))
-    left, gone = cut(triples.select("h", "r", "t")), None
-    for turn in range(1, max_rounds + 1):
+    left, gone, turn = cut(triples.select("h", "r", "t")), None, 0
+    while max_rounds is None or turn < max_rounds:
+        turn += 1
         n = left.groupBy(F.col("r").alias("relation")).agg(F.count(F.lit(1)).alias("n"))
-        over = n.join(eta, "relation").select("relation", F.least(F.col("n") - F.col("eta"), F.lit(float(per_round))).alias("surplus")).where("surplus >= 1")
-        cutting = cut(safe_deletions(left, over, order).withColumn("turn", F.lit(turn)))
+        room = F.least(F.floor(F.col("n") - F.col("eta")).cast("long"), F.col("n") - 1)
+        over = cut(n.join(eta, "relation").select("relation", (room if per_round is None else F.least(room, F.lit(per_round))).alias("_cap")).where("_cap > 0"))
+        if over.isEmpty():
+            break
+        m = _loose(left, over).join(over.withColumnRenamed("relation", "r"), "r")
+        cutting = cut(m.withColumn("_k", F.row_number().over(Window.partitionBy("r").orderBy(*order))).where("_k <= _cap").select("h", "r", "t", F.lit(turn).alias("turn")))
         if cutting.isEmpty():
             break
         gone = cutting if gone is None else gone.unionByName(cutting)
@@ -165,14 +195,16 @@ def greedy_matching(moves: DataFrame, left: str, right: str, order: list[Column]
     return accepted if accepted is not None else moves.where(F.lit(False))
 
 
-def grow_connected(start: DataFrame, universe: DataFrame, per_relation: DataFrame, max_rounds: int) -> DataFrame:
+def grow_connected(start: DataFrame, universe: DataFrame, per_relation: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(h, r, t, turn): triples of ``universe`` taken round by round because they touch an entity reached before, of each relation the first
-    by (h, t) up to its quota (relation, quota). ``start``: one column of entities."""
+    by (h, t) up to its quota (relation, quota), until a round adds nothing or ``max_rounds`` is reached. ``start``: one column of entities."""
     reached = cut(start.select(F.col(start.columns[0]).alias("entity")).distinct())
     chosen: DataFrame | None = None
     quota = cut(per_relation.select(F.col("relation").alias("r"), F.col("quota").cast("long").alias("quota")))
     rest = cut(universe.select("h", "r", "t").distinct().join(quota.select("r"), "r", "left_semi").select("h", "r", "t"))
-    for turn in range(1, max_rounds + 1):
+    turn = 0
+    while max_rounds is None or turn < max_rounds:
+        turn += 1
         used = quota if chosen is None else quota.join(chosen.groupBy("r").agg(F.count(F.lit(1)).alias("_n")), "r", "left").select("r", (F.col("quota") - F.coalesce("_n", F.lit(0))).alias("quota"))
         at_h = rest.join(reached.withColumnRenamed("entity", "h"), "h", "left_semi").select("h", "r", "t")
         at_t = rest.join(reached.withColumnRenamed("entity", "t"), "t", "left_semi").select("h", "r", "t")

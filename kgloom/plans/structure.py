@@ -108,7 +108,7 @@ def _surplus(s, d):
 
 
 R.add("safe_deletions", lambda s, d: B.safe_deletions(cut(triples(s, d)), _surplus(s, d), [F.col("h"), F.col("t")]))
-R.add("prune_rounds", lambda s, d: B.prune(triples(s, d), allocations(s, d), 50, 3, [F.col("h"), F.col("t")]))
+R.add("prune_rounds", lambda s, d: B.prune(triples(s, d), allocations(s, d), None, None, [F.col("h"), F.col("t")]))
 
 
 def _core(s, d):
@@ -138,9 +138,9 @@ R.add("swap_matching", _swaps)
 
 
 def _grown(s, d):
-    """Pool triples reached from the entities of the auxiliary graph, quota by relation, at most three rounds."""
+    """Pool triples reached from the entities of the auxiliary graph, quota by relation, until no quota is open or nothing more is reached."""
     quota = allocations(s, d).groupBy("relation").agg(F.ceil(F.sum("eta")).cast("long").alias("quota"))
-    return B.grow_connected(T.entities(triples(s, d, "aux_edges")), triples(s, d), quota, 3)
+    return B.grow_connected(T.entities(triples(s, d, "aux_edges")), triples(s, d), quota)
 
 
 R.add("grown_graph", _grown)

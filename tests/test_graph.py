@@ -185,6 +185,30 @@ def test_safe_deletions_keep_what_they_promise(spark):
     assert len(set(out)) == len(out) and find([(h, t) for h, _, t in set(k) - set(out)]) == find([(h, t) for h, _, t in k])
 
 
+@pytest.mark.parametrize("seed", [4, 6])
+def test_prune_runs_until_nothing_can_go(spark, seed):
+    k = graph(seed, 20, 160) + [("lone", "r0", "lone"), ("lone", "r1", "lone")]
+    eta = {"r0": 5.0, "r1": 2.5, "r2": 0.0}
+    df = spark.createDataFrame(k, "h string, r string, t string")
+    alloc = spark.createDataFrame([("p", r, e) for r, e in eta.items()], "pattern string, relation string, eta double")
+    gone = [tuple(x) for x in B.prune(df, alloc, None, None, [F.col("h"), F.col("t")]).select("h", "r", "t").collect()]
+    left = set(k) - set(gone)
+    parts = find([(h, t) for h, _, t in k])
+    n = lambda r: sum(x[1] == r for x in left)
+    assert len(set(gone)) == len(gone) and find([(h, t) for h, _, t in left]) == parts
+    assert all(n(r) >= max(1, e) for r, e in eta.items()) and n("r3") == sum(x[1] == "r3" for x in k)
+    # whatever is still over its budget holds the graph together
+    for x in left:
+        if x[1] in eta and n(x[1]) > 1 and n(x[1]) - eta[x[1]] >= 1:
+            assert find([(h, t) for h, _, t in left - {x}]) != parts
+
+
+def test_grow_connected_reaches_the_end(spark):
+    u = spark.createDataFrame([(f"{i}", "r", f"{i + 1}") for i in range(6)], "h string, r string, t string")
+    got = B.grow_connected(spark.createDataFrame([("0",)], "e string"), u, spark.createDataFrame([("r", 9)], "relation string, quota int"))
+    assert {(x.h, x.turn) for x in got.collect()} == {(f"{i}", i + 1) for i in range(6)}
+
+
 def test_greedy_core_keeps_budgets(spark):
     k = graph(9, 25, 80)
     c = spark.createDataFrame([(*x, 0.1, 0.2, 0.8) for x in k], "h string, r string, t string, hub_penalty double, genericity_score double, quality_score double")
