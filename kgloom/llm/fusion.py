@@ -82,28 +82,43 @@ def claims(records: DataFrame, source: str) -> DataFrame:
 
 
 def patterns(claim: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(claims with the pattern of their group and the value's place in it, pattern frequencies).
+    """(values of each field of a group with the pattern of its claims, pattern frequencies).
 
     A pattern is which sources share a value and which differ, with values replaced by their place in order of first source: the estimates
-    depend on nothing else. A group has at most as many entries as sources × values that they claim; a source that claims several values of
-    one field speaks for the most frequent (ties: the smallest value).
+    depend on nothing else. A source has one vote a field; where it claims several values, each is a vote with its share of the source's rows
+    (written ``source=place:share``). A group has at most as many entries as sources × values that they claim.
     """
-    said = claim.groupBy("g0", "g1", "g2", "field", "src").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"))
-    per = said.groupBy("g0", "g1", "g2", "field").agg(F.sort_array(F.collect_list(F.struct("src", "value"))).alias("votes"))
+    said = claim.groupBy("g0", "g1", "g2", "field", "src").agg(F.sum("n").alias("_all"), F.collect_list(F.struct("value", "n")).alias("_said"))
+    said = said.withColumn("_votes", F.transform("_said", lambda x: F.struct(F.col("src").alias("src"), x["value"].alias("value"), (x["n"] / F.col("_all")).alias("share"))))
+    per = said.groupBy("g0", "g1", "g2", "field").agg(F.sort_array(F.flatten(F.collect_list("_votes"))).alias("votes"))
     values = F.array_distinct(F.transform("votes", lambda v: v["value"]))
-    per = per.withColumn("values", values).withColumn("pattern", F.array_join(F.transform("votes", lambda v: F.concat(v["src"], F.lit("="), F.array_position(F.col("values"), v["value"]).cast("string"))), " "))
+    share = lambda v: F.when(v["share"] < 1, F.concat(F.lit(":"), v["share"].cast("string"))).otherwise("")
+    per = per.withColumn("values", values).withColumn("pattern", F.array_join(F.transform("votes", lambda v: F.concat(v["src"], F.lit("="), F.array_position(F.col("values"), v["value"]).cast("string"), share(v))), " "))
     per = cut(per.select("g0", "g1", "g2", "field", "values", "pattern"))
     return per, per.groupBy("field", "pattern").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def _posterior(votes: list[tuple[str, int]], accuracy: dict[str, float], copying: dict[tuple[str, str], float], n_false: int) -> list[float]:
-    """Probability of each value (by place): independent votes weigh ln(n·A/(1−A)), a vote that may be copied weighs the part that isn't."""
-    score = [0.0] * max(place for _, place in votes)
-    for place in range(1, len(score) + 1):
+Vote = tuple[str, int] | tuple[str, int, float]
+
+
+def _shares(votes: list[Vote]) -> dict[int, dict[str, float]]:
+    """Place of a value -> the share of its vote that each source gives it (1 where a vote names none)."""
+    out: dict[int, dict[str, float]] = defaultdict(dict)
+    for s, at, *share in votes:
+        out[at][s] = share[0] if share else 1.0
+    return out
+
+
+def _posterior(votes: list[Vote], accuracy: dict[str, float], copying: dict[tuple[str, str], float], n_false: int) -> list[float]:
+    """Probability of each value (by place): independent votes weigh ln(n·A/(1−A)) times their share, a vote that may be copied weighs the
+    part that isn't; of a vote no more can be copied than the other source gives the value."""
+    shares = _shares(votes)
+    score = [0.0] * max(shares)
+    for place, said in shares.items():
         counted: list[str] = []
-        for s in sorted((s for s, at in votes if at == place), key=lambda s: (-accuracy[s], s)):
-            alone = math.prod(1 - COPIED * copying.get((min(s, o), max(s, o)), 0.0) for o in counted)
-            score[place - 1] += alone * math.log(n_false * accuracy[s] / (1 - accuracy[s]))
+        for s in sorted(said, key=lambda s: (-accuracy[s], s)):
+            alone = math.prod(1 - COPIED * copying.get((min(s, o), max(s, o)), 0.0) * min(1.0, said[o] / said[s]) for o in counted)
+            score[place - 1] += said[s] * alone * math.log(n_false * accuracy[s] / (1 - accuracy[s]))
             counted.append(s)
     top = max(score)
     weight = [math.exp(x - top) for x in score]
@@ -111,8 +126,13 @@ def _posterior(votes: list[tuple[str, int]], accuracy: dict[str, float], copying
     return [w / (sum(weight) + other) for w in weight]
 
 
-def _votes(pattern: str) -> list[tuple[str, int]]:
-    return [(x.rpartition("=")[0], int(x.rpartition("=")[2])) for x in pattern.split(" ")]
+def _votes(pattern: str) -> list[Vote]:
+    out: list[Vote] = []
+    for x in pattern.split(" "):
+        s, _, at = x.rpartition("=")
+        place, _, share = at.partition(":")
+        out.append((s, int(place), float(share or 1)))
+    return out
 
 
 State = dict[str, tuple[dict[str, float], dict[tuple[str, str], float]]]
@@ -127,20 +147,27 @@ def evidence(rows: Iterable[tuple[str, str, int]], state: State, n_false: int) -
     out: dict[tuple[str, str, str, str], float] = defaultdict(float)
     for field, pattern, n in rows:
         votes = _votes(pattern)
-        if len(votes) < 2:
-            continue  # a lone claim says nothing about anybody's accuracy
+        if len({v[0] for v in votes}) < 2:
+            continue  # a lone source says nothing about anybody's accuracy, whatever it claims
         accuracy, copying = state.get(field, NONE)
         truth = _posterior(votes, defaultdict(lambda: START, accuracy), copying, n_false)
-        for s, at in votes:
-            out[field, "right", s, ""] += n * truth[at - 1]
+        by_source: dict[str, dict[int, float]] = defaultdict(dict)
+        for at, said in _shares(votes).items():
+            for s, share in said.items():
+                by_source[s][at] = share
+                out[field, "right", s, ""] += n * share * truth[at - 1]
+        for s in by_source:
             out[field, "told", s, ""] += n
-        for (a, x), (b, y) in combinations(votes, 2):
-            a, b = min(a, b), max(a, b)
-            if x == y:
-                out[field, "true", a, b] += n * truth[x - 1]
-                out[field, "false", a, b] += n * (1 - truth[x - 1])
-            else:
-                out[field, "differ", a, b] += n
+        # of two votes, the part that falls on the same value is shared, the rest differs
+        for a, b in combinations(sorted(by_source), 2):
+            rest = 1.0
+            for at in sorted(by_source[a].keys() & by_source[b].keys()):
+                both = min(by_source[a][at], by_source[b][at])
+                out[field, "true", a, b] += n * both * truth[at - 1]
+                out[field, "false", a, b] += n * both * (1 - truth[at - 1])
+                rest -= both
+            if rest > 1e-9:
+                out[field, "differ", a, b] += n * rest
     return out
 
 

@@ -66,6 +66,31 @@ def test_fuse_recovers_truth_despite_a_copier(spark):
     assert fused > votes + 60 and fused > 300
 
 
+def test_every_claimed_value_is_a_candidate(spark):
+    rows, i = [], 0
+    for g in range(60):
+        # s1 says "wrong" twice and "right" once, the others say "right" only; the old cut left s1 with "wrong" alone
+        for src, v in (("s1", "wrong"), ("s1", "wrong"), ("s1", "right"), ("s2", "right")):
+            rows.append((g, 1, 1, (i := i + 1), v, None, None, None, src))
+        # a lone source with two values: the more frequent one wins, but not for sure
+        rows += [(g, 2, 1, (i := i + 1), v, None, None, None, "s3") for v in ("aa", "zz", "zz")]
+    df = spark.createDataFrame(rows, REC)
+    per, freqs = fusion.patterns(fusion.claims(df, "kind"))
+    assert {tuple(sorted(x["values"])) for x in per.collect()} == {("right", "wrong"), ("aa", "zz")}
+    assert sum(x.freq for x in freqs.collect()) == 120
+    shares = {(s, at): w for x in freqs.collect() for s, at, w in fusion._votes(x.pattern)}
+    assert shares == {("s1", 1): 1 / 3, ("s1", 2): 2 / 3, ("s2", 1): 1.0, ("s3", 1): 1 / 3, ("s3", 2): 2 / 3}
+    got = {(x.g0, x.g1): (x.value, x.probability) for x in fusion.fuse(df, "kind").collect()}
+    assert {v for (_, g1), (v, _) in got.items() if g1 == 1} == {"right"}
+    assert all(v == "zz" and 0.3 < p < 0.95 for (_, g1), (v, p) in got.items() if g1 == 2)
+
+
+def test_votes_are_split_by_rows():
+    sums = fusion.evidence([("f", "a=1:0.5 a=2:0.5 b=1", 4)], {}, 10)
+    assert sums["f", "told", "a", ""] == sums["f", "told", "b", ""] == 4
+    assert abs(sums["f", "true", "a", "b"] + sums["f", "false", "a", "b"] - 2) < 1e-9 and sums["f", "differ", "a", "b"] == 2
+
+
 def test_fuse_nothing(spark):
     df = spark.createDataFrame([(1, 1, 1, 1, None, "N/A", " ", None, "s")], REC)
     assert fusion.fuse(df, "kind").count() == 0 and fusion.fuse(df.limit(0), "kind").count() == 0
