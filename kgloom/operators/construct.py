@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kgloom.operators.candidates import bridge_bonus
 from kgloom.operators.graph import components, simple_edges, spanning_tree
+from kgloom.operators.greedy import CANDIDATES, greedy_rows
 from kgloom.operators.triples import degrees, incidence
 from kgloom.session import cut
 
@@ -30,13 +31,14 @@ class GreedyWeights:
     noise: float = 1.25
 
 
-def greedy_core(candidates: DataFrame, alloc: DataFrame, budget: int, batch: int, seeds: DataFrame, weights: GreedyWeights = GreedyWeights()) -> DataFrame:
+def greedy_core(candidates: DataFrame, alloc: DataFrame, budget: int, batch: int, seeds: DataFrame, weights: GreedyWeights = GreedyWeights(), bound: int = CANDIDATES) -> DataFrame:
     """(h, r, t, turn, score) of at most ``budget`` triples chosen by a score that depends on what is chosen already.
 
     ``candidates``: h, r, t, hub_penalty, genericity_score, quality_score, a set. Each turn scores all open candidates against the chosen
     graph (need of the relation, first of its relation, ends known, relations at the ends, components joined, degree) and takes the best
     ``batch`` of them, no relation beyond its budget, ties by (r, h, t). With ``batch`` = 1 the turns are those of a sequential greedy run.
-    What is chosen is bounded by ``budget``; candidates are never collected.
+    What is chosen is bounded by ``budget``; candidates are never collected to the driver. For ``batch`` = 1 one task takes all turns if there
+    are at most ``bound`` candidates; beyond, every turn is a round of joins, with the same result.
     """
     c = cut(candidates.select("h", "r", "t", *[F.coalesce(F.when(~F.isnan(x), F.col(x)), F.lit(0.0)).alias(x) for x in ("hub_penalty", "genericity_score", "quality_score")]))
     inc = incidence(c)
@@ -44,6 +46,13 @@ def greedy_core(candidates: DataFrame, alloc: DataFrame, budget: int, batch: int
     quota = cut(alloc.groupBy(F.col("relation").alias("r")).agg(F.floor(F.sum("eta")).cast("long").alias("quota")))
     chosen = cut(seeds.select("h", "r", "t").distinct().join(quota, "r").withColumn("_p", F.row_number().over(Window.partitionBy("r").orderBy("h", "t"))).where("_p <= quota").orderBy("r", "h", "t").limit(budget).select("h", "r", "t", F.lit(0).alias("turn"), F.lit(0.0).alias("score")))
     turn, n = 0, chosen.count()
+    if batch == 1:
+        rows = c.join(quota.where("quota > 0").select("r"), "r", "left_semi").select("h", "r", "t", "hub_penalty", "genericity_score", "quality_score", bridge_bonus(F.col("_ih") + F.col("_it")).cast("double").alias("bridge"))
+        if len(rows.select("r").take(bound + 1)) <= bound:
+            # bounded by the budget and by the relations
+            start, room = [(x.h, x.r, x.t) for x in chosen.collect()], {x.r: x.quota for x in quota.where("quota > 0").collect()}
+            taken = rows.repartition(1).sortWithinPartitions("r", "h", "t").mapInArrow(greedy_rows(start, room, budget, weights), "h string, r string, t string, turn int, score double")
+            return cut(chosen.unionByName(taken))
     while n < budget:
         turn += 1
         left = quota.join(chosen.groupBy("r").agg(F.count(F.lit(1)).alias("_n")), "r", "left").select("r", "quota", F.coalesce("_n", F.lit(0)).alias("_n")).where("_n < quota")

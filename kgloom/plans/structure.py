@@ -112,9 +112,9 @@ R.add("prune_rounds", lambda s, d: B.prune(triples(s, d), allocations(s, d), Non
 
 
 def _core(s, d):
-    """A core graph of at most 2,000 triples in four turns; the budget is the operator's."""
+    """A core graph of at most 2,000 triples, chosen one by one; the budget is the operator's."""
     c = cut(annotated(s, d))
-    return B.greedy_core(c, allocations(s, d), 2000, 500, N.seeds(c, allocations(s, d), 20, 2, 10))
+    return B.greedy_core(c, allocations(s, d), 2000, 1, N.seeds(c, allocations(s, d), 20, 2, 10))
 
 
 R.add("greedy_core", _core)

@@ -218,6 +218,69 @@ def test_greedy_core_keeps_budgets(spark):
     assert all(sum(x.r == f"r{i}" for x in got) <= 3 + i for i in range(4))
 
 
+def one_by_one(cand, quota, budget, seeds):
+    """The sequential rule, every candidate scored again for every choice. ``cand``: (h, r, t) -> (hub, generic, quality)."""
+    inc = {}
+    for h, r, t in cand:
+        inc.setdefault(h, set()).add(r)
+        inc.setdefault(t, set()).add(r)
+    chosen, deg, n = [], {}, {}
+
+    def add(x):
+        chosen.append(x)
+        n[x[1]] = n.get(x[1], 0) + 1
+        for e in (x[0], x[2]):
+            deg[e] = deg.get(e, 0) + 1
+
+    for x in sorted(seeds, key=lambda x: (x[1], x[0], x[2])):
+        if n.get(x[1], 0) < quota.get(x[1], 0) and len(chosen) < budget:
+            add(x)
+    first = len(chosen)
+    while len(chosen) < budget:
+        label, top, best, done = find([(h, t) for h, _, t in chosen]), max(deg.values(), default=1), None, set(chosen)
+        for (h, r, t), (hub, generic, quality) in cand.items():
+            q, k = quota.get(r, 0), n.get(r, 0)
+            if k >= q or (h, r, t) in done:
+                continue
+            known = (h in deg) + (t in deg)
+            s = 3.0 * (q - k) / q + 8.0 * (k == 0) + 2.0 * (0.1, 0.6, 1.0)[known] + 2.0 * min(1.0, (len(inc[h]) + len(inc[t])) / 20.0)
+            s += 3.0 * (known == 2 and label[h] != label[t]) - 1.5 * max(min(1.0, max(deg.get(h, 0), deg.get(t, 0)) / top), hub) - 1.25 * generic - 1.25 * (1.0 - quality)
+            key = (-round(s, 9), r, h, t)
+            best = key if best is None or key < best else best
+        if best is None:
+            break
+        add((best[2], best[1], best[3]))
+    return chosen[:first], chosen[first:]
+
+
+def test_greedy_core_is_the_sequential_one(spark):
+    r = random.Random(13)
+    cand = {x: (r.random(), 0.25 * int(x[1][1]), r.random()) for x in graph(9, 25, 80)}
+    quota = {"r0": 30, "r1": 4, "r2": 3, "r3": 0}
+    c = spark.createDataFrame([(*x, *v) for x, v in cand.items()], "h string, r string, t string, hub_penalty double, genericity_score double, quality_score double")
+    alloc = spark.createDataFrame([("p", x, float(q)) for x, q in quota.items()], "pattern string, relation string, eta double")
+    seed = sorted(cand)[:2]
+    seeds = spark.createDataFrame(seed, "h string, r string, t string")
+    for budget, bound in ((60, 10**6), (6, 0)):
+        start, want = one_by_one(cand, quota, budget, seed)
+        got = B.greedy_core(c, alloc, budget, 1, seeds, bound=bound).collect()
+        assert {(x.h, x.r, x.t) for x in got if x.turn == 0} == set(start)
+        assert [(x.h, x.r, x.t) for x in sorted(got, key=lambda x: x.turn) if x.turn] == want
+
+
+def test_registered_core_is_the_sequential_one(spark):
+    from kgloom.plans import structure as S
+
+    d = "/root/testdata/sf0.001"
+    c, alloc = S.annotated(spark, d), S.allocations(spark, d)
+    quota = {x.relation: int(x.eta) for x in alloc.groupBy("relation").agg(F.sum("eta").alias("eta")).collect()}
+    cand = {(x.h, x.r, x.t): (x.hub_penalty, x.genericity_score, x.quality_score) for x in c.collect()}
+    seeds = [(x.h, x.r, x.t) for x in S.N.seeds(c, alloc, 20, 2, 10).collect()]
+    _, want = one_by_one(cand, quota, len(set(seeds)) + 60, seeds)
+    got = S.QUERIES["greedy_core"](spark, d).where("turn > 0").orderBy("turn").limit(60).collect()
+    assert [(x.h, x.r, x.t) for x in got][: len(want)] == want and want
+
+
 def test_grow_connected(spark):
     u = spark.createDataFrame([("a", "r", "b"), ("b", "r", "c"), ("c", "s", "d"), ("x", "r", "y"), ("a", "r", "z")], "h string, r string, t string")
     q = spark.createDataFrame([("r", 2), ("s", 5)], "relation string, quota int")
