@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import regex
@@ -267,27 +268,69 @@ def coverage(documents: DataFrame, items: DataFrame, drop_from: float = 0.5) ->
     return out.withColumn("share", F.round(share, 6)).withColumn("verdict", F.when(share >= drop_from, "drop").otherwise("cut"))
 
 
-_ATOM = regex.compile(r"&#?\w{1,32};?|</?[a-zA-Z][^<>]*>|<!--.*?-->|\*+|`+|~~|.\p{M}*[ᅠ-ᇿ]*", regex.S)
+#: What html.unescape looks at; each match is replaced on its own.
+_ENTITY = regex.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+_AM = regex.compile("ํา|ໍາ")
+
+
+@cache
+def _joins() -> frozenset[str]:
+    """Characters that may join or be reordered with the one before when brought to NFKC."""
+    second = {c for c in map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])}  # Hangul vowels and finals
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for c in every:
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            second.add(chr(int(parts[1], 16)))
+    return frozenset(c for c in every if unicodedata.combining(d := unicodedata.normalize("NFKD", c)[0]) or d in second)
+
+
+def _composed(text: str) -> str:
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
 
 
 def located(text: str) -> tuple[str, list[int], list[int]]:
     """The normalised text with the place [start, end) in ``text`` that each of its characters comes from.
 
-    Entities, tags and base characters with their marks are normalised one by one. Where that differs from normalising the whole (exotic
-    compositions), every character of the result stands for the whole text, so a cut is too large rather than too small.
+    The steps of :func:`normalised` one after the other, each carrying the places along: what a step replaces by something else stands for
+    all that it replaces, so a place never reaches beyond an entity, a tag, or a character with what joins it.
     """
-    pieces: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    for m in _ATOM.finditer(text):
-        norm = normalised(m[0])
-        pieces.append(norm)
-        starts.extend([m.start()] * len(norm))
-        ends.extend([m.end()] * len(norm))
-    whole = normalised(text)
-    if "".join(pieces) != whole:
-        return whole, [0] * len(whole), [len(text)] * len(whole)
-    return whole, starts, ends
+    norm, starts, ends = text, list(range(len(text))), list(range(1, len(text) + 1))
+
+    def step(found: Iterable[tuple[int, int]], by: Callable[[str], str], tail: bool = False) -> None:
+        """Replace the parts [i, j); with ``tail``, an ending that stays as it is keeps its places."""
+        nonlocal norm, starts, ends
+        out, s, e, last = [], [], [], 0
+        for i, j in found:
+            new, same = by(norm[i:j]), 0
+            while tail and same < min(len(new), j - i) and new[-1 - same] == norm[j - 1 - same]:
+                same += 1
+            out += [norm[last:i], new]
+            k = len(new) - same
+            s += starts[last:i] + [starts[i]] * k + starts[j - same : j]
+            e += ends[last:i] + ([ends[j - same - 1]] * k if k else []) + ends[j - same : j]
+            last = j
+        norm, starts, ends = "".join(out) + norm[last:], s + starts[last:], e + ends[last:]
+
+    def each(pattern: regex.Pattern) -> list[tuple[int, int]]:
+        return [m.span() for m in pattern.finditer(norm)]
+
+    step(each(_ENTITY), html.unescape, tail=True)
+    if "<" in norm:
+        step(each(_INLINE), lambda _: "")
+        step(each(_TAG), lambda _: " ")
+    if norm.isascii():
+        step(each(_HIDDEN), lambda _: "")
+        norm = norm.lower()
+    else:
+        step(each(_HIDDEN), lambda _: "")
+        joins = _joins()
+        at = [i for i, c in enumerate(norm) if not i or c not in joins] + [len(norm)]
+        step([(i, j) for i, j in zip(at, at[1:], strict=False) if i < j and (j - i > 1 or not "a" <= norm[i] <= "z")], _composed)
+        step(each(_AM), lambda x: x.replace("ํา", "ำ").replace("ໍາ", "ຳ"))
+        step(each(_HIDDEN), lambda _: "")
+    step(each(_STARS), lambda _: "")
+    return norm, starts, ends
 
 
 def without_runs(text: str, pair: tuple[Automaton, Automaton], drop_from: float = 0.5) -> str | None:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -72,3 +73,21 @@ def test_places_cover_the_text(text):
     norm, starts, ends = L.located(text)
     assert norm == L.normalised(text) and len(norm) == len(starts) == len(ends)
     assert all(0 <= s < e <= len(text) for s, e in zip(starts, ends, strict=True))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(list("aI&;lt<>b/*`#x3e \u200b\u0301\u0345ｶﾞﾟが\u0e4d\u0e32ำ\u0ecdາ각\u1100\u1161\u11a8\u09c7\u09beﬁßİ")), st.characters(codec="utf-8")), max_size=40))
+def test_places_never_reach_over_the_text(text):
+    norm, starts, ends = L.located(text)
+    assert norm == L.normalised(text) and len(norm) == len(starts) == len(ends)
+    assert all(0 <= s < e <= len(text) for s, e in zip(starts, ends, strict=True))
+
+
+@pytest.mark.parametrize("odd", ["&lt;b&gt;bold&lt;/b&gt;", "ｶﾞｷﾞ", "น\u0e4d\u0e32", "e\u200b\u0301t"])
+def test_cut_stays_small_with_odd_forms(odd):
+    a = [f"word{k}x" for k in range(12)]
+    pair = next(L.blocks([(1, " ".join(a))]))
+    pad = f"Something else entirely {odd} stands here and goes on for quite a while, so little of it is leaked. "
+    norm, starts, ends = L.located(pad)
+    assert norm == L.normalised(pad) and max(e - s for s, e in zip(starts, ends, strict=True)) <= 9
+    assert L.without_runs(pad + " ".join(a) + "! " + pad, pair) == pad + "! " + pad
