@@ -8,6 +8,7 @@ the tasks; item sets that outgrow ``BLOCK_UNITS`` are split into blocks with an
 
 from __future__ import annotations
 
+import hashlib
 import html
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
@@ -18,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.session import cut
+
 WORDS, CHARACTERS = 10, 20
 #: Units (words or characters) of items in one automaton; an automaton has at most twice as many states.
 BLOCK_UNITS = 200_000
@@ -227,44 +230,65 @@ def contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     return out
 
 
+def _runs(norm: str, pair: tuple[Automaton, Automaton]) -> list[tuple[int, int, int, int]]:
+    """(kind, start, end, n_units) of each leaked run in units of its kind, 0 for words and 1 for characters."""
+    by_word, by_char = pair
+    out: list[tuple[int, int, int, int]] = []
+    for kind, automaton, unit in ((0, by_word, words), (1, by_char, characters)):
+        if automaton.items and (kind == 0 or by_char.plain_run or _UNSPACED.search(norm)):
+            units = unit(norm)
+            out += [(kind, s, e, len(units)) for s, e in automaton.matches(units)[1]]
+    return out
+
+
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def coverage(documents: DataFrame, items: DataFrame, drop_from: float = 0.5) -> DataFrame:
     """Per affected document: units (words, or characters where those matched), units in leaked runs, their share and what to do.
 
     ``verdict`` is ``drop`` where the share reaches ``drop_from``, else ``cut`` (remove the runs only). Words and characters are counted
-    apart and the larger share counts; a document that several blocks of items touch counts with its largest share.
+    apart and the larger share counts (words on a tie); runs of several blocks of items are merged before they are counted. Of several texts
+    under one doc_id, the one with the largest share counts.
     """
     spark = documents.sparkSession
     docs = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     rows = ((r.item_id, r.passage) for r in items.where(F.col("passage").isNotNull()).select("item_id", "passage").orderBy("item_id").toLocalIterator())
+    names = ["doc_id", "digest", "kind", "start", "end", "n_units"]
 
     def measure(pair: object) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_word, by_char = pair.value  # type: ignore[attr-defined]
             for b in batches:
-                out: list[tuple[int, int, int]] = []
+                out: list[tuple] = []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    norm = normalised(text)
-                    best = (0, 1)
-                    for automaton, units in ((by_word, words(norm)), (by_char, characters(norm) if by_char.items and (by_char.plain_run or _UNSPACED.search(norm)) else [])):
-                        if automaton.items and units:
-                            _, spans = automaton.matches(units)
-                            hit = (sum(e - s for s, e in spans), len(units))
-                            best = max(best, hit, key=lambda x: x[0] / x[1])
-                    if best[0]:
-                        out.append((doc, *best))
+                    if hit := _runs(normalised(text), pair.value):  # type: ignore[attr-defined]
+                        digest = hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()
+                        out += [(doc, digest, *x) for x in hit]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "leaked_units", "n_units"])
+                    doc, digest, *numbers = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(digest, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)], names=names)
 
         return run
 
-    parts = [docs.mapInArrow(measure(spark.sparkContext.broadcast(pair)), "doc_id long, leaked_units long, n_units long") for pair in blocks(rows)]
+    parts = [docs.mapInArrow(measure(spark.sparkContext.broadcast(pair)), "doc_id long, digest string, kind long, start long, end long, n_units long") for pair in blocks(rows)]
     if not parts:
         return spark.createDataFrame([], "doc_id long, leaked_units long, n_units long, share double, verdict string")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    # a document has no more runs than its units allow
+    per = out.groupBy("doc_id", "digest", "kind").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_runs"), F.max("n_units").alias("n_units"))
+    covered = F.aggregate("_runs", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(x["start"], a["to"]))).alias("n"), F.greatest(a["to"], x["end"]).alias("to")), lambda a: a["n"])
+    per = per.withColumn("leaked_units", covered)
     share = F.col("leaked_units") / F.col("n_units")
-    out = out.groupBy("doc_id").agg(F.max_by(F.struct("leaked_units", "n_units"), F.struct(share, F.col("leaked_units"))).alias("x")).select("doc_id", "x.leaked_units", "x.n_units")
+    out = per.groupBy("doc_id").agg(F.max_by(F.struct("leaked_units", "n_units"), F.struct(share, -F.col("kind"), F.col("leaked_units"))).alias("x")).select("doc_id", "x.leaked_units", "x.n_units")
     return out.withColumn("share", F.round(share, 6)).withColumn("verdict", F.when(share >= drop_from, "drop").otherwise("cut"))
 
 
@@ -333,56 +357,106 @@ def located(text: str) -> tuple[str, list[int], list[int]]:
     return norm, starts, ends
 
 
+def _cut_out(text: str, runs: Iterable[tuple[int, int, int, int]], drop_from: float | None) -> str | None:
+    """``text`` without the ``runs`` (with the marks between their units), or None where those of a kind cover ``drop_from`` of its units."""
+    norm, starts, ends = located(text)
+    cuts: list[tuple[int, int]] = []
+    runs = list(runs)
+    for kind, unit in ((0, _WORD), (1, _UNIT)):
+        spans = _merged((s, e) for k, s, e, _ in runs if k == kind)
+        if not spans:
+            continue
+        at = list(unit.finditer(norm))
+        if drop_from is not None and sum(e - s for s, e in spans) >= drop_from * len(at):
+            return None
+        cuts += [(starts[at[s].start()], ends[at[e - 1].end() - 1]) for s, e in spans]
+    kept, last = [], 0
+    for s, e in sorted(cuts):
+        if s > last:
+            kept.append(text[last:s])
+        last = max(last, e)
+    return "".join(kept) + text[last:]
+
+
+#: Cuts after which a text is given up, as something always joins to a run again.
+TURNS = 100
+
+
 def without_runs(text: str, pair: tuple[Automaton, Automaton], drop_from: float = 0.5) -> str | None:
-    """``text`` without its leaked runs (with the marks between their units), or None where they cover ``drop_from`` of its units or more.
+    """``text`` without its leaked runs, or None where they cover ``drop_from`` of its units or more.
 
     Cutting repeats until no run is left, since what stood around a run may join to another.
     """
-    by_word, by_char = pair
-    for turn in range(100):
-        norm, starts, ends = located(text)
-        cuts: list[tuple[int, int]] = []
-        for automaton, unit in ((by_word, _WORD), (by_char, _UNIT)):
-            if not automaton.items or (automaton is by_char and not (by_char.plain_run or _UNSPACED.search(norm))):
-                continue
-            at = list(unit.finditer(norm))
-            _, spans = automaton.matches([m[0] for m in at])
-            if turn == 0 and at and sum(e - s for s, e in spans) >= drop_from * len(at):
-                return None
-            cuts += [(starts[at[s].start()], ends[at[e - 1].end() - 1]) for s, e in spans]
-        if not cuts:
+    for turn in range(TURNS):
+        runs = _runs(normalised(text), pair)
+        if not runs:
             return text
-        kept, last = [], 0
-        for s, e in sorted(cuts):
-            if s > last:
-                kept.append(text[last:s])
-            last = max(last, e)
-        text = "".join(kept) + text[last:]
+        rest = _cut_out(text, runs, drop_from if turn == 0 else None)
+        if rest is None:
+            return None
+        text = rest
     return None
 
 
 def cleaned(documents: DataFrame, items: DataFrame, drop_from: float = 0.5) -> DataFrame:
     """``doc_id``, ``text`` of every affected document without its leaked runs, NULL where the document is to be dropped.
 
-    With several blocks of items the runs of each block are cut in turn; a document dropped once stays dropped.
+    With several blocks of items the runs of all blocks are found first, each block on the same text; verdict and cut follow once from their
+    union. What is left is searched again, by all blocks, until no run is left.
     """
     spark = documents.sparkSession
     docs = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     rows = ((r.item_id, r.passage) for r in items.where(F.col("passage").isNotNull()).select("item_id", "passage").orderBy("item_id").toLocalIterator())
+    pairs = [spark.sparkContext.broadcast(pair) for pair in blocks(rows)]
+    if len(pairs) <= 1:
+        return docs.mapInArrow(_cleaner(pairs[0], drop_from), "doc_id long, text string") if pairs else docs.limit(0)
+    done: list[DataFrame] = []
+    for turn in range(TURNS):
+        for pair in pairs:
+            docs = docs.mapInArrow(_finder(pair), "doc_id long, text string, runs array<long>")
+        # the first turn leaves out what no item touches
+        docs = cut(docs.where(F.size("runs") > 0) if turn == 0 else docs)
+        done.append(docs.where(F.size("runs") == 0).select("doc_id", "text"))
+        docs = cut(docs.where(F.size("runs") > 0).mapInArrow(_remover(drop_from if turn == 0 else None), "doc_id long, text string"))
+        done.append(docs.where("text IS NULL"))
+        docs = docs.where("text IS NOT NULL")
+        if docs.isEmpty():
+            break
+    else:
+        done.append(docs.select("doc_id", F.lit(None).cast("string").alias("text")))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
-    def cutter(pair: object) -> object:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automata = pair.value  # type: ignore[attr-defined]
-            for b in batches:
-                texts = b.column(1).to_pylist()
-                hit = [t is not None and bool(leaks(t, automata)) for t in texts]
-                out = [without_runs(t, automata, drop_from) if h else t for t, h in zip(texts, hit, strict=True)]
-                touched = [a or h for a, h in zip(b.column(2).to_pylist(), hit, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(touched, pa.bool_())], names=["doc_id", "text", "touched"])
 
-        return run
+def _cleaner(pair: object, drop_from: float) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = pair.value  # type: ignore[attr-defined]
+        for b in batches:
+            out = [(doc, without_runs(text, automata, drop_from)) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if leaks(text, automata)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.string())], names=["doc_id", "text"])
 
-    out = docs.withColumn("touched", F.lit(False))
-    for pair in blocks(rows):
-        out = out.mapInArrow(cutter(spark.sparkContext.broadcast(pair)), "doc_id long, text string, touched boolean")
-    return out.where("touched").select("doc_id", "text")
+    return run
+
+
+def _finder(pair: object) -> object:
+    """Adds the runs of a block, four numbers each, to those found before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            before = b.column(2).to_pylist() if b.num_columns > 2 else [[]] * b.num_rows
+            found = [old + [n for x in _runs(normalised(text), pair.value) for n in x] for text, old in zip(b.column(1).to_pylist(), before, strict=True)]  # type: ignore[attr-defined]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "text", "runs"])
+
+    return run
+
+
+def _remover(drop_from: float | None) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [_cut_out(text, zip(*[iter(runs)] * 4, strict=True), drop_from) for text, runs in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+
+    return run

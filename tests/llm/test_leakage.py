@@ -91,3 +91,26 @@ def test_cut_stays_small_with_odd_forms(odd):
     norm, starts, ends = L.located(pad)
     assert norm == L.normalised(pad) and max(e - s for s, e in zip(starts, ends, strict=True)) <= 9
     assert L.without_runs(pad + " ".join(a) + "! " + pad, pair) == pad + "! " + pad
+
+
+def test_blocks_are_judged_together(spark, monkeypatch):
+    item = lambda i: [f"w{i}x{k}" for k in range(12)]
+    pad = lambda n: " ".join(f"pad{k}q" for k in range(n))
+    items = spark.createDataFrame([(i, " ".join(item(i))) for i in range(4)], "item_id long, passage string")
+    both = " ".join(item(0)) + ". " + pad(16) + " " + " ".join(item(3)) + "."
+    docs = [
+        (1, both),  # 12 of 40 words by either block
+        (2, pad(20) + " " + " ".join(item(0)) + ". " + pad(20) + " " + " ".join(item(3)) + "."),
+        (3, pad(40)),
+        (4, pad(40) + " " + " ".join(item(3)[:6] + item(0) + item(3)[6:])),  # the cut joins a run of the other block
+        (5, pad(40)),
+        (5, pad(40) + " " + " ".join(item(2))),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = []
+    for size in (200_000, 12):
+        monkeypatch.setattr(L, "BLOCK_UNITS", size)
+        assert sum(1 for _ in L.blocks((i, " ".join(item(i))) for i in range(4))) == (1 if size > 12 else 4)
+        got.append(({tuple(x) for x in L.coverage(df, items).collect()}, {tuple(x) for x in L.cleaned(df, items).collect()}))
+    assert got[0] == got[1]
+    assert (1, 24, 40, 0.6, "drop") in got[0][0] and dict(got[0][1]) == {1: None, 2: pad(20) + " . " + pad(20) + " .", 4: pad(40) + " ", 5: pad(40) + " "}
