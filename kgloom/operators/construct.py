@@ -96,6 +96,30 @@ def first_of_missing(graph: DataFrame, candidates: DataFrame, alloc: DataFrame,
     return candidates.join(missing, "r", "left_semi").withColumn("_p", F.row_number().over(Window.partitionBy("r").orderBy(*order))).where("_p = 1").drop("_p")
 
 
+def select_additions(rows: DataFrame, counts: DataFrame, alloc: DataFrame, budget: int, order: list[Column], pattern: str = "composition") -> DataFrame:
+    """The ``rows`` (h, r, t, ...) that a pass in the strict ``order`` accepts, at most ``budget``: of allocated relations, and of those in
+    ``pattern`` only while the pattern's running total is below its budget.
+
+    The total is the sum over relations of their triples times the pattern's share of their budget, rounded half to even, and counts every
+    accepted row. It never falls, so the rows of the pattern that are accepted are the first ones, and no more than the first ``budget`` of
+    either kind have to be looked at. ``counts``: relation, n of the graph; ``alloc``: pattern, relation, eta.
+    """
+    inside = F.sum(F.when(F.col("pattern") == pattern, F.col("eta")).otherwise(0.0))
+    share = alloc.groupBy(F.col("relation").alias("r")).agg((F.max((F.col("pattern") == pattern).cast("int")) == 1).alias("_in"), F.coalesce(F.when(F.sum("eta") > 0, inside / F.sum("eta")), F.lit(0.0)).alias("_share"))
+    share = cut(share.join(counts.select(F.col("relation").alias("r"), F.col("n").alias("_n")), "r", "left").withColumn("_n", F.coalesce("_n", F.lit(0))))
+    total = lambda n: F.bround(n * F.col("_share"), 0)
+    start = share.agg(F.coalesce(F.sum(total(F.col("_n"))), F.lit(0.0)).alias("s")).collect()[0].s
+    expected = alloc.where(F.col("pattern") == pattern).agg(F.coalesce(F.sum("eta"), F.lit(0.0)).alias("e")).collect()[0].e
+    open_ = rows.join(share, "r")
+    heads = [cut(open_.where(side).orderBy(*order).limit(budget)) for side in (F.col("_in"), ~F.col("_in"))]
+    k = F.row_number().over(Window.partitionBy("r").orderBy(*order))
+    grown = heads[0].withColumn("_k", k).withColumn("_inc", total(F.col("_n") + F.col("_k")) - total(F.col("_n") + F.col("_k") - 1))
+    # at most ``budget`` rows, so one task may sum them up
+    before = F.coalesce(F.sum("_inc").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    taken = grown.withColumn("_before", before).where(F.lit(float(start)) + F.col("_before") < F.lit(float(expected)))
+    return taken.select(*rows.columns).unionByName(heads[1].select(*rows.columns)).orderBy(*order).limit(budget)
+
+
 def merge_components(graph: DataFrame, candidates: DataFrame, score: str) -> DataFrame:
     """The candidates (h, r, t, ``score``) that a greedy pass from the best down would add because they join two components of ``graph``.
 

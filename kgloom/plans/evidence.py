@@ -11,6 +11,7 @@ from kgloom.operators import audits as U
 from kgloom.operators import candidates as N
 from kgloom.operators import complete as X
 from kgloom.operators import constraints as C
+from kgloom.operators import construct as B
 from kgloom.operators import matrix as M
 from kgloom.operators import patterns as P
 from kgloom.operators import triples as T
@@ -142,6 +143,17 @@ scored AS MATERIALIZED (SELECT *, 5 * least(relation_deficit / greatest(relation
 R.add("census", lambda s, d: rounded(census(s, d), "relation_deficit", "relation_eta", "score", digits=6), f"WITH {_CEN} SELECT * REPLACE (round(relation_deficit, 6) AS relation_deficit, round(relation_eta, 6) AS relation_eta, round(CAST(score AS DOUBLE), 6) AS score) FROM scored")
 R.add("additions_ranked", lambda s, d: rounded(census(s, d), "score", "relation_deficit", digits=6).where("new_entities = 0 AND score > 0").orderBy(F.col("score").desc(), "new_entities", F.col("relation_deficit").desc(), "r", "h", "t").limit(500).select("h", "r", "t", "score"), f"WITH {_CEN} SELECT h, r, t, round(CAST(score AS DOUBLE), 6) AS score FROM scored WHERE new_entities = 0 AND round(score, 6) > 0 ORDER BY round(CAST(score AS DOUBLE), 6) DESC, new_entities, round(relation_deficit, 6) DESC, r, h, t LIMIT 500")
 
+
+def _selected(s, d):
+    """Additions a greedy pass accepts; 2,000 is the operator's budget. No end is new, so no addition makes a component."""
+    k = triples(s, d)
+    rows = rounded(census(s, d), "score", "relation_deficit", digits=6).where("new_entities = 0 AND score > 0").join(k, ["h", "r", "t"], "left_anti")
+    order = [F.col("score").desc(), F.col("relation_deficit").desc(), F.col("r"), F.col("h"), F.col("t")]
+    return B.select_additions(rows.select("h", "r", "t", "score", "relation_deficit"), T.relation_counts(k).withColumnRenamed("r", "relation"), allocations(s, d), 2000, order).drop("relation_deficit")
+
+
+R.add("additions_selected", _selected)
+
 # completion
 _CMPQ = "c AS (SELECT r, count(*) AS n FROM k GROUP BY r), cm AS MATERIALIZED (SELECT relation, sum(eta) AS eta, greatest(sum(eta) - coalesce(any_value(n), 0), 0) AS deficit, greatest(coalesce(any_value(n), 0) - sum(eta), 0) AS surplus FROM alloc LEFT JOIN c ON r = relation GROUP BY relation)"
 

@@ -281,6 +281,25 @@ def test_registered_core_is_the_sequential_one(spark):
     assert [(x.h, x.r, x.t) for x in got][: len(want)] == want and want
 
 
+def test_additions_are_those_of_the_sequential_pass(spark):
+    r = random.Random(3)
+    rows = sorted({(f"n{r.randrange(30)}", f"r{r.randrange(5)}", f"n{r.randrange(30)}") for _ in range(120)})
+    rows = [(*x, r.randrange(6)) for x in rows]
+    eta = {("composition", "r0"): 9.0, ("symmetric", "r0"): 6.0, ("composition", "r1"): 8.0, ("symmetric", "r2"): 3.0, ("composition", "r3"): 0.0}
+    n = {"r0": 7, "r1": 2, "r4": 50}
+    for budget in (500, 30):
+        now, want, comp = dict(n), [], {x for p, x in eta if p == "composition"}
+        every = {x: sum(e for (_, y), e in eta.items() if y == x) for _, x in eta}
+        total = lambda: sum(round(now.get(x, 0) * (eta["composition", x] / every[x])) for x in comp if every[x])  # noqa: E731, B023
+        for h, x, t, s in sorted(rows, key=lambda x: (-x[3], x[1], x[0], x[2])):
+            if len(want) < budget and x in every and not (x in comp and total() >= 17.0):
+                want.append((h, x, t, s))
+                now[x] = now.get(x, 0) + 1
+        got = B.select_additions(spark.createDataFrame(rows, "h string, r string, t string, s int"), spark.createDataFrame(list(n.items()), "relation string, n long"), spark.createDataFrame([(*k, v) for k, v in eta.items()], "pattern string, relation string, eta double"), budget, [F.col("s").desc(), F.col("r"), F.col("h"), F.col("t")])
+        assert [tuple(x) for x in got.collect()] == want
+        assert sum(x[1] in comp for x in want) < sum(x[1] in comp for x in rows)
+
+
 def test_grow_connected(spark):
     u = spark.createDataFrame([("a", "r", "b"), ("b", "r", "c"), ("c", "s", "d"), ("x", "r", "y"), ("a", "r", "z")], "h string, r string, t string")
     q = spark.createDataFrame([("r", 2), ("s", 5)], "relation string, quota int")
