@@ -16,17 +16,26 @@ def softmax(x: Column, group: list[str], temperature: float) -> Column:
 def largest_remainder(df: DataFrame, group: list[str], expected: str, total: str, tie: list[Column], out: str = "apportioned") -> DataFrame:
     """``df`` with ``expected`` rounded to whole numbers that add up to ``total`` per group.
 
-    Everybody gets the floor; what is missing goes to the largest fractions (equal at 12 digits: by ``tie``), one each; what is too much
-    is taken from the smallest fractions that have one. An excess of more than one per member is outside of what floors can cause.
+    Everybody gets the floor; what is missing goes to the largest fractions (equal at 12 digits: by ``tie``), one each, in turns; what is
+    too much is taken in turns from the smallest fractions that have one left. A total below 0 counts as 0, a NULL total takes part in nothing.
     """
     base = F.floor(expected)
     frac = F.round(F.col(expected) - base, 12)
     w = Window.partitionBy(*group)
-    left = F.col(total).cast("long") - F.sum(base).over(w)
-    place = F.row_number().over(w.orderBy(frac.desc(), *tie))
-    low = F.row_number().over(w.orderBy((base <= 0).cast("int"), frac, *tie))
-    extra = F.when((left > 0) & (F.col("_place") <= left), 1).when((left < 0) & (F.col("_low") <= -left), -1).otherwise(0)
-    return df.withColumns({"_place": place, "_low": low}).withColumn(out, (base + extra).cast("long")).drop("_place", "_low")
+    df = df.withColumns({"_base": base, "_m": F.count(F.lit(1)).over(w), "_left": F.greatest(F.col(total).cast("long"), F.lit(0)) - F.sum(base).over(w)})
+    m, left, need = F.col("_m"), F.col("_left"), -F.col("_left")
+    df = df.withColumn("_place", F.row_number().over(w.orderBy(frac.desc(), *tie)))
+    # whole turns of taking: the most that stay within the excess, whichever members run out before
+    by_size = w.orderBy("_base", *tie)
+    smaller = F.coalesce(F.sum("_base").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = df.withColumn("_turns", F.floor((need - smaller) / (m - F.row_number().over(by_size) + 1)))
+    df = df.withColumn("_turns", F.greatest(F.max("_turns").over(w), F.lit(0)))
+    df = df.withColumn("_rest", need - F.sum(F.least("_base", "_turns")).over(w))
+    df = df.withColumn("_low", F.row_number().over(w.orderBy((F.col("_base") <= F.col("_turns")).cast("int"), frac, *tie)))
+    given = F.floor(left / m) + (F.col("_place") <= F.pmod(left, m)).cast("long")
+    taken = F.least("_base", "_turns") + ((F.col("_base") > F.col("_turns")) & (F.col("_low") <= F.col("_rest"))).cast("long")
+    value = F.when(left >= 0, F.col("_base") + given).otherwise(F.col("_base") - taken)
+    return df.withColumn(out, value.cast("long")).drop("_base", "_m", "_left", "_place", "_turns", "_rest", "_low")
 
 
 def allocate(matrix: DataFrame, groups: DataFrame, eta: int, temperature: float, epsilon: float = 0.0) -> DataFrame:

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.session import cut
+
+
+def shard(name: str, n: int, digest: str = "sha1") -> Column:
+    """Which of ``n`` shards a name belongs to: the first 16 hexadecimal digits of its digest (sha1 or sha256), unsigned, modulo ``n``."""
+    hashed = F.sha1(name) if digest == "sha1" else F.sha2(name, 256)
+    # 64 bits don't fit a bigint
+    return F.pmod(F.conv(F.substring(hashed, 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(n).cast("decimal(20,0)")).cast("long")
+
 
 def reject_nulls(df: DataFrame) -> DataFrame:
     """``df``, failing at run time on a row in which h, r or t is NULL."""
@@ -95,14 +104,19 @@ def incidence(df: DataFrame) -> DataFrame:
 
 
 def k_hop(df: DataFrame, centre: DataFrame, hops: int) -> DataFrame:
-    """(entity, depth) within ``hops`` of the entities in ``centre`` (one column), undirected. The frontier is joined once per hop."""
-    edges = neighbours(df)
-    seen = centre.select(F.col(centre.columns[0]).alias("entity"), F.lit(0).alias("depth")).distinct()
+    """(entity, depth) within ``hops`` of the entities in ``centre`` (one column), undirected; ``centre`` may be empty. Each hop joins the newest level only."""
+    edges = cut(neighbours(df))
+    levels = [cut(centre.select(F.col(centre.columns[0]).alias("entity"), F.lit(0).alias("depth")).distinct())]
     for depth in range(1, hops + 1):
-        front = seen.where(F.col("depth") == depth - 1).select(F.col("entity").alias("v"))
-        found = edges.join(front, "v", "left_semi").select(F.col("w").alias("entity"), F.lit(depth).alias("depth")).distinct()
-        seen = seen.unionByName(found).groupBy("entity").agg(F.min("depth").alias("depth"))
-    return seen
+        front = levels[-1].select(F.col("entity").alias("v"))
+        found = edges.join(front, "v", "left_semi").select(F.col("w").alias("entity")).distinct()
+        # a neighbour of the last level is at most one level away from it
+        known = levels[-1].select("entity") if depth == 1 else levels[-1].select("entity").unionByName(levels[-2].select("entity"))
+        levels.append(cut(found.join(known, "entity", "left_anti").select("entity", F.lit(depth).alias("depth"))))
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def top_nodes_subgraph(df: DataFrame, n: int) -> DataFrame:

@@ -109,11 +109,11 @@ R.add("new_in_aux", lambda s, d: triples(s, d, "aux_edges").join(triples(s, d),
 
 def _triple_ids(s, d):
     """Stable identifiers of triples and the shard of each relation."""
-    shard = F.pmod(F.conv(F.substring(F.sha1("r"), 1, 15), 16, 10).cast("long"), F.lit(8))
+    shard = T.shard("r", 8)
     return triples(s, d).select("h", "r", "t", F.sha2(F.concat_ws("\t", "h", "r", "t"), 256).alias("triple_id"), shard.alias("shard"))
 
 
-R.add("triple_ids", _triple_ids, f"{K} SELECT h, r, t, sha256(concat_ws(chr(9), h, r, t)) AS triple_id, CAST(('0x' || substr(sha1(r), 1, 15))::BIGINT % 8 AS BIGINT) AS shard FROM k")
+R.add("triple_ids", _triple_ids, f"{K} SELECT h, r, t, sha256(concat_ws(chr(9), h, r, t)) AS triple_id, CAST(('0x' || substr(sha1(r), 1, 16))::UBIGINT % 8 AS BIGINT) AS shard FROM k")
 
 # statistics of relations in the graph itself
 from kgloom.operators import hops as H  # noqa: E402

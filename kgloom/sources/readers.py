@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kgloom.session import cut, drop_cut
+
 TRIPLE = "h string, r string, t string"
 
 
@@ -65,34 +67,39 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
 def read_candidate_shards(spark: SparkSession, path: str, relations: DataFrame | None = None) -> DataFrame:
     """(h, r, t, source_path, source_line, rest) of all shards; relation may stand in ``r`` or ``relation``; rows without h, r or t are dropped.
 
-    The line is counted inside each file from its text blocks in order. ``relations`` (one column) restricts to some relations.
+    Lines stay where they are read: a task reads the lines of a split one after the other, so a line's number is its place in its split plus
+    the lines of the splits before, of which only the counts are shuffled. ``relations`` (one column) restricts to some relations.
     """
     text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"))
-    from pyspark.sql import Window
-
-    # one window per file: a shard is bounded by whoever wrote it
-    text = text.withColumn("source_line", F.row_number().over(Window.partitionBy("source_path").orderBy("_at", "_i")))
+    splits = text.groupBy(F.col("source_path").alias("_path"), F.col("_at").alias("_start")).agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    text = text.join(splits, (F.col("source_path") == F.col("_path")) & (F.col("_at") == F.col("_start"))).withColumn("source_line", F.col("_before") + F.col("_i") - F.col("_first") + 1)
     m = text.select("source_path", "source_line", F.from_json("value", "map<string,string>").alias("m"))
     out = m.select(F.col("m")["h"].alias("h"), F.coalesce(F.col("m")["r"], F.col("m")["relation"]).alias("r"), F.col("m")["t"].alias("t"), "source_path", "source_line", F.map_filter("m", lambda k, _: ~k.isin("h", "r", "t", "relation")).alias("rest"))
     out = out.where(F.col("h").isNotNull() & F.col("r").isNotNull() & F.col("t").isNotNull())
     return out if relations is None else out.join(relations.select(F.col(relations.columns[0]).alias("r")).distinct(), "r", "left_semi")
 
 
+_LISTS = ("topk_support", "top_support", "support")
 _COUNTS = "struct<loop:string,nonloop:string,total:string>"
 
 
 def read_hop_support(spark: SparkSession, path: str, only_success: bool = True) -> DataFrame:
     """(r1, r2, loop, nonloop, total, status) from support documents, in any of their layouts.
 
-    ``support_data`` maps r2 to counts; older documents map r2 to a number (``support_by_r2``) or list them (``top_support``, ``support``).
-    Names other than P and digits are dropped, a total that is missing or 0 is loop + nonloop; broken lines are dropped.
+    ``support_data`` maps r2 to counts; older documents map r2 to a number (``support_by_r2``) or list them (``topk_support``, ``top_support``,
+    ``support``, in this order; of an r2 listed twice the first counts). Names other than P and digits are dropped, a total that is missing
+    or 0 is loop + nonloop; broken lines are dropped.
     """
-    doc = f"r1 string, status string, support_data map<string,{_COUNTS}>, support_by_r2 map<string,string>, top_support array<struct<r2:string,support:string>>"
+    doc = f"r1 string, status string, support_data map<string,{_COUNTS}>, support_by_r2 map<string,string>, " + ", ".join(f"{c} array<struct<r2:string,support:string>>" for c in _LISTS)
     text = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", doc).alias("d")).select("d.*")
     null = F.lit(None).cast("string")
     new = F.transform(F.map_entries("support_data"), lambda e: F.struct(e["key"].alias("r2"), e["value"]["loop"].alias("loop"), e["value"]["nonloop"].alias("nonloop"), e["value"]["total"].alias("total")))
     old = F.transform(F.map_entries("support_by_r2"), lambda e: F.struct(e["key"].alias("r2"), null.alias("loop"), null.alias("nonloop"), e["value"].alias("total")))
-    top = F.transform("top_support", lambda e: F.struct(e["r2"].alias("r2"), null.alias("loop"), null.alias("nonloop"), e["support"].alias("total")))
+    listed = F.concat(*[F.coalesce(c, F.array()) for c in _LISTS])
+    first = F.filter(listed, lambda e, i: F.array_position(F.transform(listed, lambda x: x["r2"]), e["r2"]) == i + 1)
+    top = F.transform(F.when(F.size(listed) > 0, first), lambda e: F.struct(e["r2"].alias("r2"), null.alias("loop"), null.alias("nonloop"), e["support"].alias("total")))
     rows = text.select("r1", F.coalesce("status", F.lit("NO_STATUS")).alias("status"), F.explode(F.coalesce(new, old, top)).alias("x"))
     whole = lambda c: F.coalesce(F.col(c).try_cast("double").try_cast("long"), F.lit(0))
     rows = rows.where(is_pid("r1") & is_pid("x.r2"))
@@ -157,17 +164,21 @@ def read_entity_types(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.coalesce(rows, pairs)).alias("x")).select("x.*")
 
 
-def type_closure(direct: DataFrame, subclass: DataFrame, depth: int = 32) -> DataFrame:
-    """(entity, type) through any number of subclass steps. ``direct``: entity, type; ``subclass``: type, super. Stops when nothing is new;
-    cycles are harmless."""
-    known = direct.select("entity", "type").distinct()
-    front = known
-    for _ in range(depth):
-        front = front.join(subclass, "type").select("entity", F.col("super").alias("type")).distinct().join(known, ["entity", "type"], "left_anti")
-        if front.isEmpty():
-            break
-        known = known.unionByName(front).distinct()
-    return known
+def type_closure(direct: DataFrame, subclass: DataFrame) -> DataFrame:
+    """(entity, type) through any number of subclass steps. ``direct``: entity, type; ``subclass``: type, super. Cycles are harmless, rows
+    with a NULL take no part.
+
+    The closure is taken over the types, which are few against the entities: steps of doubled length until nothing is new, so the rounds grow
+    with the logarithm of the deepest chain. The entities are joined to it once."""
+    known = cut(subclass.where("type IS NOT NULL AND super IS NOT NULL AND type <> super").select("type", "super").distinct())
+    n, before = known.count(), -1
+    while n != before:
+        twice = known.join(known.select(F.col("type").alias("super"), F.col("super").alias("_up")), "super").select("type", F.col("_up").alias("super")).where("type <> super")
+        wider = cut(known.unionByName(twice).distinct())
+        drop_cut(known)
+        known, before, n = wider, n, wider.count()
+    own = direct.where("entity IS NOT NULL AND type IS NOT NULL").select("entity", "type").distinct()
+    return own.unionByName(own.join(known, "type").select("entity", F.col("super").alias("type"))).distinct()
 
 
 def is_pid(c: str | Column, strict: bool = False) -> Column:

@@ -13,12 +13,17 @@ from kgloom.operators import patterns as P
 @given(st.lists(st.floats(0, 20, allow_nan=False), min_size=1, max_size=12), st.integers(-3, 8))
 def test_largest_remainder_adds_up(spark, xs, extra):
     floors = sum(math.floor(x) for x in xs)
-    n = max(0, min(floors + extra, floors + len(xs)))
-    if n < floors and sum(math.floor(x) > 0 for x in xs) < floors - n:
-        return
+    n = max(0, floors + 4 * extra)
     df = spark.createDataFrame([("g", i, x, n) for i, x in enumerate(xs)], "g string, i int, x double, n long")
     got = [r.apportioned for r in A.largest_remainder(df, ["g"], "x", "n", [F.col("i")]).orderBy("i").collect()]
-    assert sum(got) == n and all(abs(a - math.floor(x)) <= 1 and a >= 0 for a, x in zip(got, xs, strict=True))
+    # one at a time, in turns
+    want, frac = [math.floor(x) for x in xs], [round(x - math.floor(x), 12) for x in xs]
+    while sum(want) != n:
+        up = sum(want) < n
+        for i in sorted(range(len(xs)), key=lambda i: (-frac[i] if up else frac[i], i)):
+            if sum(want) != n and (up or want[i] > 0):
+                want[i] += 1 if up else -1
+    assert got == want
 
 
 def test_ties_go_to_the_first(spark):
@@ -27,6 +32,12 @@ def test_ties_go_to_the_first(spark):
     assert got == {("g", 0): 2, ("g", 1): 1, ("g", 2): 1, ("g", 3): 1, ("h", 0): 3}
 
 
+def test_excess_is_taken_in_turns(spark):
+    df = spark.createDataFrame([("g", 0, 5.0, 3), ("g", 1, 5.0, 3), ("z", 0, 1.2, 0), ("z", 1, 7.1, 0), ("k", 0, 4.5, 2), ("k", 1, 1.2, 2), ("k", 2, 1.1, 2)], "g string, i int, x double, n long")
+    got = {(r.g, r.i): r.apportioned for r in A.largest_remainder(df, ["g"], "x", "n", [F.col("i")]).collect()}
+    assert got == {("g", 0): 1, ("g", 1): 2, ("z", 0): 0, ("z", 1): 0, ("k", 0): 2, ("k", 1): 0, ("k", 2): 0}
+
+
 def test_allocation_of_a_symmetric_square_is_even(spark):
     m = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "row string, col string, value double")
     g = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "unknown"), ("q", "a")], "pattern string, relation string")

@@ -44,3 +44,17 @@ def test_time_stamps(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == [1735689600 * 10**6] * len(forms) + [None] * 4
     assert F is not None
+
+
+def test_shards_take_sixteen_digits(spark):
+    import hashlib
+
+    from kgloom.operators.triples import shard
+
+    names = ["P17", "P31", "P999", "", "é", "P279"]
+    df = spark.createDataFrame([(x,) for x in names], "r string")
+    for digest in ("sha1", "sha256"):
+        want = {x: int(hashlib.new(digest, x.encode()).hexdigest()[:16], 16) % 7 for x in names}
+        assert {r.r: r.s for r in df.select("r", shard("r", 7, digest).alias("s")).collect()} == want
+    # fixed values
+    assert df.where("r = 'P17'").select(shard("r", 8), shard("r", 8, "sha256")).collect()[0] == (7, 7)

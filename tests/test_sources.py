@@ -54,17 +54,42 @@ def test_lenient_folder_and_labels(spark, tmp_path):
     assert {(r.h, r.source_line) for r in sh.collect()} == {("a", 1), ("e", 3)}
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    rows = [{"h": f"h{i}", "r": "r", "t": "t", "pad": "x" * (i % 90)} for i in range(400)]
+    put(tmp_path, "a.jsonl", "\n".join(json.dumps(x) if i % 7 else "" for i, x in enumerate(rows)))
+    put(tmp_path, "b.jsonl", json.dumps(rows[0]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        got = S.read_candidate_shards(spark, str(tmp_path)).select("h", "source_line", "source_path").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert {(r.h, r.source_line) for r in got if r.source_path.endswith("a.jsonl")} == {(f"h{i}", i + 1) for i in range(400) if i % 7}
+    assert [r.source_line for r in got if r.source_path.endswith("b.jsonl")] == [1]
+
+
+def test_type_closure(spark):
+    direct = spark.createDataFrame([("e", "a"), ("f", "x"), (None, "a"), ("g", None), ("c", "y")], "entity string, type string")
+    steps = spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(20)] + [("a", "00"), ("y", "z"), ("z", "y"), ("z", "z"), (None, "q"), ("a", None)], "type string, super string")
+    got = {tuple(r) for r in S.type_closure(direct, steps).collect()}
+    assert got == {("e", "a"), ("f", "x"), ("c", "y"), ("c", "z")} | {("e", f"{i:02d}") for i in range(21)}
+    assert S.type_closure(direct, steps.limit(0)).count() == 3
+
+
 def test_support_documents(spark, tmp_path):
     docs = [
         {"r1": "P1", "status": "SUCCESS", "support_data": {"P2": {"loop": 1, "nonloop": 2, "total": 0}, "x": {"loop": 1}, "P3": {"loop": "2", "nonloop": 3, "total": 9}}},
         {"r1": "P4", "status": "SUCCESS", "support_by_r2": {"P2": 7}},
         {"r1": "P5", "status": "SUCCESS", "top_support": [{"r2": "P6", "support": 8}]},
+        {"r1": "P8", "status": "SUCCESS", "support": [{"r2": "P6", "support": 3}, {"r2": "P6", "support": 4}], "topk_support": [{"r2": "P9", "support": 1}]},
         {"r1": "P7", "status": "ERROR", "support_by_r2": {"P2": 1}},
         {"r1": "bad", "status": "SUCCESS", "support_by_r2": {"P2": 1}},
     ]
     f = put(tmp_path, "h.jsonl", "\n".join(map(json.dumps, docs)) + "\n{oops\n")
-    assert {(r.r1, r.r2, r.loop, r.nonloop, r.total) for r in S.read_hop_support(spark, f).collect()} == {("P1", "P2", 1, 2, 3), ("P1", "P3", 2, 3, 9), ("P4", "P2", 0, 0, 7), ("P5", "P6", 0, 0, 8)}
-    assert S.read_hop_support(spark, f, only_success=False).count() == 5
+    assert {(r.r1, r.r2, r.loop, r.nonloop, r.total) for r in S.read_hop_support(spark, f).collect()} == {("P1", "P2", 1, 2, 3), ("P1", "P3", 2, 3, 9), ("P4", "P2", 0, 0, 7), ("P5", "P6", 0, 0, 8), ("P8", "P6", 0, 0, 3), ("P8", "P9", 0, 0, 1)}
+    assert S.read_hop_support(spark, f, only_success=False).count() == 7
     comp = {"input_status": "SUCCESS", "r1": "P1", "r2": "P2", "support": 4, "rule_verification": {"composition": {"P3": {"chain_pairs_examined": 10, "chain_pairs_with_shortcut": 4}, "P9": {}}}}
     got = {r.r3: (r.support, r.examined, r.shortcuts, r.missing, r.confidence) for r in S.read_compositions(spark, put(tmp_path, "c.jsonl", json.dumps(comp))).collect()}
     assert got == {"P3": (4, 10, 4, 6, 0.4), "P9": (4, 0, 0, 0, 0.0)}
