@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.session import cut
+from kgloom.session import cut, drop_cut
 
 
 def value_frequencies(df: DataFrame, keys: Sequence[str], value: str, freq: str = "freq") -> DataFrame:
@@ -60,18 +60,25 @@ def _all(conds: list[Column]) -> Column:
     return out
 
 
+#: Rows of a range piece.
+PIECE = 2_000_000
+
+
 def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column], weight: Column | None = None, total: str = "running", pieces: int | None = None) -> DataFrame:
     """``df`` with the inclusive running sum of ``weight`` (rows if None) inside each group in the given order, exact.
 
-    No group ends up in one task: rows are range-partitioned by group and order, so a group of any size is cut into pieces of bounded
-    size; each piece is summed on its own and shifted by the totals of the pieces before it. ``order`` must end in a unique column, else
+    No group ends up in one task: rows are range-partitioned by group and order, so a group of any size is cut into pieces of about
+    ``PIECE`` rows, or into as many as there are shuffle partitions if that makes them smaller; each piece is summed on its own and shifted by the totals of the pieces before it. ``order`` must end in a unique column, else
     rows that tie share pieces. The partitioned rows are written once (:func:`kgloom.session.cut`), so a repeated task sees the same pieces.
     """
     spark = df.sparkSession
-    n = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = F.lit(1).cast("long") if weight is None else weight
-    ranged = df.withColumn("_w", w).repartitionByRange(n, *[F.col(g) for g in group], *order).withColumn("_piece", F.spark_partition_id())
+    # written first, as rows are counted, sampled for the ranges and moved
+    flat = cut(df.withColumn("_w", w))
+    n = pieces or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-flat.count() // PIECE))
+    ranged = flat.repartitionByRange(n, *[F.col(g) for g in group], *order).withColumn("_piece", F.spark_partition_id())
     ranged = cut(ranged)
+    drop_cut(flat)
     own = Window.partitionBy("_piece", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = ranged.withColumn(total, F.sum("_w").over(own))
     # at most one row per piece of a group, so this window never holds more than ``pieces`` rows of a group
@@ -111,6 +118,46 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]],
     return salted.join(many, _all(cond), how).drop("_salt", "_rsalt", *[b for _, b in on])
 
 
+#: Rows of a written table that may be broadcast.
+SMALL = 100_000
+
+
+def lookup(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str = "inner", small: int = SMALL) -> DataFrame:
+    """Join a skewed ``left`` to a written ``right`` with one row per key, null-safe: broadcast if ``right`` has at most ``small`` rows, which
+    are counted first; else :func:`skew_join`. The key columns of ``right`` go. ``how``: inner or left."""
+    if len(right.select(on[0][1]).take(small + 1)) > small:
+        return skew_join(left, right, on, how)
+    cond = _all([F.col(a).eqNullSafe(F.col(b)) for a, b in on])
+    return left.join(F.broadcast(right), cond, how).drop(*[b for _, b in on])
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], over: int) -> DataFrame:
+    """(keys, n_rows) of the keys with more than ``over`` rows; there are fewer than rows/``over`` of them.
+
+    Rows are counted by hash bucket first, which shuffles a bounded number of counts per task; keys are only told apart inside buckets that
+    hold more than ``over`` rows, of which there are few as well."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(65_536)).cast("int")
+    full = df.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > over).select("_b")
+    near = df.select(*keys, bucket.alias("_hb")).join(F.broadcast(full), F.col("_hb") == F.col("_b"), "left_semi")
+    return near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > over)
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: tuple[str, str], how: str = "inner") -> DataFrame:
+    """Join a written, skewed ``left`` to ``right`` with one row per key on one column that is never NULL in ``left``. ``how``: inner or left.
+
+    Keys that hold more than a quarter of an even partition's share of ``left`` (at most four times as many as partitions) meet their rows of
+    ``right`` by broadcast; all others are joined as usual. The key column of ``right`` goes."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = on
+    hot = cut(hot_keys(left, [a], max(10_000, left.count() // (4 * parts))).select(F.col(a).alias("_hot")))
+    if hot.isEmpty():
+        return left.join(right, F.col(a) == F.col(b), how).drop(b)
+    few = F.broadcast(right.join(F.broadcast(hot), F.col(b) == F.col("_hot"), "left_semi"))
+    known = left.join(F.broadcast(hot), F.col(a) == F.col("_hot"), "left_semi").join(few, F.col(a) == F.col(b), how).drop(b)
+    rest = left.join(F.broadcast(hot), F.col(a) == F.col("_hot"), "left_anti").join(right, F.col(a) == F.col(b), how).drop(b)
+    return known.unionByName(rest)
+
+
 def heavy_keys(freqs: DataFrame, scope: str, key: str, parts: int, of: int, freq: str = "freq") -> DataFrame:
     """Keys that hold at least ``parts`` of every ``of`` rows of their ``scope`` (a table name, say), compared in whole numbers.
 

@@ -4,6 +4,8 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from kgloom.operators import skew
 
 ROWS = st.lists(st.tuples(st.sampled_from(["hot"] * 4 + ["b", None]), st.sampled_from([1.0, 2.0, 2.5, None, float("nan"), -3.0])), max_size=60)
@@ -60,3 +62,19 @@ def test_skew_join(spark):
     left = spark.createDataFrame([("h", i % 3) for i in range(50)] + [(None, 1), ("c", 1)], "k string, n int")
     right = spark.createDataFrame([("h", 10), (None, 20)], "kk string, v int")
     assert Counter(tuple(r) for r in skew.skew_join(left, right, [("k", "kk")], "left").select("k", "v").collect()) == {("h", 10): 50, (None, 20): 1, ("c", None): 1}
+
+
+def test_lookups_of_any_size_and_hot_keys(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(300)] + [(f"k{i % 40}", i) for i in range(80)] + [(None, 1), ("gone", 1)], "k string, x int")
+    right = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(40)], (None, 7)], "b string, v int")
+    for how, n in (("inner", 381), ("left", 382)):
+        for small in (100, 5):
+            got = skew.lookup(left, right, [("k", "b")], how, small=small)
+            assert got.columns == ["k", "x", "v"] and got.count() == n
+    assert [tuple(r) for r in skew.hot_keys(left, ["k"], 100).collect()] == [("hot", 300)]
+    assert skew.hot_keys(left.limit(0), ["k"], 0).count() == 0
+    big = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).cast("long").alias("p"), "id")
+    names = spark.range(50_000).select(F.col("id").alias("node"), (F.col("id") * 2).alias("g"))
+    for how in ("inner", "left"):
+        want = {tuple(r) for r in big.join(names, F.col("p") == F.col("node"), how).select("p", "id", "g").collect()}
+        assert {tuple(r) for r in skew.hot_join(big, names, ("p", "node"), how).collect()} == want
