@@ -105,7 +105,7 @@ def weighted_percentiles(freqs: DataFrame, keys: Sequence[str], value: str, poin
     return hit.select(*keys, "q", F.col(value).alias("value"))
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str = "inner", salts: int = 16) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str = "inner", salts: int = 16, keep: bool = False) -> DataFrame:
     """Join a skewed ``left`` to a ``right`` with one row per key, null-safe, without one task taking a hot key of ``left``.
 
     Rows of ``left`` get a salt, ``right`` is repeated once for each salt: a key that holds a third of all rows is spread over ``salts``
@@ -115,20 +115,20 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]],
     # Spark judges the repeated side by the size of the unrepeated one and would broadcast it
     many = right.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     cond = [F.col("_salt") == F.col("_rsalt")] + [F.col(a).eqNullSafe(F.col(b)) for a, b in on]
-    return salted.join(many, _all(cond), how).drop("_salt", "_rsalt", *[b for _, b in on])
+    return salted.join(many, _all(cond), how).drop("_salt", "_rsalt", *([] if keep else [b for _, b in on]))
 
 
 #: Rows of a written table that may be broadcast.
 SMALL = 100_000
 
 
-def lookup(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str = "inner", small: int = SMALL) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str = "inner", small: int = SMALL, keep: bool = False) -> DataFrame:
     """Join a skewed ``left`` to a written ``right`` with one row per key, null-safe: broadcast if ``right`` has at most ``small`` rows, which
-    are counted first; else :func:`skew_join`. The key columns of ``right`` go. ``how``: inner or left."""
+    are counted first; else :func:`skew_join`. The key columns of ``right`` go unless ``keep`` is set. ``how``: inner or left."""
     if len(right.select(on[0][1]).take(small + 1)) > small:
-        return skew_join(left, right, on, how)
+        return skew_join(left, right, on, how, keep=keep)
     cond = _all([F.col(a).eqNullSafe(F.col(b)) for a, b in on])
-    return left.join(F.broadcast(right), cond, how).drop(*[b for _, b in on])
+    return left.join(F.broadcast(right), cond, how).drop(*([] if keep else [b for _, b in on]))
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], over: int) -> DataFrame:
