@@ -49,9 +49,9 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_kept(spark: SparkSession, d: str) -> DataFrame:
-    """The full records of the edges that stay, one per move_id and content."""
+    """The full records of the edges that stay, one per move_id and content; a NaN score comes out as NULL."""
     gone = capping.excess(_edges(spark, d), _limits(spark, d)).select(F.col("ident").alias("_gone"))
-    raw = _table(spark, d, "aux_edges").where(F.col("move_id").isNotNull()).distinct()
+    raw = _table(spark, d, "aux_edges").where(F.col("move_id").isNotNull()).withColumn("quality_score", F.when(~F.isnan("quality_score"), F.col("quality_score"))).distinct()
     return raw.join(gone, F.col("move_id") == F.col("_gone"), "left_anti")
 
 
@@ -194,7 +194,7 @@ SQL = {
     "p1_found": f"WITH {_P1_SQL} SELECT run_id, move_id FROM m WHERE gone",
     "p1_shares": f"""WITH {_P1_SQL} SELECT run_id, count(*) AS edges, count(*) FILTER (WHERE NOT gone) AS kept_edges, count(*) FILTER (WHERE NOT gone AND r = 'P17') AS p17_edges,
   round(count(*) FILTER (WHERE NOT gone AND r = 'P17') / nullif(count(*) FILTER (WHERE NOT gone), 0), 9) AS p17_share FROM m GROUP BY run_id""",
-    "p1_kept": f"WITH {_P1_SQL} SELECT DISTINCT a.* FROM aux_edges a WHERE move_id IN (SELECT move_id FROM m WHERE NOT gone)",
+    "p1_kept": f"WITH {_P1_SQL} SELECT DISTINCT a.* REPLACE (CASE WHEN NOT isnan(quality_score) THEN quality_score END AS quality_score) FROM aux_edges a WHERE move_id IN (SELECT move_id FROM m WHERE NOT gone)",
     "p2_found": f"WITH {_P2_SQL} SELECT 'Q' || label AS group_id, 'Q' || v AS entity_id FROM g",
     "p2_sizes": f"WITH {_P2_SQL} SELECT group_size, count(*) AS n_groups FROM (SELECT label, count(*) AS group_size FROM g GROUP BY label) GROUP BY group_size",
     "p4_found": _P4_SQL,
