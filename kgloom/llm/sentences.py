@@ -55,7 +55,9 @@ _PAIRS = regex.compile(r"[()\[\]{}（）［］【】〔〕《》〈〉「」『
 _TOKEN = regex.compile(rf"(?P<end>[{regex.escape(END)}]+)|(?P<pair>[(\[{{（［【〔《〈「『«‹“„\"〝｢])|(?<=\p{{Thai}})(?P<gap>\s+)(?=\S)|(?<=\S)(?P<gap2>\s+)(?=\p{{Thai}})")
 _THAI = regex.compile(r"\p{Thai}")
 _LATIN = regex.compile(r"[\p{Latin}\p{N}]")
-_NAME = regex.compile(r"v\d|[\p{L}\p{N}]+_[\p{L}\p{N}]|[\p{L}\p{N}_]+\.(?:jsonl?|tsv|csv|md|txt|parquet|ya?ml|py)\b")
+# a small letter begins a name and no common word if a digit, a capital, an underscore or an address or path mark follows inside the word, or a
+# full stop with two letters or more (v1.2, x_y, table.csv, iPhone, /usr/bin)
+_NAME = regex.compile(r"[\p{Ll}\p{M}]+(?:-[\p{Ll}\p{M}]+)*-?(?:\p{N}|\p{Lu}|_[\p{L}\p{N}]|[/@\\]\p{L}|\.\p{L}{2})")
 _BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.º№-]+$")
 _GREEK = regex.compile(r"\p{Greek}")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
@@ -93,33 +95,34 @@ def _ends_in(trie: dict, text: str, start: int, end: int) -> bool:
     return False
 
 
+#: Opening marks that each closing mark may close.
+_OPENERS = {c: tuple(o for o, x in OPEN.items() if x == c or o == "„" and c in LATE) for c in CLOSE} | {'"': ('"',)}
+
+
 def _pairs(text: str, start: int, end: int) -> dict[int, int]:
-    """Place of each opening quote or bracket that is closed inside [start, end), with the place of its closing one."""
+    """Place of each opening quote or bracket that is closed inside [start, end), with the place of its closing one.
+
+    A closing mark closes the last open mark of its kind and drops what was opened inside and never closed. Open marks are counted by kind,
+    so a mark that closes nothing costs nothing and every opening mark is taken off the stack once."""
     stack: list[tuple[str, int]] = []
+    waiting: dict[str, int] = {}
     found: dict[int, int] = {}
     for m in _PAIRS.finditer(text, start, end):
         ch, i = m[0], m.start()
-        if ch == '"':
-            wanted = '"'
-            closing = any(o == '"' for o, _ in stack)
-        else:
-            closing = ch in CLOSE and any(_closes(o, ch) for o, _ in stack)
-            wanted = ch
-        if closing:
-            while stack:
+        kinds = _OPENERS.get(ch, ())
+        if any(waiting.get(o) for o in kinds):
+            while True:
                 o, at = stack.pop()
-                if (o == '"' and wanted == '"') or (o != '"' and _closes(o, wanted)):
+                waiting[o] -= 1
+                if o in kinds:
                     found[at] = i
                     break
         elif ch in OPEN or ch == '"':
             stack.append((ch, i))
+            waiting[ch] = waiting.get(ch, 0) + 1
     return found
 
 
-def _closes(opened: str, ch: str) -> bool:
-    return opened == '"' and ch == '"' or opened == "„" and ch in LATE or opened != '"' and OPEN[opened] == ch
-
-
 class _Block:
     """Running text between two places; :meth:`cuts` yields where its units end."""
 
@@ -277,6 +280,14 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+def _indent(text: str, start: int, end: int) -> int:
+    """Columns of white space at the start of a line; a tab goes to the next multiple of four."""
+    at = 0
+    for ch in text[start:end]:
+        at += 4 - at % 4 if ch == "\t" else ch != GAP
+    return at
+
+
 def sentence_units(text: str | None) -> list[tuple[int, int]]:
     """Offsets [start, end) of the units of ``text`` in order, in code points; none for NULL or blank text."""
     if not text:
@@ -285,6 +296,8 @@ def sentence_units(text: str | None) -> list[tuple[int, int]]:
     block = -1  # start of the open block of running text
     last = 0
     before = "blank"
+    # list levels that are open: how far their marks are indented; the unit emitted last belongs to the innermost
+    levels: list[int] = []
 
     def close(end: int) -> None:
         nonlocal block
@@ -317,13 +330,25 @@ def sentence_units(text: str | None) -> list[tuple[int, int]]:
             kind = "list"
         else:
             kind = "text"
-        if kind == "text":
+        if kind == "list" or levels:
+            indent = _indent(text, pos, s)
+        if kind == "text" and levels and block < 0 and before == "list" and indent > levels[-1]:
+            out[-1] = (out[-1][0], e)  # a line of the item above
+            kind = "list"
+        elif kind == "text":
+            levels.clear()
             if block < 0:
                 block = s
         else:
             close(last)
             if kind != "blank":
                 out.append((s, e))
+            if kind == "list":
+                while levels and levels[-1] >= indent:
+                    levels.pop()
+                levels.append(indent)
+            else:
+                levels.clear()
         last, before = end, kind
         if not m:
             break

@@ -61,3 +61,39 @@ def test_long_text_and_table(spark):
     got = sentences(df).groupBy("doc_id").count().collect()
     assert {tuple(r) for r in got} == {(1, 40_000), (3, 1)}
     assert sentences(df.limit(0)).count() == 0
+
+
+def test_wrapped_and_nested_list_items():
+    text = "- One goes\n  on here. And on.\n  - Two is nested\n    and wrapped.\n\t- Three\n- Four\nText after it. More.\n\n* Five\n\n  apart\n\n1. Six\n   still six\n - seven\n | cell |\n   cell text"
+    assert split(text) == ["- One goes\n  on here. And on.", "- Two is nested\n    and wrapped.", "- Three", "- Four", "Text after it.", "More.", "* Five", "apart", "1. Six\n   still six", "- seven", "| cell |", "cell text"]
+
+
+def test_names_may_begin_a_sentence():
+    assert split("It left. iPhone and eBay stay. x_y too. a/b next. h2 ends. table.csv is read. and so on. e.g. this") == ["It left.", "iPhone and eBay stay.", "x_y too.", "a/b next.", "h2 ends.", "table.csv is read. and so on. e.g. this"]
+
+
+def test_unclosed_marks_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        sentence_units("(]" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.02)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("()[]«»“”„\"‟x", max_size=40))
+def test_pairs_against_a_plain_stack(text):
+    from kgloom.llm import sentences as S
+
+    stack, found = [], {}
+    for i, ch in enumerate(text):
+        fits = [k for k, (o, _) in enumerate(stack) if (o == ch == '"') or (o != '"' and (S.OPEN[o] == ch or o == "„" and ch in S.LATE))]
+        if ch in S.CLOSE and fits:
+            found[stack[fits[-1]][1]] = i
+            del stack[fits[-1] :]
+        elif ch in S.OPEN or ch == '"':
+            stack.append((ch, i))
+    assert S._pairs(text, 0, len(text)) == found
