@@ -1,9 +1,9 @@
 """p1: capping records per dominant contributor.
 
-Mergeable bounded lists: each task folds its rows into one list per contributor that holds no more than the contributor's cap, lists are
-merged in a tree (first per contributor and branch, then per contributor), and the full records are semi-joined to what is left. Caps that
-grow with the data (a share of a large run) would make such a list unbounded: contributors whose cap exceeds ``HEAP_CAP`` are ranked
-exactly by range pieces instead (:func:`kgloom.operators.skew.running_totals`).
+Mergeable bounded lists: each task folds its rows into one list per contributor that holds no more than the contributor's cap, before
+anything is shuffled; lists are merged in a tree (first per contributor and branch, then per contributor), and the full records are
+semi-joined to what is left. Caps that grow with the data (a share of a large run) would make such a list unbounded: contributors whose cap
+exceeds ``HEAP_CAP`` are ranked exactly by range pieces instead (:func:`kgloom.operators.skew.running_totals`).
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.heaps import heap_stream
-from kgloom.operators.skew import running_totals, skew_join
+from kgloom.llm.heaps import capped_stream, heap_stream
+from kgloom.operators.skew import lookup, running_totals
 from kgloom.session import cut
 
 #: Longest list a contributor may have in one task.
@@ -27,8 +27,9 @@ def contributor_caps(edges: DataFrame, limits: DataFrame) -> DataFrame:
     cap = the smaller of max_count and floor(max_share × rows of the scope), the latter at least 1; a missing limit doesn't bind, both
     missing or a scope without limits gives a NULL cap (no limit). A NULL scope has no limits. Rows without contributor belong to none.
     """
-    per = edges.where(F.col("contributor").isNotNull()).groupBy("scope", "contributor").agg(F.count(F.lit(1)).alias("n"))
-    whole = edges.groupBy(F.col("scope").alias("_s")).agg(F.count(F.lit(1)).alias("n_scope"))
+    every = edges.groupBy("scope", "contributor").agg(F.count(F.lit(1)).alias("n"))
+    per = every.where(F.col("contributor").isNotNull())
+    whole = every.groupBy(F.col("scope").alias("_s")).agg(F.sum("n").alias("n_scope"))
     bound = whole.join(limits.select(F.col("scope").alias("_l"), "max_count", "max_share"), F.col("_s") == F.col("_l"))
     share = F.when(F.col("max_share").isNotNull() & ~F.isnan("max_share"), F.greatest(F.floor(F.col("max_share") * F.col("n_scope")), F.lit(1)))
     bound = bound.select("_s", F.least(F.col("max_count").cast("long"), share).alias("cap"))  # least skips NULL
@@ -42,33 +43,26 @@ def over_cap(edges: DataFrame, caps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = edges.sparkSession
     over = cut(caps.where(F.col("n") > F.col("cap")).select(F.col("scope").alias("_c0"), F.col("contributor").alias("_c1"), F.greatest("cap", F.lit(0)).alias("cap")))
-    rows = cut(skew_join(edges.select("scope", "contributor", "score", "ident"), over, [("scope", "_c0"), ("contributor", "_c1")]))
+    rows = lookup(edges.select("scope", "contributor", "score", "ident"), over, [("scope", "_c0"), ("contributor", "_c1")])
     small = rows.where(F.col("cap") <= HEAP_CAP)
-    fold = heap_stream(["scope", "contributor"], "cap", "score", "ident")
-    lists = small.mapInArrow(fold, small.schema)
+    keys = ["scope", "contributor"]
+    fold = heap_stream(keys, "cap", "score", "ident")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fan = max(2, math.isqrt(parts))
-    branch = F.pmod(F.spark_partition_id(), F.lit(fan))
-    merged = lists.withColumn("_branch", branch).repartition(parts, "scope", "contributor", "_branch").drop("_branch").mapInArrow(fold, small.schema)
-    # the last merge sees at most fan × cap rows of a contributor
-    final = merged.repartition(parts, "scope", "contributor")
-    kept = _ranked(final).where(F.col("_rank") <= F.col("cap")).select("ident")
-    if not rows.where(F.col("cap") > HEAP_CAP).isEmpty():
+    branch = F.pmod(F.spark_partition_id(), F.lit(max(2, math.isqrt(parts))))
+    lists = small.mapInArrow(fold, small.schema).withColumn("_branch", branch)
+    merged = lists.repartition(parts, *keys, "_branch").drop("_branch").mapInArrow(fold, small.schema)
+    # the last merge reads sorted lists, at most branches × cap rows of a contributor, and keeps none of them
+    last = merged.withColumn("_s", F.when(~F.isnan("score"), F.col("score"))).repartition(parts, *keys).sortWithinPartitions(*keys, F.col("_s").desc_nulls_last(), "ident")
+    kept = last.drop("_s").mapInArrow(capped_stream(keys, "cap"), small.schema).select("ident")
+    if not over.where(F.col("cap") > HEAP_CAP).isEmpty():
         worst = F.col("score").isNull() | F.isnan("score")
         large = rows.where(F.col("cap") > HEAP_CAP).withColumn("_worst", worst).withColumn("_neg", F.when(~worst, -F.col("score")))
-        run = running_totals(large, ["scope", "contributor"], [F.col("_worst"), F.col("_neg"), F.col("ident")], total="_rank")
+        run = running_totals(large, keys, [F.col("_worst"), F.col("_neg"), F.col("ident")], total="_rank")
         kept = kept.unionByName(run.where(F.col("_rank") <= F.col("cap")).select("ident"))
     return rows, kept
 
 
-def _ranked(df: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    s = F.when(~F.isnan("score"), F.col("score"))
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy("scope", "contributor").orderBy(s.desc_nulls_last(), "ident")))
-
-
 def excess(edges: DataFrame, limits: DataFrame) -> DataFrame:
-    """scope, ident of the rows in excess of their contributor's cap."""
+    """scope, ident of the rows in excess of their contributor's cap. ``edges`` is read several times: bring a written table."""
     rows, kept = over_cap(edges, contributor_caps(edges, limits))
     return rows.join(kept.withColumnRenamed("ident", "_kept"), F.col("ident") == F.col("_kept"), "left_anti").select("scope", "ident")

@@ -62,6 +62,30 @@ def heap_stream(keys: Sequence[str], cap: str, score: str, ident: str, hold: int
     return fold
 
 
+def capped_stream(keys: Sequence[str], cap: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From a partition sorted by ``keys`` hand on the first ``cap`` rows of each key (``cap`` is the same in all its rows). Only the running
+    key and its count are remembered between batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        count = 0
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            code = _codes(pa.Table.from_batches([b]), keys)
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            place = np.arange(len(code)) - np.repeat(starts, np.diff(np.r_[starts, len(code)])) + 1
+            ends = [tuple(b.column(b.schema.get_field_index(k))[i].as_py() for k in keys) for i in (0, b.num_rows - 1)]
+            if ends[0] == last:
+                place[: starts[1] if len(starts) > 1 else len(code)] += count
+            last, count = ends[1], int(place[-1])
+            out = b.filter(pa.array(place <= b.column(b.schema.get_field_index(cap)).to_numpy(zero_copy_only=False)))
+            if out.num_rows:
+                yield out
+
+    return run
+
+
 def first_n_stream(group: str, n: int, rank: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """From a partition sorted by ``group`` hand on the first ``n`` rows of each group, with their place from 1 if ``rank`` names a column.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kgloom.functions.ids import id_long, plain_id, plain_id_sql
 from kgloom.functions.labels import FILLERS
 from kgloom.llm import capping, consolidate, fusion, leakage, mixing, sentences, topn
+from kgloom.session import cut
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -18,12 +19,13 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """One row per move_id: scope (run), contributor (relation), score, ident. Deliveries of one move that differ count as the greatest."""
+    """One row per move_id: scope (run), contributor (relation), score, ident, written once. Deliveries of one move that differ count as the
+    greatest."""
     raw = _table(spark, d, "aux_edges").where(F.col("move_id").isNotNull())
     score = F.when(~F.isnan("quality_score"), F.col("quality_score"))
     raw = raw.select(F.col("move_id").cast("long").alias("ident"), F.col("run_id").alias("scope"), plain_id("r", "P").alias("contributor"), score.alias("score"))
     one = raw.groupBy("ident").agg(F.max(F.struct("scope", "contributor", "score")).alias("x"))
-    return one.select("ident", "x.scope", "x.contributor", "x.score")
+    return cut(one.select("ident", "x.scope", "x.contributor", "x.score"))
 
 
 def _limits(spark: SparkSession, d: str) -> DataFrame:
