@@ -1,19 +1,20 @@
 """p1: capping records per dominant contributor.
 
 Mergeable bounded lists: each task folds its rows into one list per contributor that holds no more than the contributor's cap, before
-anything is shuffled; lists are merged in a tree (first per contributor and branch, then per contributor), and the full records are
-semi-joined to what is left. Caps that grow with the data (a share of a large run) would make such a list unbounded: contributors whose cap
-exceeds ``HEAP_CAP`` are ranked exactly by range pieces instead (:func:`kgloom.operators.skew.running_totals`).
+anything is shuffled; lists are merged in a tree (first per contributor and branch, then per contributor), and the full records are told
+apart by the last entry of their contributor's list. Caps that grow with the data (a share of a large run) would make such a list unbounded:
+contributors whose cap exceeds ``HEAP_CAP`` are ranked exactly by range pieces instead (:func:`kgloom.operators.skew.running_totals`).
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.heaps import capped_stream, heap_stream
+from kgloom.llm.heaps import heap_stream, place_stream
 from kgloom.operators.skew import lookup, running_totals
 from kgloom.session import cut
 
@@ -36,33 +37,37 @@ def contributor_caps(edges: DataFrame, limits: DataFrame) -> DataFrame:
     return per.join(bound, F.col("scope") == F.col("_s"), "left").drop("_s")
 
 
-def over_cap(edges: DataFrame, caps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of contributors over their cap with cap, identifiers kept of them). ``edges``: scope, contributor, score, ident (unique).
+def excess(edges: DataFrame, limits: DataFrame) -> DataFrame:
+    """scope, ident of the rows in excess of their contributor's cap. ``edges``: scope, contributor, score, ident (unique), read several times:
+    bring a written table.
 
-    Kept are the highest scores (NULL and NaN last), ties by smaller ident. A negative cap keeps none.
+    Kept are the highest scores (NULL and NaN last), ties by smaller ident; a negative cap keeps none. A row is in excess if it comes after
+    the last entry of its contributor's full list, so no rows but the lists are moved.
     """
-    spark = edges.sparkSession
+    caps = contributor_caps(edges, limits)
     over = cut(caps.where(F.col("n") > F.col("cap")).select(F.col("scope").alias("_c0"), F.col("contributor").alias("_c1"), F.greatest("cap", F.lit(0)).alias("cap")))
-    rows = lookup(edges.select("scope", "contributor", "score", "ident"), over, [("scope", "_c0"), ("contributor", "_c1")])
-    small = rows.where(F.col("cap") <= HEAP_CAP)
+    own = edges.select("scope", "contributor", F.when(~F.isnan("score"), F.col("score")).alias("score"), "ident")
+    rows = lookup(own, over, [("scope", "_c0"), ("contributor", "_c1")])
     keys = ["scope", "contributor"]
-    fold = heap_stream(keys, "cap", "score", "ident")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    branch = F.pmod(F.spark_partition_id(), F.lit(max(2, math.isqrt(parts))))
-    lists = small.mapInArrow(fold, small.schema).withColumn("_branch", branch)
-    merged = lists.repartition(parts, *keys, "_branch").drop("_branch").mapInArrow(fold, small.schema)
-    # the last merge reads sorted lists, at most branches × cap rows of a contributor, and keeps none of them
-    last = merged.withColumn("_s", F.when(~F.isnan("score"), F.col("score"))).repartition(parts, *keys).sortWithinPartitions(*keys, F.col("_s").desc_nulls_last(), "ident")
-    kept = last.drop("_s").mapInArrow(capped_stream(keys, "cap"), small.schema).select("ident")
+    ends = [_list_ends(rows.where(F.col("cap") <= HEAP_CAP), keys)]
     if not over.where(F.col("cap") > HEAP_CAP).isEmpty():
-        worst = F.col("score").isNull() | F.isnan("score")
-        large = rows.where(F.col("cap") > HEAP_CAP).withColumn("_worst", worst).withColumn("_neg", F.when(~worst, -F.col("score")))
+        large = rows.where(F.col("cap") > HEAP_CAP).withColumn("_worst", F.col("score").isNull()).withColumn("_neg", -F.col("score"))
         run = running_totals(large, keys, [F.col("_worst"), F.col("_neg"), F.col("ident")], total="_rank")
-        kept = kept.unionByName(run.where(F.col("_rank") <= F.col("cap")).select("ident"))
-    return rows, kept
+        ends.append(run.where(F.col("_rank") == F.col("cap")).select(*keys, "score", "ident"))
+    last = reduce(DataFrame.unionByName, ends).select(F.col("scope").alias("_l0"), F.col("contributor").alias("_l1"), F.col("score").alias("_score"), F.col("ident").alias("_ident"))
+    m = lookup(rows, cut(last), [("scope", "_l0"), ("contributor", "_l1")], "left")
+    place = lambda s, i: F.struct(F.col(s).isNull(), -F.col(s), F.col(i))
+    # a list of length 0 has no end
+    return m.where(F.col("_ident").isNull() | (place("score", "ident") > place("_score", "_ident"))).select("scope", "ident")
 
 
-def excess(edges: DataFrame, limits: DataFrame) -> DataFrame:
-    """scope, ident of the rows in excess of their contributor's cap. ``edges`` is read several times: bring a written table."""
-    rows, kept = over_cap(edges, contributor_caps(edges, limits))
-    return rows.join(kept.withColumnRenamed("ident", "_kept"), F.col("ident") == F.col("_kept"), "left_anti").select("scope", "ident")
+def _list_ends(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last entry of each contributor's list of ``cap`` best rows (scope, contributor, score, ident, cap; all have more rows than that)."""
+    fold = heap_stream(keys, "cap", "score", "ident")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    branch = F.pmod(F.spark_partition_id(), F.lit(max(2, math.isqrt(parts))))
+    lists = rows.mapInArrow(fold, rows.schema).withColumn("_branch", branch)
+    merged = lists.repartition(parts, *keys, "_branch").drop("_branch").mapInArrow(fold, rows.schema)
+    # the last merge reads sorted lists, at most branches × cap rows of a contributor, and keeps none of them
+    final = merged.repartition(parts, *keys).sortWithinPartitions(*keys, F.col("score").desc_nulls_last(), "ident")
+    return final.mapInArrow(place_stream(keys, "cap"), rows.schema).select(*keys, "score", "ident")

@@ -62,9 +62,9 @@ def heap_stream(keys: Sequence[str], cap: str, score: str, ident: str, hold: int
     return fold
 
 
-def capped_stream(keys: Sequence[str], cap: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From a partition sorted by ``keys`` hand on the first ``cap`` rows of each key (``cap`` is the same in all its rows). Only the running
-    key and its count are remembered between batches."""
+def place_stream(keys: Sequence[str], cap: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From a partition sorted by ``keys`` hand on the row of each key at place ``cap`` (the same in all rows of a key), if it has one. Only the
+    running key and its count are remembered between batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
@@ -79,7 +79,7 @@ def capped_stream(keys: Sequence[str], cap: str) -> Callable[[Iterator[pa.Record
             if ends[0] == last:
                 place[: starts[1] if len(starts) > 1 else len(code)] += count
             last, count = ends[1], int(place[-1])
-            out = b.filter(pa.array(place <= b.column(b.schema.get_field_index(cap)).to_numpy(zero_copy_only=False)))
+            out = b.filter(pa.array(place == b.column(b.schema.get_field_index(cap)).to_numpy(zero_copy_only=False)))
             if out.num_rows:
                 yield out
 
