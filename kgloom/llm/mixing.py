@@ -3,38 +3,21 @@
 Every document has a place between 0 and 1 by the hash of its identifier. A source that must give a part of its tokens gives those documents
 whose place lies below a threshold; a source that must give more than it has repeats: its documents are all used k times and those below
 the threshold once more. The thresholds come from histograms of tokens by source and hash bucket: the bucket that holds the threshold is
-split again and again, and only its documents are looked at. Nothing is sorted, and a larger budget always keeps what a smaller one took.
+split again and again, and only its documents are looked at. No document is sorted, and a larger budget always keeps what a smaller one took.
+The plan of the sources is a table: it may hold any number of them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.functions.labels import folded
 from kgloom.llm.tokens import VOCABULARY, token_counts
-from kgloom.session import cut
+from kgloom.operators.skew import lookup
+from kgloom.session import cut, drop_cut
 
 BITS, LEVELS = 12, 5
-#: Sources that a mix may name; their plan is held on the driver.
-MAX_SOURCES = 10_000
-
-
-@dataclass
-class Plan:
-    """What a source gives: all its documents ``full`` times, those with hash below ``threshold`` once more."""
-
-    source: str
-    budget: float
-    available: int
-    full: int = 0
-    rest: float = 0.0
-    prefix: int = 0
-    below: int = 0
-    threshold: int = 0
-    open: bool = False
 
 
 def place(ident: str, seed: int) -> Column:
@@ -42,46 +25,51 @@ def place(ident: str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(ident)), 64 - BITS * LEVELS)
 
 
-def plans(sizes: DataFrame, targets: list[tuple[str, float, int]], total: float) -> list[Plan]:
-    """Thresholds for each target (source, share of ``total``, max_repeats). ``sizes``: source, place, n_tokens (> 0)."""
-    have = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("n")).where(F.col("source").isin([t[0] for t in targets])).collect()}
-    out = []
-    for source, share, repeats in targets:
-        p = Plan(source, share * total, have.get(source, 0))
-        if p.available:
-            p.full = min(int(p.budget // p.available), repeats)
-            p.rest = 0.0 if p.full == repeats else p.budget - p.full * p.available
-            p.open = p.rest > 0
-        out.append(p)
-    spark = sizes.sparkSession
+def plans(sizes: DataFrame, targets: DataFrame, total: float) -> DataFrame:
+    """``targets`` (source, share, repeats, one row per source) with budget, available, full, rest, threshold: what a source gives are all its
+    documents ``full`` times and those with a place below ``threshold`` once more. ``sizes``: source, place, n_tokens (> 0), written."""
+    have = sizes.groupBy("source").agg(F.sum("n_tokens").alias("_have"))
+    plan = targets.join(have, "source", "left").select("source", "share", "repeats", (F.col("share") * total).alias("budget"), F.coalesce("_have", F.lit(0)).alias("available"))
+    most = F.least(F.floor(F.col("budget") / F.col("available")), F.col("repeats")).cast("int")
+    plan = plan.withColumn("full", F.when(F.col("available") > 0, most).otherwise(F.lit(0)))
+    rest = F.when((F.col("available") > 0) & (F.col("full") < F.col("repeats")), F.col("budget") - F.col("full") * F.col("available")).otherwise(F.lit(0.0))
+    zero = F.lit(0).cast("long")
+    # while a source is open, its threshold lies in the bucket ``prefix`` and the documents before it hold ``below`` tokens
+    plan = cut(plan.withColumn("rest", rest).withColumns({"prefix": zero, "below": zero, "threshold": zero, "open": F.col("rest") > 0}))
     for level in range(LEVELS):
-        todo = [p for p in out if p.open]
-        if not todo:
+        todo = plan.where("open")
+        if todo.isEmpty():
             break
         shift = BITS * (LEVELS - 1 - level)
-        want = spark.createDataFrame([(p.source, p.prefix) for p in todo], "_source string, _prefix long")
-        # a row per source that is still open: at most MAX_SOURCES
-        near = sizes.join(F.broadcast(want), (F.col("source") == F.col("_source")) & (F.shiftright("place", shift + BITS) == F.col("_prefix")))
-        hist = near.groupBy("source", F.shiftright("place", shift).alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
-        cells: dict[str, list[tuple[int, int, int]]] = {}
-        # at most 2^BITS rows per source
-        for r in hist.collect():
-            cells.setdefault(r.source, []).append((r.bucket, r.n, r.docs))
-        for p in todo:
-            p.open = False
-            for bucket, n, docs in sorted(cells.get(p.source, [])):
-                if p.below + n <= p.rest:
-                    p.below += n
-                    p.threshold = (bucket + 1) << shift
-                    continue
-                p.threshold = bucket << shift
-                if docs > 1 and level < LEVELS - 1:
-                    p.prefix, p.open = bucket, True
-                elif p.below + n - p.rest < p.rest - p.below:  # one document, or several of one hash: the nearer side
-                    p.below += n
-                    p.threshold = (bucket + 1) << shift
-                break
-    return out
+        want = cut(todo.select(F.col("source").alias("_source"), F.col("prefix").alias("_prefix")))
+        near = lookup(sizes, want, [("source", "_source")], keep=True).where(F.shiftright("place", shift + BITS) == F.col("_prefix"))
+        hist = near.groupBy(F.col("source").alias("_s"), F.shiftright("place", shift).alias("bucket")).agg(F.sum("n_tokens").alias("_n"), F.count(F.lit(1)).alias("_docs"))
+        # at most 2^BITS buckets per source
+        upto = F.sum("_n").over(Window.partitionBy("_s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+        cells = hist.withColumn("_upto", upto).join(plan.select("source", "rest", "below"), F.col("_s") == F.col("source"))
+        over = F.col("below") + F.col("_upto") > F.col("rest")
+        cell = F.struct("bucket", "_n", "_docs", (F.col("_upto") - F.col("_n")).alias("_before"))
+        edge = cells.groupBy("_s").agg(F.min(F.when(over, cell)).alias("_edge"), F.max(F.struct("bucket", "_upto")).alias("_last"))
+        m = plan.join(edge, F.col("source") == F.col("_s"), "left")
+        met, none = F.col("_edge").isNotNull(), F.col("_last").isNotNull()
+        below = F.col("below") + F.col("_edge._before")
+        n = F.col("_edge._n")
+        split = (F.col("_edge._docs") > 1) & F.lit(level < LEVELS - 1)
+        # one document, or several of one hash: the nearer side
+        nearer = ~split & (below + n - F.col("rest") < F.col("rest") - below)
+        one = lambda c: F.shiftleft(c + 1, shift)
+        edged = F.when(nearer, one(F.col("_edge.bucket"))).otherwise(F.shiftleft(F.col("_edge.bucket"), shift))
+        after = m.select(
+            "source", "share", "repeats", "budget", "available", "full", "rest",
+            F.when(F.col("open") & met, F.col("_edge.bucket")).otherwise(F.col("prefix")).alias("prefix"),
+            F.when(F.col("open") & met, below + F.when(nearer, n).otherwise(0)).when(F.col("open") & none, F.col("below") + F.col("_last._upto")).otherwise(F.col("below")).alias("below"),
+            F.when(F.col("open") & met, edged).when(F.col("open") & none, one(F.col("_last.bucket"))).otherwise(F.col("threshold")).alias("threshold"),
+            (F.col("open") & met & F.coalesce(split, F.lit(False))).alias("open"),
+        )
+        plan, old = cut(after), plan
+        drop_cut(old)
+        drop_cut(want)
+    return plan
 
 
 def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -94,20 +82,14 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     """
     slim = documents.where(F.col("doc_id").isNotNull()).select("doc_id", folded("source").alias("source"), "text")
     sizes = cut(token_counts(slim, vocabulary=vocabulary).where(F.col("n_tokens") > 0).withColumn("place", place("doc_id", seed)))
-    wanted = targets.where(F.col("source").isNotNull()).groupBy(folded("source").alias("key")).agg(F.min("source").alias("source"), F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("repeats"))
-    rows = wanted.orderBy("key").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    wanted = targets.where(F.col("source").isNotNull()).groupBy(folded("source").alias("key")).agg(F.min("source").alias("target"), F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("repeats"))
+    wanted = cut(wanted)
     if total is None:
         total = float(sizes.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).collect()[0].n)
-    plan = plans(sizes, [(r.key, r.share, r.repeats) for r in rows], total)
-    name = {r.key: r for r in rows}
-    table = sizes.sparkSession.createDataFrame(
-        [(p.source, name[p.source].source, name[p.source].share, name[p.source].repeats, p.budget, p.available, p.full, p.threshold) for p in plan],
-        "_key string, target string, target_share double, max_repeats int, budget double, available long, full int, threshold long",
-    )
+    plan = plans(sizes, wanted.select(F.col("key").alias("source"), "share", "repeats"), total)
+    table = cut(plan.withColumnRenamed("source", "_key").join(wanted.select(F.col("key").alias("_name"), "target"), F.col("_key") == F.col("_name")).select("_key", "target", F.col("share").alias("target_share"), F.col("repeats").alias("max_repeats"), "budget", "available", "full", "threshold"))
     uses = F.col("full") + (F.col("place") < F.col("threshold")).cast("int")
-    used = sizes.join(F.broadcast(table), F.col("source") == F.col("_key")).withColumn("uses", uses).where(F.col("uses") > 0)
+    used = lookup(sizes, table, [("source", "_key")], keep=True).withColumn("uses", uses).where(F.col("uses") > 0)
     per = used.groupBy(F.col("_key").alias("_k")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("uses") * F.col("n_tokens")).alias("tokens"), F.max("uses").alias("most_uses"))
     whole = used.agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("_all")).select("_all", F.lit(1).alias("_one"))
     report = table.join(per, F.col("_key") == F.col("_k"), "left").withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one")
