@@ -18,16 +18,17 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.functions.labels import folded, folded_path, micros, usable
-from kgloom.operators.skew import skew_join
+from kgloom.operators.skew import hot_keys, lookup
 from kgloom.session import cut
 
 FIELDS = ("source_stage", "provenance_type", "source_path")
 #: Sources told apart at most; a source is a kind of reporter (say an event type), not a record.
-MAX_SOURCES = 64
+MAX_SOURCES = 1_000
 #: Accuracy of a source before the first estimate, and the share of its values that a copier copies.
 START, COPIED = 0.8, 0.8
 
@@ -72,45 +73,137 @@ def representatives(records: DataFrame, trust: DataFrame) -> DataFrame:
     )
 
 
-def claims(records: DataFrame, source: str) -> DataFrame:
-    """g0, g1, g2, field, src, value, n: each distinct usable value that a source claims for a field of a group, with its rows."""
-    forms = {"source_stage": F.when(usable("source_stage"), folded("source_stage")), "provenance_type": F.when(usable("provenance_type"), folded("provenance_type")), "source_path": folded_path("source_path")}
-    entries = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in forms.items()])
-    named = F.when(usable(source), folded(source)).otherwise(F.lit("unnamed"))
-    flat = records.where(F.col("g0").isNotNull() & F.col("g1").isNotNull() & F.col("g2").isNotNull()).select("g0", "g1", "g2", named.alias("src"), F.explode(entries).alias("e"))
-    return flat.where(F.col("e.value").isNotNull()).groupBy("g0", "g1", "g2", F.col("e.field").alias("field"), "src", F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+#: Rows of a group up to which one task reads its claims.
+GROUP = 100_000
+KEYS = ("g0", "g1", "g2")
+Said = dict[str, dict[str, int]]
 
 
-def patterns(claim: DataFrame) -> tuple[DataFrame, DataFrame]:
+def spoken(records: DataFrame, source: str) -> DataFrame:
+    """g0, g1, g2, src and the folded value of each field (NULL for filler) of every record with a whole key."""
+    forms = [F.when(usable("source_stage"), folded("source_stage")).alias("source_stage"), F.when(usable("provenance_type"), folded("provenance_type")).alias("provenance_type"), folded_path("source_path").alias("source_path")]
+    named = F.when(usable(source), folded(source)).otherwise(F.lit("unnamed"))
+    return records.where(F.col("g0").isNotNull() & F.col("g1").isNotNull() & F.col("g2").isNotNull()).select(*KEYS, named.alias("src"), *forms)
+
+
+def pattern_of(vectors: Iterable[tuple[tuple[tuple[str, int], ...], str, int]]) -> tuple[list[str], str]:
+    """(values by place, pattern) from (rows per source that claim a value, the smallest such value, how many values are claimed so)."""
+    vectors = sorted(vectors)
+    total: dict[str, int] = defaultdict(int)
+    for said, _, m in vectors:
+        for s, n in said:
+            total[s] += n * m
+    # places follow what is claimed, never the values, so groups that look alike share a pattern
+    entries = []
+    for place, (said, _, m) in enumerate(vectors, 1):
+        for s, n in said:
+            entries.append(f"{s}={place}" + (f":{n / total[s]}" if n < total[s] else "") + (f"*{m}" if m > 1 else ""))
+    return [v for _, v, _ in vectors], " ".join(entries)
+
+
+def _vectors(said: Said) -> list[tuple[tuple[tuple[str, int], ...], str, int]]:
+    out: dict[tuple[tuple[str, int], ...], list] = {}
+    for value, by in said.items():
+        known = out.setdefault(tuple(sorted(by.items())), [value, 0])
+        known[0] = min(known[0], value)
+        known[1] += 1
+    return [(k, v, m) for k, (v, m) in out.items()]
+
+
+_OUT = "g0 long, g1 long, g2 long, field string, values array<string>, pattern string"
+
+
+def _arrow(rows: list[tuple]) -> pa.RecordBatch:
+    g0, g1, g2, field, values, pattern = zip(*rows, strict=True)
+    ids = [pa.array(x, pa.int64()) for x in (g0, g1, g2)]
+    return pa.RecordBatch.from_arrays([*ids, pa.array(field, pa.string()), pa.array(values, pa.list_(pa.string())), pa.array(pattern, pa.string())], names=[*KEYS, "field", "values", "pattern"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of :func:`spoken` sorted by group: what is claimed for each field of each group. One group is held at a time."""
+    key: tuple | None = None
+    said: list[Said] = [{}, {}, {}]
+    out: list[tuple] = []
+
+    def close() -> None:
+        for field, claims in zip(FIELDS, said, strict=True):
+            if claims:
+                out.append((*key, field, *pattern_of(_vectors(claims))))
+
+    for b in batches:
+        for g0, g1, g2, src, *values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (g0, g1, g2) != key:
+                if key is not None:
+                    close()
+                key, said = (g0, g1, g2), [{}, {}, {}]
+            for claims, v in zip(said, values, strict=True):
+                if v is not None:
+                    by = claims.setdefault(v, {})
+                    by[src] = by.get(src, 0) + 1
+        if len(out) >= 5_000:
+            yield _arrow(out)
+            out.clear()
+    if key is not None:
+        close()
+    if out:
+        yield _arrow(out)
+
+
+def _gathered_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(g0, g1, g2, f, *pattern_of((tuple((x["src"], x["n"]) for x in v["said"]), v["value"], v["m"]) for v in vectors)) for g0, g1, g2, f, vectors in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if rows:
+            yield _arrow(rows)
+
+
+def patterns(records: DataFrame, source: str, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(values of each field of a group with the pattern of its claims, pattern frequencies).
 
-    A pattern is which sources share a value and which differ, with values replaced by their place in order of first source: the estimates
-    depend on nothing else. A source has one vote a field; where it claims several values, each is a vote with its share of the source's rows
-    (written ``source=place:share``). A group has at most as many entries as sources × values that they claim.
+    A pattern is which sources claim a value and how often: the estimates depend on nothing else. A source has one vote a field; where it
+    claims several values, each is a vote with its share of the source's rows (``source=place:share``); values that are claimed alike are one
+    place with their number (``*number``), for which the smallest stands. Groups of up to ``group`` rows are brought together in one shuffle
+    and read one after the other. Larger ones are compressed first, by group, value and source, then by what is claimed for a value, so that
+    no task holds their rows; both ways give the same patterns.
     """
-    said = claim.groupBy("g0", "g1", "g2", "field", "src").agg(F.sum("n").alias("_all"), F.collect_list(F.struct("value", "n")).alias("_said"))
-    said = said.withColumn("_votes", F.transform("_said", lambda x: F.struct(F.col("src").alias("src"), x["value"].alias("value"), (x["n"] / F.col("_all")).alias("share"))))
-    per = said.groupBy("g0", "g1", "g2", "field").agg(F.sort_array(F.flatten(F.collect_list("_votes"))).alias("votes"))
-    values = F.array_distinct(F.transform("votes", lambda v: v["value"]))
-    share = lambda v: F.when(v["share"] < 1, F.concat(F.lit(":"), v["share"].cast("string"))).otherwise("")
-    per = per.withColumn("values", values).withColumn("pattern", F.array_join(F.transform("votes", lambda v: F.concat(v["src"], F.lit("="), F.array_position(F.col("values"), v["value"]).cast("string"), share(v))), " "))
-    per = cut(per.select("g0", "g1", "g2", "field", "values", "pattern"))
+    rows = cut(spoken(records, source))
+    hot = cut(hot_keys(rows, list(KEYS), group).select(*KEYS))
+    large = not hot.isEmpty()
+    normal = rows.join(F.broadcast(hot), list(KEYS), "left_anti") if large else rows
+    per = normal.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(_gathered, _OUT)
+    if large:
+        # fewer than rows/``group`` groups
+        entries = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS]))
+        said = rows.join(F.broadcast(hot), list(KEYS), "left_semi").select(*KEYS, "src", entries.alias("e")).where("e.value IS NOT NULL")
+        by_source = said.groupBy(*KEYS, "e.field", "e.value", "src").agg(F.count(F.lit(1)).alias("n"))
+        by_value = by_source.groupBy(*KEYS, "field", "value").agg(F.sort_array(F.collect_list(F.struct("src", "n"))).alias("said"))
+        alike = by_value.groupBy(*KEYS, "field", "said").agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("m"))
+        per = per.unionByName(alike.groupBy(*KEYS, "field").agg(F.collect_list(F.struct("said", "value", "m")).alias("v")).mapInArrow(_gathered_vectors, _OUT))
+    per = cut(per)
     return per, per.groupBy("field", "pattern").agg(F.count(F.lit(1)).alias("freq"))
 
 
-Vote = tuple[str, int] | tuple[str, int, float]
+#: Source, place of the value, share of the source's vote (1), number of values at that place (1).
+Vote = tuple[str, int] | tuple[str, int, float] | tuple[str, int, float, int]
 
 
 def _shares(votes: list[Vote]) -> dict[int, dict[str, float]]:
-    """Place of a value -> the share of its vote that each source gives it (1 where a vote names none)."""
+    """Place of a value -> the share of its vote that each source gives it."""
     out: dict[int, dict[str, float]] = defaultdict(dict)
-    for s, at, *share in votes:
-        out[at][s] = share[0] if share else 1.0
+    for s, at, *more in votes:
+        out[at][s] = more[0] if more else 1.0
+    return out
+
+
+def _numbers(votes: list[Vote]) -> list[int]:
+    """How many values stand at each place."""
+    out = [1] * max(v[1] for v in votes)
+    for _, at, *more in votes:
+        out[at - 1] = more[1] if len(more) > 1 else 1
     return out
 
 
 def _posterior(votes: list[Vote], accuracy: dict[str, float], copying: dict[tuple[str, str], float], n_false: int) -> list[float]:
-    """Probability of each value (by place): independent votes weigh ln(n·A/(1−A)) times their share, a vote that may be copied weighs the
+    """Probability of each value (by place; of one of them where several stand there): independent votes weigh ln(n·A/(1−A)) times their share, a vote that may be copied weighs the
     part that isn't; of a vote no more can be copied than the other source gives the value."""
     shares = _shares(votes)
     score = [0.0] * max(shares)
@@ -122,16 +215,19 @@ def _posterior(votes: list[Vote], accuracy: dict[str, float], copying: dict[tupl
             counted.append(s)
     top = max(score)
     weight = [math.exp(x - top) for x in score]
-    other = max(0, n_false + 1 - len(score)) * math.exp(-top)
-    return [w / (sum(weight) + other) for w in weight]
+    number = _numbers(votes)
+    other = max(0, n_false + 1 - sum(number)) * math.exp(-top)
+    whole = sum(w * m for w, m in zip(weight, number, strict=True)) + other
+    return [w / whole for w in weight]
 
 
 def _votes(pattern: str) -> list[Vote]:
     out: list[Vote] = []
     for x in pattern.split(" "):
         s, _, at = x.rpartition("=")
+        at, _, number = at.partition("*")
         place, _, share = at.partition(":")
-        out.append((s, int(place), float(share or 1)))
+        out.append((s, int(place), float(share or 1), int(number or 1)))
     return out
 
 
@@ -152,17 +248,18 @@ def evidence(rows: Iterable[tuple[str, str, int]], state: State, n_false: int) -
         accuracy, copying = state.get(field, NONE)
         truth = _posterior(votes, defaultdict(lambda: START, accuracy), copying, n_false)
         by_source: dict[str, dict[int, float]] = defaultdict(dict)
+        number = _numbers(votes)
         for at, said in _shares(votes).items():
             for s, share in said.items():
                 by_source[s][at] = share
-                out[field, "right", s, ""] += n * share * truth[at - 1]
+                out[field, "right", s, ""] += n * number[at - 1] * share * truth[at - 1]
         for s in by_source:
             out[field, "told", s, ""] += n
         # of two votes, the part that falls on the same value is shared, the rest differs
         for a, b in combinations(sorted(by_source), 2):
             rest = 1.0
             for at in sorted(by_source[a].keys() & by_source[b].keys()):
-                both = min(by_source[a][at], by_source[b][at])
+                both = min(by_source[a][at], by_source[b][at]) * number[at - 1]
                 out[field, "true", a, b] += n * both * truth[at - 1]
                 out[field, "false", a, b] += n * both * (1 - truth[at - 1])
                 rest -= both
@@ -205,7 +302,7 @@ def fuse(records: DataFrame, source: str, rounds: int = 6, n_false: int = 10, pr
     to the smaller value. Each round is one pass over the claim patterns; only sums per source and pair of sources reach the driver, at most
     ``MAX_SOURCES`` squared a field, and more sources than that are refused.
     """
-    per, freqs = patterns(claims(records, source))
+    per, freqs = patterns(records, source)
     freqs = cut(freqs)
     state: State = {}
     for turn in range(rounds):
@@ -227,8 +324,8 @@ def fuse(records: DataFrame, source: str, rounds: int = 6, n_false: int = 10, pr
             post = [[float(x) for x in _posterior(_votes(p), defaultdict(lambda: START, done.get(f, NONE)[0]), done.get(f, NONE)[1], n_false)] for f, p in zip(b["field"], b["pattern"], strict=True)]
             yield pd.DataFrame({"f": b["field"], "p": b["pattern"], "post": post})
 
-    found = freqs.mapInPandas(judged, "f string, p string, post array<double>")
-    # groups concentrate on few patterns ("one source, one value"), so the join is salted
-    out = skew_join(per, found, [("field", "f"), ("pattern", "p")])
+    found = cut(freqs.mapInPandas(judged, "f string, p string, post array<double>"))
+    # groups concentrate on few patterns ("one source, one value")
+    out = lookup(per, found, [("field", "f"), ("pattern", "p")])
     place = F.expr("array_min(transform(post, (x, i) -> struct(-round(x, 9) AS neg, values[i] AS value)))")
     return out.withColumn("_best", place).select("g0", "g1", "g2", "field", F.col("_best.value").alias("value"), (-F.col("_best.neg")).alias("probability"))

@@ -75,10 +75,10 @@ def test_every_claimed_value_is_a_candidate(spark):
         # a lone source with two values: the more frequent one wins, but not for sure
         rows += [(g, 2, 1, (i := i + 1), v, None, None, None, "s3") for v in ("aa", "zz", "zz")]
     df = spark.createDataFrame(rows, REC)
-    per, freqs = fusion.patterns(fusion.claims(df, "kind"))
+    per, freqs = fusion.patterns(df, "kind")
     assert {tuple(sorted(x["values"])) for x in per.collect()} == {("right", "wrong"), ("aa", "zz")}
     assert sum(x.freq for x in freqs.collect()) == 120
-    shares = {(s, at): w for x in freqs.collect() for s, at, w in fusion._votes(x.pattern)}
+    shares = {(s, at): w for x in freqs.collect() for s, at, w, _ in fusion._votes(x.pattern)}
     assert shares == {("s1", 1): 1 / 3, ("s1", 2): 2 / 3, ("s2", 1): 1.0, ("s3", 1): 1 / 3, ("s3", 2): 2 / 3}
     got = {(x.g0, x.g1): (x.value, x.probability) for x in fusion.fuse(df, "kind").collect()}
     assert {v for (_, g1), (v, _) in got.items() if g1 == 1} == {"right"}
@@ -91,6 +91,28 @@ def test_votes_are_split_by_rows():
     assert abs(sums["f", "true", "a", "b"] + sums["f", "false", "a", "b"] - 2) < 1e-9 and sums["f", "differ", "a", "b"] == 2
 
 
+def test_large_groups_give_the_same_patterns(spark):
+    r = random.Random(5)
+    rows = [(r.choice([1, 1, 1, 2, 3]), 1, 1, i, r.choice(["a", "A", "b", None, "N/A"]), r.choice(["x", "y"]), f"p{r.randrange(60)}", None, r.choice(["s1", "s1", "s2", "", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, REC).repartition(3)
+    seen = []
+    for group in (1000, 80, 10):
+        per, freqs = fusion.patterns(df, "kind", group)
+        seen.append(({(x.g0, x.field, tuple(x["values"]), x.pattern) for x in per.collect()}, {tuple(x) for x in freqs.collect()}))
+    assert seen[0] == seen[1] == seen[2] and any("*" in x[3] for x in seen[0][0])
+    assert len(seen[0][0]) == 9
+
+
+def test_values_claimed_alike_count_one_by_one():
+    joined = [("a", 1, 0.5), ("a", 2, 0.25, 2)]
+    apart = [("a", 1, 0.5), ("a", 2, 0.25), ("a", 3, 0.25)]
+    p, q = fusion._posterior(joined, {"a": 0.8}, {}, 10), fusion._posterior(apart, {"a": 0.8}, {}, 10)
+    assert abs(p[0] - q[0]) < 1e-12 and abs(p[1] - q[2]) < 1e-12
+    one = fusion.evidence([("f", "a=1:0.5 a=2:0.25*2 b=1:0.5 b=2:0.25*2", 3)], {}, 10)
+    two = fusion.evidence([("f", "a=1:0.5 a=2:0.25 a=3:0.25 b=1:0.5 b=2:0.25 b=3:0.25", 3)], {}, 10)
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
 def test_fuse_nothing(spark):
     df = spark.createDataFrame([(1, 1, 1, 1, None, "N/A", " ", None, "s")], REC)
     assert fusion.fuse(df, "kind").count() == 0 and fusion.fuse(df.limit(0), "kind").count() == 0
