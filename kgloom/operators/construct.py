@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgloom.operators.candidates import bridge_bonus
-from kgloom.operators.graph import components, simple_edges, spanning_tree
+from kgloom.operators.graph import components, simple_edges, spanning_forest
 from kgloom.operators.greedy import CANDIDATES, greedy_rows
 from kgloom.operators.triples import degrees, incidence
 from kgloom.session import cut
@@ -152,7 +152,7 @@ def safe_deletions(triples: DataFrame, surplus: DataFrame, order: list[Column])
     """
     edges = simple_edges(triples)
     members = cut(components(edges, triples.select(F.explode(F.array("h", "t")).alias("node")).distinct()))
-    tree = spanning_tree(edges, members).where("parent IS NOT NULL").select(F.least("node", "parent").alias("_a"), F.greatest("node", "parent").alias("_b"), F.lit(True).alias("_tree"))
+    tree = spanning_forest(edges).select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.lit(True).alias("_tree"))
     k = triples.withColumns({"_a": F.least("h", "t"), "_b": F.greatest("h", "t")}).join(tree, ["_a", "_b"], "left")
     single = members.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_a")).where("_n = 1").select("_a", F.lit(True).alias("_alone"))
     k = k.join(single, "_a", "left")
@@ -177,7 +177,7 @@ def _loose(triples: DataFrame, over: DataFrame) -> DataFrame:
     k = cut(mine.join(side("h"), "h").join(side("t"), "t").select("h", "r", "t", F.least("_h", "_t").alias("_a"), F.greatest("_h", "_t").alias("_b")))
     edges = cut(k.where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
     members = cut(components(edges, parts.select(F.col("component").alias("node")).distinct()))
-    tree = spanning_tree(edges, members).where("parent IS NOT NULL").select(F.least("node", "parent").alias("_a"), F.greatest("node", "parent").alias("_b"))
+    tree = spanning_forest(edges).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
     # an entity that no other triple holds keeps its first self-loop
     single = members.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_a")).where("_n = 1").select("_a")
     alone = single.join(ends(rest).withColumnRenamed("node", "_a"), "_a", "left_anti")

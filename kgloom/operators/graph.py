@@ -1,4 +1,4 @@
-"""Iterative graph operators on undirected edges (a, b): components, spanning trees, bridges, two-edge-connected parts.
+"""Iterative graph operators on undirected edges (a, b): components, spanning forests, bridges, two-edge-connected parts.
 
 Every loop keeps its state in tables written to the shared folder (:func:`kgloom.session.cut`), so the lineage stays short and a lost
 executor costs one round. Nothing is collected but counts.
@@ -6,12 +6,14 @@ executor costs one round. Nothing is collected but counts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgloom.operators.lowlink import articulation_rows, bridge_rows, tree_rows
-from kgloom.operators.skew import running_totals
-from kgloom.operators.unionfind import BOUND, forest
+from kgloom.operators.lowlink import articulation_rows, bridge_rows, rooted_rows
+from kgloom.operators.skew import hot_join, running_totals
+from kgloom.operators.unionfind import BOUND, forest, kept
 from kgloom.session import cut, drop_cut
 
 
@@ -98,70 +100,120 @@ def _small(edges: DataFrame, bound: int) -> DataFrame | None:
     return edges.select("a", "b").coalesce(1) if len(edges.select("a").take(bound + 1)) <= bound else None
 
 
-def spanning_tree(edges: DataFrame, members: DataFrame, bound: int = BOUND) -> DataFrame:
-    """(node, parent, depth): a breadth-first tree of every component, rooted at its smallest node (parent NULL).
+def spanning_forest(edges: DataFrame, bound: int = BOUND) -> DataFrame:
+    """The edges (a, b) that stay if all ``edges`` (simple, a < b) come in order and each that closes a cycle is dropped.
 
-    Up to ``bound`` edges one task draws it. Beyond, one join of the edges with the newest level per level; levels are as many as the graph
-    is deep.
+    Partitions of at most ``bound`` edges drop what closes a cycle inside them, which is never part of that forest. While more than ``bound``
+    edges are left, parts are joined in rounds: a coin decides for each part whether it may join another or be joined, and a joining part
+    takes its first edge if that leads to one that may be joined. That edge belongs to the forest, and a quarter of the parts goes in each
+    round on average. The forest is the same for any ``bound``.
     """
-    if (one := _small(edges, bound)) is not None:
-        kind = edges.schema["a"].dataType.simpleString()
-        drawn = cut(one.mapInArrow(tree_rows, f"node {kind}, parent {kind}, depth int"))
-        alone = members.join(drawn.select("node"), "node", "left_anti").select("node", F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth"))
-        return drawn.unionByName(alone)
-    both = cut(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))))
-    level = cut(members.where("node = component").select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")))
-    levels = [level]
-    known = level.select("node")
-    depth = 0
-    while True:
-        depth += 1
-        found = both.join(level.select(F.col("node").alias("v")), "v").groupBy(F.col("w").alias("node")).agg(F.min("v").alias("parent"))
-        level = cut(found.join(known, "node", "left_anti").select("node", "parent", F.lit(depth).alias("depth")))
-        if level.isEmpty():
+    e = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "a", "b").distinct())
+    n, turn = e.count(), 0
+    done: list[DataFrame] = []
+    while n > bound:
+        thin = cut(e.repartitionByRange(-(-n // bound), "u", "v").mapInArrow(kept, e.schema))
+        drop_cut(e)
+        e, n = thin, thin.count()
+        if n <= bound:
             break
-        levels.append(level)
-        # nodes two levels up can't be reached again
-        known = levels[-1].select("node").unionByName(levels[-2].select("node"))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return cut(out)
+        coin = lambda c: F.pmod(F.xxhash64(F.lit(turn), F.col(c)), F.lit(2)) == 0  # noqa: E731, B023
+        both = thin.select(F.col("u").alias("x"), F.col("v").alias("y"), "a", "b").unionByName(thin.select(F.col("v").alias("x"), F.col("u").alias("y"), "a", "b"))
+        first = both.where(coin("x")).groupBy("x").agg(F.min(F.struct("a", "b", "y")).alias("e")).select("x", "e.*").where(~coin("y"))
+        first = cut(first)
+        done.append(first.select("a", "b"))
+        to = first.select("x", F.col("y").alias("_to"))
+        moved = hot_join(thin, to, ("u", "x"), "left").withColumn("u", F.coalesce("_to", "u")).drop("_to")
+        moved = hot_join(cut(moved), to, ("v", "x"), "left").withColumn("v", F.coalesce("_to", "v")).drop("_to").where("u <> v")
+        e = moved.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min(F.struct("a", "b")).alias("e")).select("u", "v", "e.a", "e.b")
+        e = cut(e)
+        n, turn = e.count(), turn + 1
+    done.append(e.coalesce(1).mapInArrow(kept, e.schema).select("a", "b"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def rooted(tree: DataFrame, bound: int = BOUND) -> DataFrame:
+    """(node, parent, root, pre, size) of a forest (a, b): each tree is walked depth first from its smallest node (its ``root``, parent NULL), at
+    every node on from the neighbour that follows the parent in order, round and round. ``pre`` is the place in that walk from 0, ``size`` the
+    nodes of the subtree.
+
+    One task walks forests of up to ``bound`` edges. Beyond, the walk is a linked list of the edges in both directions, and places in it come
+    from pointer jumping: the rounds grow with the logarithm of the largest tree, however deep it is. Both give the same.
+    """
+    kind = tree.schema["a"].dataType.simpleString()
+    if (one := _small(tree, bound)) is not None:
+        return one.mapInArrow(rooted_rows, f"node {kind}, parent {kind}, root {kind}, pre long, size long")
+    arcs = tree.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("x")).select("x.*")
+    arcs = cut(running_totals(arcs, ["v"], [F.col("w")], total="i"))
+    degree = arcs.groupBy(F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("n"))
+    around = hot_join(arcs, degree, ("v", "_v"))
+    # who comes into v from w goes on to the neighbour of v after w
+    after = around.select("v", "w", (F.pmod(F.col("i"), F.col("n")) + 1).alias("i")).join(arcs.select("v", "i", F.col("w").alias("on")), ["v", "i"])
+    start = components(tree).where("node = component").select(F.col("node").alias("_root"), F.lit(1).cast("long").alias("_i"))
+    begin = start.join(arcs, (F.col("v") == F.col("_root")) & (F.col("i") == F.col("_i"))).select(F.col("v").alias("_bv"), F.col("w").alias("_bw"))
+    # the list ends where it would begin again; that step comes back to the root
+    step = after.join(begin, (F.col("v") == F.col("_bv")) & (F.col("on") == F.col("_bw")), "left")
+    last = F.col("_bv").isNotNull()
+    walk = cut(step.select(F.col("w").alias("x"), F.col("v").alias("y"), F.when(~last, F.col("v")).alias("nx"), F.when(~last, F.col("on")).alias("ny"), F.lit(1).cast("long").alias("left"), F.when(last, F.col("v")).alias("root")))
+    while not walk.where("nx IS NOT NULL").isEmpty():
+        ahead = walk.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("nx").alias("_nx"), F.col("ny").alias("_ny"), F.col("left").alias("_left"), F.col("root").alias("_root"))
+        open_ = walk.where("nx IS NOT NULL").join(ahead, (F.col("nx") == F.col("_x")) & (F.col("ny") == F.col("_y")))
+        walk, old = cut(walk.where("nx IS NULL").unionByName(open_.select("x", "y", F.col("_nx").alias("nx"), F.col("_ny").alias("ny"), (F.col("left") + F.col("_left")).alias("left"), F.col("_root").alias("root")))), walk
+        drop_cut(old)
+    back = walk.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("left").alias("_back"))
+    # the longer way to the end is the way down
+    down = walk.join(back, ["x", "y"]).where(F.col("left") > F.col("_back"))
+    below = down.select(F.col("y").alias("node"), F.col("x").alias("parent"), "root", "left", F.floor((F.col("left") - F.col("_back") + 1) / 2).alias("size"))
+    placed = running_totals(below, ["root"], [F.col("left").desc()], total="pre").drop("left")
+    top = placed.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("size")).select(F.col("root").alias("node"), F.lit(None).cast(kind).alias("parent"), "root", F.lit(0).cast("long").alias("pre"), "size")
+    return placed.select("node", "parent", "root", "pre", "size").unionByName(top)
+
+
+def reaches(edges: DataFrame, bound: int = BOUND) -> tuple[DataFrame, DataFrame]:
+    """(forest with low and high, edges outside of the forest): a spanning forest as :func:`rooted` gives it, and for each node the smallest and
+    largest ``pre`` that an edge outside of the forest reaches from its subtree, or the bounds of the subtree itself.
+
+    A subtree is a stretch of places, so its bounds come from those of stretches of doubled length: rounds by the logarithm of the largest tree.
+    """
+    tree = cut(spanning_forest(edges, bound))
+    walk = cut(rooted(tree, bound))
+    at = lambda c: walk.select(F.col("node").alias(c), F.col("pre").alias(f"pre_{c}"), F.col("size").alias(f"size_{c}"))
+    extra = cut(edges.select("a", "b").join(tree, ["a", "b"], "left_anti"))
+    extra = cut(hot_join(cut(hot_join(extra, at("a").withColumnRenamed("a", "_a"), ("a", "_a"))), at("b").withColumnRenamed("b", "_b"), ("b", "_b")))
+    ends = extra.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("pre_b").alias("p")), F.struct(F.col("b").alias("n"), F.col("pre_a").alias("p")))).alias("x"))
+    seen = ends.groupBy(F.col("x.n").alias("_n")).agg(F.min("x.p").alias("_lo"), F.max("x.p").alias("_hi"))
+    span = cut(walk.join(seen, F.col("node") == F.col("_n"), "left").select("root", "pre", F.least("pre", "_lo").alias("lo"), F.greatest("pre", "_hi").alias("hi")))
+    found: list[DataFrame] = []
+    length, open_ = 1, walk
+    while True:
+        mine = open_.where((F.col("size") >= length) & (F.col("size") < 2 * length))
+        left = mine.join(span, ["root", "pre"])
+        right = span.select("root", F.col("pre").alias("_p"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        both = left.withColumn("_p", F.col("pre") + F.col("size") - length).join(right, ["root", "_p"])
+        found.append(cut(both.select(*walk.columns, F.least("lo", "_lo").alias("low"), F.greatest("hi", "_hi").alias("high"))))
+        open_ = open_.where(F.col("size") >= 2 * length)
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, found), extra
+        shifted = span.select("root", (F.col("pre") - length).alias("pre"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        span, old = cut(span.join(shifted, ["root", "pre"]).select("root", "pre", F.least("lo", "_lo").alias("lo"), F.greatest("hi", "_hi").alias("hi"))), span
+        drop_cut(old)
+        length *= 2
 
 
 def bridges(edges: DataFrame, bound: int = BOUND) -> DataFrame:
-    """(a, b, side, component_size): edges whose removal parts their component; ``side`` is the size of the smaller part.
+    """(a, b, side, component_size): edges (simple, a < b) whose removal parts their component; ``side`` is the size of the smaller part.
 
-    Up to ``bound`` edges (simple, a < b) one task finds them by low points. Beyond, a spanning tree is drawn; every other edge gets a 64-bit label and lays it on both its ends. The labels below a tree edge cancel out
-    exactly where no other edge leaves its subtree: then it is a bridge. Labels and sizes go up level by level. Different labels that cancel
-    by chance (once in 2^64 a tree edge) would name a false bridge.
+    Up to ``bound`` edges one task finds them by low points. Beyond, an edge of a spanning forest is a bridge if no other edge leaves its
+    subtree (:func:`reaches`). Both are exact.
     """
     if (one := _small(edges, bound)) is not None:
         kind = edges.schema["a"].dataType.simpleString()
         return one.mapInArrow(bridge_rows, f"a {kind}, b {kind}, side long, component_size long")
-    members = cut(components(edges))
-    tree = spanning_tree(edges, members, bound)
-    tied = tree.where("parent IS NOT NULL").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
-    extra = edges.select("a", "b").join(tied, ["a", "b"], "left_anti").withColumn("x", F.xxhash64("a", "b"))
-    laid = extra.select(F.explode(F.array("a", "b")).alias("node"), "x").groupBy("node").agg(F.bit_xor("x").alias("x"))
-    base = cut(tree.join(laid, "node", "left").select("node", "parent", "depth", F.coalesce("x", F.lit(0)).alias("x")))
-    deepest = base.agg(F.max("depth").alias("d")).collect()[0].d or 0
-    below = None
-    done: list[DataFrame] = []
-    for depth in range(deepest, 0, -1):
-        own = base.where(F.col("depth") == depth).withColumn("size", F.lit(1).cast("long"))
-        if below is not None:
-            up = below.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("x").alias("_x"), F.sum("size").alias("_s"))
-            own = own.join(up, "node", "left").select("node", "parent", "depth", F.col("x").bitwiseXOR(F.coalesce("_x", F.lit(0))).alias("x"), (F.col("size") + F.coalesce("_s", F.lit(0))).alias("size"))
-        below = cut(own)
-        done.append(below)
-    if not done:
-        return edges.select("a", "b", F.lit(0).cast("long").alias("side"), F.lit(0).cast("long").alias("component_size")).where(F.lit(False))
-    all_ = done[0]
-    for x in done[1:]:
-        all_ = all_.unionByName(x)
-    found = all_.where("x = 0").join(members, "node").join(component_sizes(members), "component")
-    return found.select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"), F.least("size", F.col("entities") - F.col("size")).alias("side"), F.col("entities").alias("component_size"))
+    walk, _ = reaches(edges, bound)
+    whole = walk.where("parent IS NULL").select(F.col("node").alias("_root"), F.col("size").alias("_whole"))
+    inside = walk.where("parent IS NOT NULL AND low >= pre AND high < pre + size")
+    found = hot_join(cut(inside), whole, ("root", "_root"))
+    return found.select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"), F.least("size", F.col("_whole") - F.col("size")).alias("side"), F.col("_whole").alias("component_size"))
 
 
 def two_edge_components(edges: DataFrame, bridge: DataFrame | None = None) -> DataFrame:
@@ -176,59 +228,21 @@ def bridge_forest(members: DataFrame, bridge: DataFrame) -> DataFrame:
     return bridge.select("a", "b", "side").join(members.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(members.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
 
 
-def _up(levels: DataFrame, deepest: int, folds: dict[str, tuple]) -> DataFrame:
-    """``levels`` (node, parent, depth, …) with columns folded over each node's subtree, level by level from the deepest. ``folds``: column ->
-    (aggregate of the children's values, how to join it to the node's own)."""
-    done: list[DataFrame] = []
-    below: DataFrame | None = None
-    for depth in range(deepest, -1, -1):
-        own = levels.where(F.col("depth") == depth)
-        if below is not None:
-            up = below.groupBy(F.col("parent").alias("_n")).agg(*[agg(F.col(c)).alias(f"_{c}") for c, (agg, _) in folds.items()])
-            own = own.join(up, F.col("node") == F.col("_n"), "left").drop("_n")
-            own = own.withColumns({c: F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(both(F.col(c), F.col(f"_{c}"))) for c, (_, both) in folds.items()}).drop(*[f"_{c}" for c in folds])
-        below = cut(own)
-        done.append(below)
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return cut(out)
-
-
-def blocks(edges: DataFrame) -> DataFrame:
+def blocks(edges: DataFrame, bound: int = BOUND) -> DataFrame:
     """(node, block): the two-node-connected parts each node of an edge belongs to; a bridge is a block of its own.
 
     A tree edge is named by its lower node. Two tree edges share a block if an edge outside of the tree says so: one that leaves a subtree
-    past its parent's, or one between unrelated subtrees. Numbers that tell subtrees apart (place in preorder, size) and the span that each
-    subtree's edges reach are computed level by level; places among siblings come from range pieces, so a hub's children need no single task.
+    past its parent's, or one between unrelated subtrees.
     """
-    members = cut(components(edges))
-    tree = cut(spanning_tree(edges, members))
-    deepest = tree.agg(F.max("depth").alias("d")).collect()[0].d or 0
-    sized = _up(tree.withColumn("size", F.lit(1).cast("long")), deepest, {"size": (F.sum, lambda a, b: a + b)})
-    kids = running_totals(sized.where("parent IS NOT NULL").select("parent", "node", "size"), ["parent"], [F.col("node")], F.col("size"), "_upto").select("node", (F.col("_upto") - F.col("size")).alias("_off"))
-    placed = cut(sized.join(kids, "node", "left"))
-    level = cut(placed.where("depth = 0").select("node", "parent", "depth", "size", F.lit(0).cast("long").alias("pre")))
-    levels = level
-    for depth in range(1, deepest + 1):
-        above = level.select(F.col("node").alias("parent"), F.col("pre").alias("_p"))
-        level = cut(placed.where(F.col("depth") == depth).join(above, "parent").select("node", "parent", "depth", "size", (F.col("_p") + 1 + F.col("_off")).alias("pre")))
-        levels = levels.unionByName(level)
-    levels = cut(levels)
-    tied = levels.where("parent IS NOT NULL").select(F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
-    num = levels.select("node", "pre", "size")
-    end = lambda c: num.select(F.col("node").alias(c), F.col("pre").alias(f"pre_{c}"), F.col("size").alias(f"size_{c}"))
-    extra = cut(edges.select("a", "b").join(tied, ["a", "b"], "left_anti").join(end("a"), "a").join(end("b"), "b"))
-    seen = extra.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.col("pre_b").alias("p")), F.struct(F.col("b").alias("n"), F.col("pre_a").alias("p")))).alias("x")).groupBy(F.col("x.n").alias("_n")).agg(F.min("x.p").alias("_lo"), F.max("x.p").alias("_hi"))
-    own = levels.join(seen, F.col("node") == F.col("_n"), "left").select("node", "parent", "depth", "size", "pre", F.least("pre", "_lo").alias("low"), F.greatest("pre", "_hi").alias("high"))
-    span = _up(own, deepest, {"low": (F.min, F.least), "high": (F.max, F.greatest)})
-    parent = num.select(F.col("node").alias("_q"), F.col("pre").alias("_qp"), F.col("size").alias("_qs"))
-    inner = span.where("parent IS NOT NULL").join(span.where("parent IS NOT NULL").select(F.col("node").alias("_inner")), F.col("parent") == F.col("_inner"), "left_semi").join(parent, F.col("parent") == F.col("_q"))
+    walk, extra = reaches(edges, bound)
+    walk = cut(walk)
+    lower = walk.where("parent IS NOT NULL")
+    up = walk.where("parent IS NOT NULL").select(F.col("node").alias("_q"), F.col("pre").alias("_qp"), F.col("size").alias("_qs"))
+    inner = hot_join(cut(lower), up, ("parent", "_q"))
     leave = inner.where((F.col("low") < F.col("_qp")) | (F.col("high") >= F.col("_qp") + F.col("_qs"))).select(F.col("node").alias("a"), F.col("parent").alias("b"))
     apart = extra.where("pre_a + size_a <= pre_b OR pre_b + size_b <= pre_a").select("a", "b")
-    lower = span.where("parent IS NOT NULL").select("node", "parent")
     named = components(leave.unionByName(apart), lower.select("node"))
-    of = lower.join(named.withColumnRenamed("component", "block"), "node")
+    of = lower.select("node", "parent").join(named.withColumnRenamed("component", "block"), "node")
     return of.select(F.explode(F.array("node", "parent")).alias("node"), "block").distinct()
 
 
@@ -239,4 +253,4 @@ def articulation_points(edges: DataFrame, bound: int = BOUND) -> DataFrame:
     """
     if (one := _small(edges, bound)) is not None:
         return one.mapInArrow(articulation_rows, f"node {edges.schema['a'].dataType.simpleString()}, blocks long")
-    return blocks(edges).groupBy("node").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")
+    return blocks(edges, bound).groupBy("node").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1")

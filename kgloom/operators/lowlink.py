@@ -1,7 +1,8 @@
-"""Graphs of bounded size inside one task: breadth-first trees, bridges and articulation points by depth-first low points."""
+"""Graphs of bounded size inside one task: rooted forests, bridges and articulation points by depth-first low points."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,25 +24,37 @@ class _Graph:
         self.n = len(self.nodes)
 
 
-def tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, parent, depth) of a breadth-first tree of every component, rooted at its smallest node; parents are the smallest possible."""
+def rooted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, parent, root, pre, size) of a forest: each tree is walked depth first from its smallest node, at every node on from the neighbour
+    that follows the parent in order of the names, round and round; ``pre`` counts from 0, ``size`` is that of the subtree."""
     g = _Graph(batches)
-    parent, depth = [-1] * g.n, [-1] * g.n
-    for root in range(g.n):
-        if depth[root] >= 0:
+    if not g.n:
+        return
+    parent, root, pre, size = [-1] * g.n, [-1] * g.n, [0] * g.n, [1] * g.n
+    order: list[int] = []
+    for start in range(g.n):
+        if root[start] >= 0:
             continue
-        depth[root], level = 0, [root]
-        while level:
-            found = []
-            for v in level:
-                for w in g.to[g.first[v] : g.first[v + 1]]:
-                    if depth[w] < 0:
-                        depth[w], parent[w] = depth[v] + 1, v
-                        found.append(w)
-            level = sorted(found)
-    if g.n:
-        names = g.nodes.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([names[p] if p >= 0 else None for p in parent], pa.array(names).type), pa.array(depth, pa.int32())], names=["node", "parent", "depth"])
+        first = len(order)
+        stack = [start]
+        root[start] = start
+        while stack:
+            v = stack.pop()
+            pre[v] = len(order) - first
+            order.append(v)
+            around = g.to[g.first[v] : g.first[v + 1]]
+            if parent[v] >= 0:
+                at = bisect_left(around, parent[v])
+                around = around[at + 1 :] + around[:at]
+            for w in reversed(around):
+                parent[w], root[w] = v, start
+                stack.append(w)
+    for v in reversed(order):
+        if parent[v] >= 0:
+            size[parent[v]] += size[v]
+    names = pa.array(g.nodes.tolist())
+    up = names.take(pa.array([p if p >= 0 else None for p in parent], pa.int64()))
+    yield pa.RecordBatch.from_arrays([names, up, names.take(pa.array(root)), pa.array(pre, pa.int64()), pa.array(size, pa.int64())], names=["node", "parent", "root", "pre", "size"])
 
 
 def _search(g: _Graph) -> tuple[list[int], list[int], list[int], list[int], list[int]]:

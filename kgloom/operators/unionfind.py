@@ -1,4 +1,4 @@
-"""Union-find inside one partition of edges."""
+"""Union-find inside one partition of edges: components and forests."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Edges that one task may hold.
 BOUND = 500_000
@@ -38,3 +39,27 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root = up
     for s in range(0, len(nodes), 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[s : s + 50_000]), pa.array(nodes[root[s : s + 50_000]])], names=["node", "root"])
+
+
+def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges (u, v, a, b) those that join two parts when the edges come in order of (a, b): the rest closes cycles."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got).combine_chunks()
+    t = t.take(pc.sort_indices(t, sort_keys=[("a", "ascending"), ("b", "ascending")]))
+    u, v = (t.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v"))
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    parent = list(range(len(nodes)))
+    keep = np.zeros(t.num_rows, dtype=bool)
+    for i, (x, y) in enumerate(zip(place[: len(u)].tolist(), place[len(u) :].tolist(), strict=True)):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        while parent[y] != y:
+            parent[y] = parent[parent[y]]
+            y = parent[y]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep[i] = True
+    yield from t.filter(pa.array(keep)).to_batches(max_chunksize=50_000)

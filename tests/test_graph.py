@@ -78,6 +78,34 @@ def test_articulation_points(spark):
     assert {x.node: x.blocks for x in G.articulation_points(df, bound=5).collect()} == got
 
 
+@pytest.mark.parametrize("shape", ["random", "path", "hub", "none"])
+def test_forests_are_the_same_at_any_bound(spark, shape):
+    r = random.Random(7)
+    name = [f"n{i:03d}" for i in range(60)]
+    r.shuffle(name)
+    pairs = {"random": [(r.randrange(60), r.randrange(60)) for _ in range(90)], "path": [(i, i + 1) for i in range(59)], "hub": [(0, i) for i in range(1, 40)] + [(41, 42), (42, 43), (41, 43)], "none": []}[shape]
+    edges = sorted({tuple(sorted((name[a], name[b]))) for a, b in pairs if a != b})
+    df = spark.createDataFrame(edges, "a string, b string")
+    part, want = {}, set()
+    for a, b in edges:
+        if part.get(a, a) != part.get(b, b) or a not in part and b not in part:
+            want.add((a, b))
+            x, y = part.get(a, a), part.get(b, b)
+            part.setdefault(a, a), part.setdefault(b, b)
+            part = {k: y if v == x else v for k, v in part.items()}
+    walks = []
+    for bound in (1000, 6):
+        tree = G.spanning_forest(df, bound)
+        assert {tuple(x) for x in tree.collect()} == want
+        walks.append({x.node: tuple(x)[1:] for x in G.rooted(tree, bound).collect()})
+    assert walks[0] == walks[1] and set(walks[0]) == {v for e in edges for v in e}
+    for v, (parent, root, pre, size) in walks[0].items():
+        inside = {w for w, x in walks[0].items() if x[1] == root and pre <= x[2] < pre + size}
+        assert len(inside) == size and (parent is None) == (v == root)
+        assert parent is None or tuple(sorted((v, parent))) in want and v not in {root}
+        assert all(walks[0][w][0] in inside for w in inside - {v})
+
+
 def test_driver_side_exact_problems():
     from kgloom.operators.matching import best_subset, largest_matching
 
