@@ -7,18 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-POINTS = (0.25, 0.5, 0.75, 0.9, 0.95)
+from kgloom.operators.skew import value_frequencies, weighted_percentiles
+
+POINTS = (0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.9, 0.95, 0.99)
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: count, min, linear percentiles, max, mean, population and sample deviation of its values (NULL and NaN left out).
 
-    The columns become rows first, so each column is one group of an aggregate that Spark merges by value and frequency."""
+    The columns become rows and these (column, value, frequency) first; percentiles come from range pieces of the values, so no task holds
+    all values of a column."""
     flat = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("e")).select("e.*")
     flat = flat.where(F.col("x").isNotNull() & ~F.isnan("x"))
-    p = F.percentile("x", F.array(*[F.lit(q) for q in POINTS]))
-    out = flat.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min_x"), p.alias("_p"), F.max("x").alias("max_x"), F.round(F.avg("x"), 6).alias("mean_x"), F.round(F.stddev_pop("x"), 6).alias("stdev_pop"), F.round(F.stddev_samp("x"), 6).alias("stdev_samp"))
-    return out.withColumns({f"p{int(q * 100)}": F.round(F.get("_p", F.lit(i)), 9) for i, q in enumerate(POINTS)}).drop("_p")
+    out = flat.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.round(F.avg("x"), 6).alias("mean_x"), F.round(F.stddev_pop("x"), 6).alias("stdev_pop"), F.round(F.stddev_samp("x"), 6).alias("stdev_samp"))
+    spread = weighted_percentiles(value_frequencies(flat, ["name"], "x"), ["name"], "x", POINTS, linear=True)
+    wide = spread.groupBy(F.col("name").alias("_name")).agg(*[F.max(F.when(F.col("q") == q, F.round("value", 9))).alias(f"p{round(q * 100)}") for q in POINTS])
+    return out.join(wide, F.col("name") == F.col("_name")).drop("_name")
 
 
 def support_shape(pairs: DataFrame) -> DataFrame:

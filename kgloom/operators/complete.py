@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgloom.operators.skew import running_totals
+
 
 def symmetric_completion(base: DataFrame, meta: DataFrame, observed: DataFrame) -> DataFrame:
     """Reverses of the triples of the relations in ``meta`` (relation, deficit) that neither ``base`` nor ``observed`` holds, each once."""
@@ -14,9 +16,10 @@ def symmetric_completion(base: DataFrame, meta: DataFrame, observed: DataFrame)
 
 
 def capped(edges: DataFrame, cap: Column, order: list[Column]) -> DataFrame:
-    """At most floor(cap) edges per relation in the given order; a NULL or negative cap takes none."""
-    place = F.row_number().over(Window.partitionBy("r").orderBy(*order))
-    return edges.where(F.floor(cap) > 0).withColumn("_place", place).where(F.col("_place") <= F.floor(cap)).drop("_place")
+    """At most floor(cap) edges per relation in the given order, which must be strict; a NULL or negative cap takes none. A relation may hold
+    any share of the edges: it is ranked in range pieces."""
+    placed = running_totals(edges.where(F.floor(cap) > 0), ["r"], order, total="_place")
+    return placed.where(F.col("_place") <= F.floor(cap)).drop("_place")
 
 
 def inverse_candidates(base: DataFrame, rules: DataFrame, observed: DataFrame, confidence: float) -> DataFrame:
@@ -26,8 +29,9 @@ def inverse_candidates(base: DataFrame, rules: DataFrame, observed: DataFrame, c
     not_allocated, overfilled, no_room, duplicate (another rule implies it first: higher confidence, then smaller source), eligible.
     """
     gen = base.join(rules, base["r"] == rules["source"]).select("source", F.col("t").alias("h"), F.col("target").alias("r"), F.col("h").alias("t"), "confidence", "eta", "deficit", "surplus")
-    mark = lambda df, name: df.select("h", "r", "t").distinct().withColumn(name, F.lit(True))
-    gen = gen.join(mark(base, "_in"), ["h", "r", "t"], "left").join(mark(observed, "_seen"), ["h", "r", "t"], "left")
+    known = base.select("h", "r", "t", F.lit(True).alias("_b")).unionByName(observed.select("h", "r", "t", F.lit(False).alias("_b")))
+    known = known.join(rules.select(F.col("target").alias("r")).distinct(), "r", "left_semi").groupBy("h", "r", "t").agg(F.bool_or("_b").alias("_in"), F.lit(True).alias("_seen"))
+    gen = gen.join(known, ["h", "r", "t"], "left")
     reason = (
         F.when(F.col("_in"), "already_present")
         .when(F.col("_seen"), "already_observed")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kgloom.operators.candidates import bridge_bonus
 from kgloom.operators.graph import components, simple_edges, spanning_forest
 from kgloom.operators.greedy import CANDIDATES, greedy_rows
+from kgloom.operators.skew import running_totals
 from kgloom.operators.triples import degrees, incidence
 from kgloom.session import cut
 
@@ -162,7 +163,7 @@ def safe_deletions(triples: DataFrame, surplus: DataFrame, order: list[Column])
     total = triples.groupBy("r").agg(F.count(F.lit(1)).alias("_all"))
     limit = F.least(F.floor("surplus").cast("long"), F.col("_all") - 1)
     m = free.join(surplus.select(F.col("relation").alias("r"), "surplus"), "r").join(total, "r").withColumn("_cap", limit).where("_cap > 0")
-    return m.withColumn("_k", F.row_number().over(Window.partitionBy("r").orderBy(*order))).where("_k <= _cap").select("h", "r", "t")
+    return running_totals(m, ["r"], order, total="_k").where("_k <= _cap").select("h", "r", "t")
 
 
 def _loose(triples: DataFrame, over: DataFrame) -> DataFrame:
@@ -203,7 +204,7 @@ def prune(triples: DataFrame, alloc: DataFrame, per_round: int | None, max_round
         if over.isEmpty():
             break
         m = _loose(left, over).join(over.withColumnRenamed("relation", "r"), "r")
-        cutting = cut(m.withColumn("_k", F.row_number().over(Window.partitionBy("r").orderBy(*order))).where("_k <= _cap").select("h", "r", "t", F.lit(turn).alias("turn")))
+        cutting = cut(running_totals(m, ["r"], order, total="_k").where("_k <= _cap").select("h", "r", "t", F.lit(turn).alias("turn")))
         if cutting.isEmpty():
             break
         gone = cutting if gone is None else gone.unionByName(cutting)
@@ -242,7 +243,7 @@ def grow_connected(start: DataFrame, universe: DataFrame, per_relation: DataFram
         at_h = rest.join(reached.withColumnRenamed("entity", "h"), "h", "left_semi").select("h", "r", "t")
         at_t = rest.join(reached.withColumnRenamed("entity", "t"), "t", "left_semi").select("h", "r", "t")
         touch = at_h.unionByName(at_t).distinct().join(used, "r")
-        new = cut(touch.withColumn("_p", F.row_number().over(Window.partitionBy("r").orderBy("h", "t"))).where("_p <= quota").select("h", "r", "t", F.lit(turn).alias("turn")))
+        new = cut(running_totals(touch.where("quota > 0"), ["r"], [F.col("h"), F.col("t")], total="_p").where("_p <= quota").select("h", "r", "t", F.lit(turn).alias("turn")))
         if new.isEmpty():
             break
         chosen = new if chosen is None else cut(chosen.unionByName(new))

@@ -36,7 +36,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, bound: int = BO
     the rounds grow with the logarithm of the graph. Hubs make skewed joins, which adaptive execution splits. ``nodes`` (one column) adds
     nodes that may have no edge.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    first = e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = e.where("u <> v")
     parts = -(-e.count() // bound)
     if parts:
         kind = e.schema["u"].dataType.simpleString()
@@ -53,13 +54,12 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, bound: int = BO
         after = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = _state(after)
         drop_cut(large)
-        drop_cut(e)
         e = after
         if now == seen:
             break
         seen = now
     members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    every = edges.select(F.explode(F.array("a", "b")).alias("node"))
+    every = first.select(F.explode(F.array("u", "v")).alias("node"))
     if nodes is not None:
         every = every.unionByName(nodes.select(F.col(nodes.columns[0]).alias("node")))
     return every.distinct().join(members, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -8,15 +8,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from kgloom.operators.unionfind import coded
+
 
 class _Graph:
     """Adjacency of the undirected edges of a partition (first two columns, simple), neighbours in ascending order."""
 
     def __init__(self, batches: Iterator[pa.RecordBatch]):
-        got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        a, b = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.array([], dtype=object),) * 2
-        self.nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-        u, v = place[: len(a)], place[len(a) :]
+        got = [b for b in batches if b.num_rows]
+        names, u, v = coded(*(pa.chunked_array([b.column(i) for b in got]) for i in (0, 1))) if got else (pa.array([]), *(np.array([], dtype=np.int64),) * 2)
+        self.nodes = names
         src, dst = np.concatenate([u, v]), np.concatenate([v, u])
         order = np.lexsort((dst, src))
         self.to = dst[order].tolist()
@@ -52,7 +53,7 @@ def rooted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for v in reversed(order):
         if parent[v] >= 0:
             size[parent[v]] += size[v]
-    names = pa.array(g.nodes.tolist())
+    names = g.nodes
     up = names.take(pa.array([p if p >= 0 else None for p in parent], pa.int64()))
     yield pa.RecordBatch.from_arrays([names, up, names.take(pa.array(root)), pa.array(pre, pa.int64()), pa.array(size, pa.int64())], names=["node", "parent", "root", "pre", "size"])
 
@@ -99,7 +100,7 @@ def bridge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size[parent[v]] += size[v]
     cut = [v for v in order if parent[v] >= 0 and low[v] == place[v]]
     if cut:
-        names = g.nodes.tolist()
+        names = g.nodes.to_pylist()
         ends = [sorted((names[v], names[parent[v]])) for v in cut]
         total = [size[root[v]] for v in cut]
         yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends]), pa.array([min(size[v], t - size[v]) for v, t in zip(cut, total, strict=True)], pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "side", "component_size"])
@@ -116,5 +117,5 @@ def articulation_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             blocks[p] += 1
     found = [v for v in range(g.n) if blocks[v] > 1]
     if found:
-        names = g.nodes.tolist()
+        names = g.nodes.to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([names[v] for v in found]), pa.array([blocks[v] for v in found], pa.int64())], names=["node", "blocks"])

@@ -74,24 +74,25 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     spark = df.sparkSession
     w = F.lit(1).cast("long") if weight is None else weight
     # written first, as rows are counted, sampled for the ranges and moved
-    flat = cut(df.withColumn("_w", w))
+    flat = cut(df.withColumn("__w", w))
     n = pieces or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-flat.count() // PIECE))
-    ranged = flat.repartitionByRange(n, *[F.col(g) for g in group], *order).withColumn("_piece", F.spark_partition_id())
+    ranged = flat.repartitionByRange(n, *[F.col(g) for g in group], *order).withColumn("__piece", F.spark_partition_id())
     ranged = cut(ranged)
     drop_cut(flat)
-    own = Window.partitionBy("_piece", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = ranged.withColumn(total, F.sum("_w").over(own))
+    own = Window.partitionBy("__piece", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.withColumn(total, F.sum("__w").over(own))
     # at most one row per piece of a group, so this window never holds more than ``pieces`` rows of a group
-    totals = ranged.groupBy("_piece", *group).agg(F.sum("_w").alias("_t"))
-    before = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    shift = totals.select(F.col("_piece").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
-    cond = [F.col("_piece") == F.col("_p")] + [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
-    out = inside.join(shift, _all(cond)).withColumn(total, F.col(total) + F.col("_before"))
-    return out.drop("_p", "_before", "_w", "_piece", *[f"_g{i}" for i in range(len(group))])
+    totals = ranged.groupBy("__piece", *group).agg(F.sum("__w").alias("__t"))
+    before = Window.partitionBy(*group).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    shift = totals.select(F.col("__piece").alias("__p"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__before"))
+    cond = [F.col("__piece") == F.col("__p")] + [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
+    out = inside.join(shift, _all(cond)).withColumn(total, F.col(total) + F.col("__before"))
+    return out.drop("__p", "__before", "__w", "__piece", *[f"__g{i}" for i in range(len(group))])
 
 
-def weighted_percentiles(freqs: DataFrame, keys: Sequence[str], value: str, points: Sequence[float], freq: str = "freq") -> DataFrame:
-    """Per key and point q the exact value at place floor(q·(n−1)) of its sorted values, from their frequencies.
+def weighted_percentiles(freqs: DataFrame, keys: Sequence[str], value: str, points: Sequence[float], freq: str = "freq", linear: bool = False) -> DataFrame:
+    """Per key and point q the exact value at place floor(q·(n−1)) of its sorted values, from their frequencies; ``linear``: the value between
+    that place and the next, in proportion.
 
     NULL and NaN values take no part; a key with no other value has no row. Columns: keys, ``q``, ``value``.
     """
@@ -100,9 +101,16 @@ def weighted_percentiles(freqs: DataFrame, keys: Sequence[str], value: str, poin
     sizes = clean.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum(freq).alias("_n"))
     run = skew_join(run, sizes, [(k, f"_k{i}") for i, k in enumerate(keys)])
     q = F.explode(F.array(*[F.lit(float(p)) for p in points]))
-    place = F.floor(F.col("q") * (F.col("_n") - 1))
-    hit = run.withColumn("q", q).where((place < F.col("_upto")) & (place >= F.col("_upto") - F.col(freq)))
-    return hit.select(*keys, "q", F.col(value).alias("value"))
+    exact = F.round(F.col("q") * (F.col("_n") - 1), 9)
+    place = F.floor(exact)
+    covers = lambda p: (p < F.col("_upto")) & (p >= F.col("_upto") - F.col(freq))
+    if not linear:
+        return run.withColumn("q", q).where(covers(place)).select(*keys, "q", F.col(value).alias("value"))
+    # the parts of both places add up
+    part = exact - place
+    run = run.withColumn("q", q).where(covers(place) | covers(F.ceil(exact)))
+    weight = F.when(covers(place), 1.0 - part).otherwise(0.0) + F.when(covers(F.ceil(exact)), F.when(F.ceil(exact) > place, part).otherwise(0.0)).otherwise(0.0)
+    return run.groupBy(*keys, "q").agg(F.sum(F.col(value) * weight).alias("value"))
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str = "inner", salts: int = 16, keep: bool = False) -> DataFrame:

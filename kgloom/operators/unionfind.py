@@ -12,15 +12,24 @@ import pyarrow.compute as pc
 BOUND = 500_000
 
 
+def coded(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(names in order, place of each value of ``a`` among them, the same for ``b``)."""
+    both = pa.chunked_array([*a.chunks, *b.chunks]).combine_chunks().dictionary_encode()
+    order = pc.array_sort_indices(both.dictionary).to_numpy()
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    place = rank[both.indices.to_numpy()]
+    return both.dictionary.take(pa.array(order)), place[: len(a)], place[len(a) :]
+
+
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (node, root) for each node of the edges (first two columns), root being the smallest node it is linked to in this partition."""
-    got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    got = [b for b in batches if b.num_rows]
     if not got:
         return
-    a, b = (np.concatenate(x) for x in zip(*got, strict=True))
-    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    nodes, first, second = coded(*(pa.chunked_array([b.column(i) for b in got]) for i in (0, 1)))
     parent = list(range(len(nodes)))
-    for x, y in zip(place[: len(a)].tolist(), place[len(a) :].tolist(), strict=True):
+    for x, y in zip(first.tolist(), second.tolist(), strict=True):
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
@@ -38,7 +47,7 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             break
         root = up
     for s in range(0, len(nodes), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[s : s + 50_000]), pa.array(nodes[root[s : s + 50_000]])], names=["node", "root"])
+        yield pa.RecordBatch.from_arrays([nodes.slice(s, 50_000), nodes.take(pa.array(root[s : s + 50_000]))], names=["node", "root"])
 
 
 def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,11 +57,10 @@ def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     t = pa.Table.from_batches(got).combine_chunks()
     t = t.take(pc.sort_indices(t, sort_keys=[("a", "ascending"), ("b", "ascending")]))
-    u, v = (t.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v"))
-    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    nodes, first, second = coded(t.column("u"), t.column("v"))
     parent = list(range(len(nodes)))
     keep = np.zeros(t.num_rows, dtype=bool)
-    for i, (x, y) in enumerate(zip(place[: len(u)].tolist(), place[len(u) :].tolist(), strict=True)):
+    for i, (x, y) in enumerate(zip(first.tolist(), second.tolist(), strict=True)):
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]

@@ -15,8 +15,10 @@ from kgloom.operators import construct as B
 from kgloom.operators import matrix as M
 from kgloom.operators import patterns as P
 from kgloom.operators import triples as T
+from kgloom.operators.skew import running_totals
 from kgloom.plans.registry import Registry, rounded
-from kgloom.sources.tables import ALLOC_SQL, AUX_SQL, PAIRS_SQL, POOL_SQL, PROFILE_SQL, TRIPLES_SQL, allocations, constraints, pair_rows, raw_triples, table, triples
+from kgloom.session import cut
+from kgloom.sources.tables import ALLOC_SQL, AUX_SQL, PAIRS_SQL, POOL_SQL, PROFILE_SQL, TRIPLES_SQL, allocations, constraints, graph, pair_rows, raw_triples, table, triples
 
 R = Registry()
 K = f"WITH {TRIPLES_SQL}"
@@ -115,9 +117,9 @@ PATTERN_FLAGS = ("symmetric", "composition")
 
 def census(s, d):
     """Every auxiliary triple with what decides on it: class, deficits, patterns, common neighbours, score."""
-    k, alloc = triples(s, d), allocations(s, d)
+    k, alloc = graph(s, d), allocations(s, d)
     counts = T.relation_counts(k)
-    aux = triples(s, d, "aux_edges")
+    aux = graph(s, d, "aux_edges")
     ent = T.entities(k)
     cmp = A.compare_relations(counts, alloc).select(F.col("relation").alias("r"), F.col("expected").alias("_eta"), F.col("deficit").alias("_def"))
     pat = A.compare_patterns(A.by_eta_share(counts, alloc), alloc).select("pattern", (F.round("deficit", 6) > 0).alias("_under"), (F.round("surplus", 6) > 0).alias("_over"))
@@ -159,7 +161,7 @@ _CMPQ = "c AS (SELECT r, count(*) AS n FROM k GROUP BY r), cm AS MATERIALIZED (S
 
 
 def _symmetric(s, d):
-    k, alloc = triples(s, d), allocations(s, d)
+    k, alloc = graph(s, d), allocations(s, d)
     sym = alloc.where("pattern = 'symmetric'").select("relation").distinct()
     meta = A.compare_relations(T.relation_counts(k), alloc).join(sym, "relation", "left_semi").select("relation", "deficit")
     return X.symmetric_completion(k, meta, triples(s, d, "aux_edges"))
@@ -171,15 +173,16 @@ R.add("symmetric_completion_capped", lambda s, d: X.capped(_symmetric(s, d), F.r
 R.add("completed_graph", lambda s, d: triples(s, d).withColumn("source", F.lit("base")).unionByName(_symmetric(s, d).select("h", "r", "t", F.lit("symmetric").alias("source"))), f"WITH {_SYMC} SELECT h, r, t, 'base' AS source FROM k UNION ALL SELECT h, r, t, 'symmetric' FROM sy")
 
 
-def _rules(s, d):
+def _rules(s, d, k=None):
     """Inverse rules: supported pairs with the loop confidence of both directions, and what their target lacks."""
     inv = P.inverse_pairs(pairs(s, d), 1, 0.01).select(F.col("r1").alias("source"), F.col("r2").alias("target"), F.round("conf_min", 9).alias("confidence"))
-    cmp = A.compare_relations(T.relation_counts(triples(s, d)), allocations(s, d)).select(F.col("relation").alias("target"), F.col("expected").alias("eta"), F.round("deficit", 6).alias("deficit"), F.round("surplus", 6).alias("surplus"))
+    cmp = A.compare_relations(T.relation_counts(triples(s, d) if k is None else k), allocations(s, d)).select(F.col("relation").alias("target"), F.col("expected").alias("eta"), F.round("deficit", 6).alias("deficit"), F.round("surplus", 6).alias("surplus"))
     return inv.join(cmp, "target", "left").select("source", "target", "confidence", "eta", "deficit", "surplus")
 
 
 def _inverse(s, d):
-    return X.inverse_candidates(triples(s, d), _rules(s, d), triples(s, d, "aux_edges"), 0.02)
+    k = graph(s, d)
+    return X.inverse_candidates(k, cut(_rules(s, d, k)), triples(s, d, "aux_edges"), 0.02)
 
 
 _INVS = f"""{PAIRS_SQL}, {TRIPLES_SQL}, {ALLOC_SQL}, {AUX_SQL}, {_CMPQ}, ru AS MATERIALIZED (SELECT a.r1 AS source, a.r2 AS target, round(least(a.conf_loop, b.conf_loop), 9) AS confidence, eta, round(deficit, 6) AS deficit, round(surplus, 6) AS surplus
@@ -202,7 +205,7 @@ def _hop_numbers(s, d):
 
 
 R.add("numeric_summary", _hop_numbers, """WITH u AS (UNPIVOT (SELECT CAST(loop AS DOUBLE) AS loop, CAST(nonloop AS DOUBLE) AS nonloop, CAST(total AS DOUBLE) AS total, elapsed_sec FROM (SELECT DISTINCT * FROM hop_support)) ON loop, nonloop, total, elapsed_sec INTO NAME name VALUE x)
-SELECT name, count(*) AS n, min(x) AS min_x, max(x) AS max_x, round(avg(x), 6) AS mean_x, round(stddev_pop(x), 6) AS stdev_pop, round(stddev_samp(x), 6) AS stdev_samp, round(quantile_cont(x, 0.25), 9) AS p25, round(quantile_cont(x, 0.5), 9) AS p50, round(quantile_cont(x, 0.75), 9) AS p75, round(quantile_cont(x, 0.9), 9) AS p90, round(quantile_cont(x, 0.95), 9) AS p95
+SELECT name, count(*) AS n, min(x) AS min_x, max(x) AS max_x, round(avg(x), 6) AS mean_x, round(stddev_pop(x), 6) AS stdev_pop, round(stddev_samp(x), 6) AS stdev_samp, """ + ", ".join(f"round(quantile_cont(x, {q}), 9) AS p{round(q * 100)}" for q in U.POINTS) + """
 FROM u WHERE NOT isnan(x) GROUP BY name""")
 R.add("support_shape", lambda s, d: rounded(U.support_shape(pairs(s, d)), "top1_share", "top10_share", "entropy", "self_share"), f"""WITH {PAIRS_SQL}, s AS (SELECT r1, r2, greatest(total, 0) AS c, sum(greatest(total, 0)) OVER (PARTITION BY r1) AS st, row_number() OVER (PARTITION BY r1 ORDER BY greatest(total, 0) DESC, r2) AS k FROM pairs)
 SELECT r1, count(*) AS followers, count(*) FILTER (WHERE c > 0) AS followers_with_support, CAST(sum(c) AS BIGINT) AS support, coalesce(round(max(c) / nullif(max(st), 0), 9), 0) AS top1_share, coalesce(round(sum(c) FILTER (WHERE k <= 10) / nullif(max(st), 0), 9), 0) AS top10_share,
@@ -278,10 +281,9 @@ _MORD = "deficit_delta, surplus_delta, score DESC NULLS LAST, move_id"
 
 def _round_robin(s, d):
     """Moves in turns over their candidate relations: first the best of each relation, then the second of each, and so on."""
-    from pyspark.sql import Window
-
     order = [F.col("deficit_delta"), F.col("surplus_delta"), F.col("score").desc_nulls_last(), F.col("move_id")]
-    return _moves(s, d).where("candidate_r IS NOT NULL").withColumn("turn", F.row_number().over(Window.partitionBy("candidate_r").orderBy(*order))).select("move_id", "candidate_r", "turn")
+    placed = running_totals(_moves(s, d).where("candidate_r IS NOT NULL"), ["candidate_r"], order, total="turn")
+    return placed.select("move_id", "candidate_r", F.col("turn").cast("int").alias("turn"))
 
 
 R.add("swap_turns", _round_robin, f"WITH {_MOV} SELECT move_id, candidate_r, CAST(row_number() OVER (PARTITION BY candidate_r ORDER BY {_MORD}) AS INTEGER) AS turn FROM sw WHERE candidate_r IS NOT NULL")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kgloom.operators import triples as T
 from kgloom.plans.registry import Registry, rounded
-from kgloom.sources.tables import AUX_SQL, POOL_SQL, RAW_SQL, TRIPLES_SQL, raw_triples, triples
+from kgloom.sources.tables import AUX_SQL, POOL_SQL, RAW_SQL, TRIPLES_SQL, graph, raw_triples, triples
 
 R = Registry()
 K = f"WITH {TRIPLES_SQL}"
@@ -34,7 +34,8 @@ R.add("top_nodes_subgraph", lambda s, d: T.top_nodes_subgraph(triples(s, d), 300
 
 def _top_edges(s, d):
     """The 1000 triples whose ends have the highest summed degree; a report of that size is the feature."""
-    k, deg = triples(s, d), T.degrees(triples(s, d)).select("entity", "degree")
+    k = graph(s, d)
+    deg = T.degrees(k).select("entity", "degree")
     both = k.join(deg.select(F.col("entity").alias("h"), F.col("degree").alias("_a")), "h").join(deg.select(F.col("entity").alias("t"), F.col("degree").alias("_b")), "t")
     return both.withColumn("weight", F.col("_a") + F.col("_b")).orderBy(F.col("weight").desc(), "r", "h", "t").limit(1000).select("h", "r", "t", "weight")
 
@@ -53,7 +54,7 @@ R.add("hash_sample", _sample, f"{K} SELECT h, r, t FROM k ORDER BY md5(concat_ws
 
 def _khop(s, d):
     """Everything within two hops of the entity of highest degree."""
-    k = triples(s, d)
+    k = graph(s, d)
     centre = T.degrees(k).orderBy(F.col("degree").desc(), "entity").limit(1).select("entity")
     return T.k_hop(k, centre, 2)
 
@@ -66,7 +67,7 @@ SELECT entity, CAST(min(depth) AS INTEGER) AS depth FROM (SELECT entity, 0 AS de
 def _aux_common(s, d):
     """Common neighbours in the candidate graph of the ends of every auxiliary edge."""
     p = triples(s, d, "aux_edges").select(F.least("h", "t").alias("a"), F.greatest("h", "t").alias("b"))
-    return T.common_neighbours(triples(s, d), p)
+    return T.common_neighbours(graph(s, d), p)
 
 
 R.add("common_neighbours", _aux_common, f"""{K}, {AUX_SQL}, {NB}, p AS (SELECT DISTINCT least(h, t) AS a, greatest(h, t) AS b FROM aux)
@@ -120,20 +121,20 @@ from kgloom.operators import hops as H  # noqa: E402
 
 _SYM = """b AS (SELECT k.*, EXISTS (SELECT 1 FROM k j WHERE j.h = k.t AND j.r = k.r AND j.t = k.h) AS has FROM k)
 SELECT r, count(*) AS n_pairs, round(count(*) FILTER (WHERE has) / count(*), 9) AS sym_score, round(count(*) FILTER (WHERE NOT has AND h <> t) / count(*), 9) AS anti_score FROM b GROUP BY r"""
-R.add("kg_symmetry", lambda s, d: rounded(H.relation_symmetry(triples(s, d)), "sym_score", "anti_score"), f"{K}, {_SYM}")
-R.add("kg_inverse", lambda s, d: rounded(H.relation_inverse(triples(s, d)), "score"), f"""{K}, n AS (SELECT r, count(*) AS n FROM k GROUP BY r), o AS (SELECT a.r AS r1, b.r AS r2, count(*) AS overlap FROM k a JOIN k b ON a.h = b.t AND a.t = b.h AND a.r <> b.r GROUP BY 1, 2)
+R.add("kg_symmetry", lambda s, d: rounded(H.relation_symmetry(graph(s, d)), "sym_score", "anti_score"), f"{K}, {_SYM}")
+R.add("kg_inverse", lambda s, d: rounded(H.relation_inverse(graph(s, d)), "score"), f"""{K}, n AS (SELECT r, count(*) AS n FROM k GROUP BY r), o AS (SELECT a.r AS r1, b.r AS r2, count(*) AS overlap FROM k a JOIN k b ON a.h = b.t AND a.t = b.h AND a.r <> b.r GROUP BY 1, 2)
 SELECT r1, r2, overlap, round(overlap / n, 9) AS score FROM o JOIN n ON n.r = r1""")
 _LOOPS = "lp AS (SELECT a.r AS r1, b.r AS r2, count(*) AS loop FROM k a JOIN k b ON a.t = b.h AND a.h = b.t AND a.h <> a.t GROUP BY 1, 2)"
-R.add("hop_support", lambda s, d: H.hop_support(triples(s, d)), f"""{K}, {_LOOPS}, x AS (SELECT a.r AS r1, b.r AS r2, count(*) AS total FROM k a JOIN k b ON a.t = b.h WHERE a.h <> a.t AND b.h <> b.t GROUP BY 1, 2)
+R.add("hop_support", lambda s, d: H.hop_support(graph(s, d)), f"""{K}, {_LOOPS}, x AS (SELECT a.r AS r1, b.r AS r2, count(*) AS total FROM k a JOIN k b ON a.t = b.h WHERE a.h <> a.t AND b.h <> b.t GROUP BY 1, 2)
 SELECT r1, r2, coalesce(loop, 0) AS loop, total - coalesce(loop, 0) AS nonloop, total FROM x LEFT JOIN lp USING (r1, r2)""")
-R.add("hop_middle_support", lambda s, d: H.middle_support(triples(s, d)), f"{K} SELECT a.r AS r1, b.r AS r2, count(DISTINCT a.t) AS support FROM k a JOIN k b ON a.t = b.h GROUP BY 1, 2")
-R.add("hop_loops", lambda s, d: H.loops(triples(s, d)), f"{K}, {_LOOPS} SELECT * FROM lp")
-R.add("hop_top_total", lambda s, d: H.top_followers(H.hop_support(triples(s, d)), "total", 10), f"""{K}, x AS (SELECT a.r AS r1, b.r AS r2, count(*) AS total FROM k a JOIN k b ON a.t = b.h WHERE a.h <> a.t AND b.h <> b.t GROUP BY 1, 2)
+R.add("hop_middle_support", lambda s, d: H.middle_support(graph(s, d)), f"{K} SELECT a.r AS r1, b.r AS r2, count(DISTINCT a.t) AS support FROM k a JOIN k b ON a.t = b.h GROUP BY 1, 2")
+R.add("hop_loops", lambda s, d: H.loops(graph(s, d)), f"{K}, {_LOOPS} SELECT * FROM lp")
+R.add("hop_top_total", lambda s, d: H.top_followers(H.hop_support(graph(s, d)), "total", 10), f"""{K}, x AS (SELECT a.r AS r1, b.r AS r2, count(*) AS total FROM k a JOIN k b ON a.t = b.h WHERE a.h <> a.t AND b.h <> b.t GROUP BY 1, 2)
 SELECT r1, r2, total, CAST(row_number() OVER (PARTITION BY r1 ORDER BY total DESC, r2) AS INTEGER) AS place FROM x QUALIFY place <= 10""")
-R.add("hop_top_loop", lambda s, d: H.top_followers(H.loops(triples(s, d)), "loop", 10), f"{K}, {_LOOPS} SELECT r1, r2, loop, CAST(row_number() OVER (PARTITION BY r1 ORDER BY loop DESC, r2) AS INTEGER) AS place FROM lp QUALIFY place <= 10")
-R.add("hop_top_middle", lambda s, d: H.top_followers(H.middle_support(triples(s, d)), "support", 10), f"""{K}, x AS (SELECT a.r AS r1, b.r AS r2, count(DISTINCT a.t) AS support FROM k a JOIN k b ON a.t = b.h GROUP BY 1, 2)
+R.add("hop_top_loop", lambda s, d: H.top_followers(H.loops(graph(s, d)), "loop", 10), f"{K}, {_LOOPS} SELECT r1, r2, loop, CAST(row_number() OVER (PARTITION BY r1 ORDER BY loop DESC, r2) AS INTEGER) AS place FROM lp QUALIFY place <= 10")
+R.add("hop_top_middle", lambda s, d: H.top_followers(H.middle_support(graph(s, d)), "support", 10), f"""{K}, x AS (SELECT a.r AS r1, b.r AS r2, count(DISTINCT a.t) AS support FROM k a JOIN k b ON a.t = b.h GROUP BY 1, 2)
 SELECT r1, r2, support, CAST(row_number() OVER (PARTITION BY r1 ORDER BY support DESC, r2) AS INTEGER) AS place FROM x QUALIFY place <= 10""")
-R.add("hop_followers", lambda s, d: H.followers(triples(s, d)), f"{K} SELECT DISTINCT a.r AS r1, b.r AS r2 FROM k a JOIN k b ON a.t = b.h")
-R.add("two_paths", lambda s, d: H.two_paths(triples(s, d)), f"{K} SELECT a.h, a.r AS r1, b.r AS r2, b.t FROM k a JOIN k b ON a.t = b.h WHERE a.h <> a.t")
+R.add("hop_followers", lambda s, d: H.followers(graph(s, d)), f"{K} SELECT DISTINCT a.r AS r1, b.r AS r2 FROM k a JOIN k b ON a.t = b.h")
+R.add("two_paths", lambda s, d: H.two_paths(graph(s, d)), f"{K} SELECT a.h, a.r AS r1, b.r AS r2, b.t FROM k a JOIN k b ON a.t = b.h WHERE a.h <> a.t")
 
 QUERIES, SQL = R.queries, R.sql

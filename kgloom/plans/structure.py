@@ -15,7 +15,7 @@ from kgloom.operators import vectors as V
 from kgloom.plans.evidence import annotated
 from kgloom.plans.registry import Registry
 from kgloom.session import cut
-from kgloom.sources.tables import AUX_SQL, POOL_SQL, TRIPLES_SQL, allocations, table, triples
+from kgloom.sources.tables import AUX_SQL, POOL_SQL, TRIPLES_SQL, allocations, graph, table, triples
 
 R = Registry()
 
@@ -29,26 +29,31 @@ CC = f"WITH RECURSIVE {TRIPLES_SQL}, {_cc_sql('cc', 'k')}"
 
 
 def members(s, d, name="candidates"):
-    k = cut(triples(s, d, name))
-    return cut(G.components(G.simple_edges(k), T.entities(k)))
+    return parts(s, d, name)[1]
+
+
+def parts(s, d, name="candidates"):
+    """(triples, component of every entity)."""
+    k = graph(s, d, name)
+    return k, cut(G.components(G.simple_edges(k), T.entities(k)))
 
 
 R.add("components", lambda s, d: members(s, d), f"{CC} SELECT v AS node, label AS component FROM cc")
 R.add("component_sizes", lambda s, d: G.component_sizes(members(s, d)), f"{CC} SELECT label AS component, count(*) AS entities FROM cc GROUP BY 1")
 R.add("connectivity", lambda s, d: G.connectivity(members(s, d)), f"{CC} SELECT count(*) AS components, max(n) AS largest, round(max(n) / sum(n), 9) AS largest_share FROM (SELECT count(*) AS n FROM cc GROUP BY label)")
 _ST = "pr AS (SELECT label, r, count(*) AS n FROM k JOIN cc ON v = h GROUP BY 1, 2), sz AS (SELECT label, count(*) AS entities FROM cc GROUP BY 1)"
-R.add("component_stats", lambda s, d: G.component_stats(triples(s, d), members(s, d)), f"{CC}, {_ST} SELECT label AS component, entities, CAST(sum(n) AS BIGINT) AS triples, count(*) AS relations, arg_min(r, ROW(-n, r)) AS top_relation FROM pr JOIN sz USING (label) GROUP BY label, entities")
+R.add("component_stats", lambda s, d: G.component_stats(*parts(s, d)), f"{CC}, {_ST} SELECT label AS component, entities, CAST(sum(n) AS BIGINT) AS triples, count(*) AS relations, arg_min(r, ROW(-n, r)) AS top_relation FROM pr JOIN sz USING (label) GROUP BY label, entities")
 R.add("largest_component", lambda s, d: _largest(s, d), f"{CC}, big AS (SELECT label FROM cc GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1) SELECT h, r, t FROM k JOIN cc ON v = h WHERE label IN (SELECT label FROM big)")
 
 
 def _largest(s, d):
-    m = members(s, d)
+    k, m = parts(s, d)
     big = G.component_sizes(m).orderBy(F.col("entities").desc(), "component").limit(1).select("component")
     inside = m.join(big, "component", "left_semi").select(F.col("node").alias("h"))
-    return triples(s, d).join(inside, "h", "left_semi").select("h", "r", "t")
+    return k.join(inside, "h", "left_semi").select("h", "r", "t")
 
 
-R.add("weak_components_filtered", lambda s, d: G.without_weak_components(triples(s, d), members(s, d), 5, 5), f"""{CC}, q AS (SELECT k.*, label FROM k JOIN cc ON v = h), keep AS (SELECT label FROM (SELECT label, count(*) AS t FROM q GROUP BY 1) JOIN (SELECT label, count(*) AS n FROM cc GROUP BY 1) USING (label) WHERE t >= 5 AND n >= 5
+R.add("weak_components_filtered", lambda s, d: G.without_weak_components(*parts(s, d), 5, 5), f"""{CC}, q AS (SELECT k.*, label FROM k JOIN cc ON v = h), keep AS (SELECT label FROM (SELECT label, count(*) AS t FROM q GROUP BY 1) JOIN (SELECT label, count(*) AS n FROM cc GROUP BY 1) USING (label) WHERE t >= 5 AND n >= 5
 UNION SELECT label FROM q WHERE r IN (SELECT r FROM k GROUP BY r HAVING count(*) = 1)) SELECT h, r, t FROM q WHERE label IN (SELECT label FROM keep)""")
 R.add("aux_connectivity", lambda s, d: G.connectivity(members(s, d, "aux_edges")), f"WITH RECURSIVE {AUX_SQL}, {_cc_sql('cc', 'aux')} SELECT count(*) AS components, max(n) AS largest, round(max(n) / sum(n), 9) AS largest_share FROM (SELECT count(*) AS n FROM cc GROUP BY label)")
 
@@ -81,7 +86,7 @@ SELECT vec_id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY c DESC
 
 def _structure(s, d):
     """One row of structural measures of the candidate graph."""
-    k = cut(triples(s, d))
+    k = graph(s, d)
     e = cut(G.simple_edges(k))
     one = lambda df: df.withColumn("_k", F.lit(1))
     b = G.bridges(e).agg(F.count(F.lit(1)).alias("bridges"))
@@ -93,7 +98,7 @@ R.add("structural_metrics", _structure)
 
 def _safe_rows(s, d):
     """Triples of overfilled relations with more than one triple, and whether deleting one keeps its component whole."""
-    k = cut(triples(s, d))
+    k = graph(s, d)
     over = A.compare_relations(T.relation_counts(k), allocations(s, d)).where("surplus > 0 AND observed > 1").select(F.col("relation").alias("r"), F.round("surplus", 6).alias("surplus"))
     b = G.bridges(cut(G.simple_edges(k))).select("a", "b", F.lit(True).alias("_bridge"))
     m = k.join(over, "r").withColumns({"a": F.least("h", "t"), "b": F.greatest("h", "t")}).join(T.pair_counts(k), ["a", "b"]).join(b, ["a", "b"], "left")
@@ -107,7 +112,7 @@ def _surplus(s, d):
     return A.compare_relations(T.relation_counts(triples(s, d)), allocations(s, d)).where("surplus > 0").select("relation", "surplus")
 
 
-R.add("safe_deletions", lambda s, d: B.safe_deletions(cut(triples(s, d)), _surplus(s, d), [F.col("h"), F.col("t")]))
+R.add("safe_deletions", lambda s, d: B.safe_deletions(graph(s, d), _surplus(s, d), [F.col("h"), F.col("t")]))
 R.add("prune_rounds", lambda s, d: B.prune(triples(s, d), allocations(s, d), None, None, [F.col("h"), F.col("t")]))
 
 

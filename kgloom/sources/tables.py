@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions.ids import plain_id, plain_id_sql
 from kgloom.functions.labels import folded
+from kgloom.session import cut
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,6 +28,11 @@ def triples(spark: SparkSession, d: str, name: str = "candidates") -> DataFrame:
     return raw_triples(spark, d, name).distinct()
 
 
+def graph(spark: SparkSession, d: str, name: str = "candidates") -> DataFrame:
+    """The same, written once for queries that read it several times."""
+    return cut(triples(spark, d, name))
+
+
 def allocations(spark: SparkSession, d: str) -> DataFrame:
     """(pattern, relation, eta): rows of positive budget; eta is the first of eta_integer, eta_total, eta_expected that isn't NULL."""
     eta = F.coalesce(F.col("eta_integer").cast("double"), F.col("eta_total"), F.col("eta_expected"))
