@@ -113,6 +113,23 @@ def by_membership(counts: DataFrame, alloc: DataFrame) -> DataFrame:
     return alloc.select("pattern", F.col("relation").alias("r")).distinct().join(counts, "r").groupBy("pattern").agg(F.sum("n").alias("observed"))
 
 
+def by_equal_share(counts: DataFrame, alloc: DataFrame) -> DataFrame:
+    """Every triple counts in equal parts in the patterns of its relation."""
+    own = alloc.select("pattern", "relation").distinct()
+    many = own.groupBy(F.col("relation").alias("r")).agg(F.count(F.lit(1)).alias("_m"))
+    return own.withColumnRenamed("relation", "r").join(many, "r").join(counts, "r").groupBy("pattern").agg(F.sum(F.col("n") / F.col("_m")).alias("observed"))
+
+
+def allocation_index(rows: DataFrame) -> DataFrame:
+    """Per relation of allocation rows (pattern, relation, eta_integer, forward_score, backward_score): budget summed and at most, by pattern as
+    ``pattern=budget`` in order, the highest scores, and the number of patterns."""
+    per = rows.groupBy("relation", "pattern").agg(F.sum("eta_integer").alias("e"), F.max("forward_score").alias("f"), F.max("backward_score").alias("b"))
+    text = F.concat(F.col("pattern"), F.lit("="), F.coalesce(F.col("e").cast("string"), F.lit("")))
+    # as many entries as patterns
+    out = per.groupBy("relation").agg(F.sum("e").alias("eta_sum"), F.max("e").alias("eta_max"), F.array_join(F.sort_array(F.collect_list(text)), "|").alias("by_pattern"), F.max("f").alias("f"), F.max("b").alias("b"), F.count(F.lit(1)).alias("patterns"))
+    return out.select("relation", "eta_sum", "eta_max", "by_pattern", F.round("f", 6).alias("forward_max"), F.round("b", 6).alias("backward_max"), "patterns")
+
+
 def by_combination(counts: DataFrame, alloc: DataFrame) -> DataFrame:
     """(patterns, relations, observed): triples per combination of patterns, ``none`` for relations without any."""
     combo = alloc.groupBy(F.col("relation").alias("r")).agg(F.array_join(F.sort_array(F.collect_set("pattern")), "|").alias("_p"))

@@ -85,6 +85,42 @@ def component_stats(triples: DataFrame, members: DataFrame) -> DataFrame:
     return component_sizes(members).join(out, "component").join(best, "component").select("component", "entities", "triples", "relations", "top_relation")
 
 
+def _sized(triples: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    m = triples.join(members.select(F.col("node").alias("h"), "component"), "h")
+    return m, m.groupBy("component").agg(F.count(F.lit(1)).alias("_t")).join(component_sizes(members), "component")
+
+
+def select_components(triples: DataFrame, members: DataFrame, min_nodes: int = 1, min_triples: int = 1, largest_only: bool = False, without_largest: bool = False, at_most: int | None = None) -> DataFrame:
+    """Triples of the components of that size; the largest (most nodes, then triples, then smallest name) alone or left out; ``at_most`` so many
+    of the largest that are left."""
+    m, size = _sized(triples, members)
+    order = [F.col("entities").desc(), F.col("_t").desc(), F.col("component")]
+    first = size.orderBy(*order).limit(1).select("component")
+    if largest_only:
+        size = size.join(first, "component", "left_semi")
+    if without_largest:
+        size = size.join(first, "component", "left_anti")
+    keep = size.where((F.col("entities") >= min_nodes) & (F.col("_t") >= min_triples))
+    if at_most is not None:
+        keep = keep.orderBy(*order).limit(at_most)
+    return m.join(keep.select("component"), "component", "left_semi").select("h", "r", "t")
+
+
+def component_of_rank(triples: DataFrame, members: DataFrame, rank: int) -> DataFrame:
+    """Triples of the component that comes ``rank``-th by nodes, then triples, then name; none if there are fewer."""
+    m, size = _sized(triples, members)
+    order = [F.col("entities").desc(), F.col("_t").desc(), F.col("component")]
+    top = size.orderBy(*order).limit(rank)
+    one = top.withColumn("_p", F.row_number().over(Window.orderBy(*order))).where(F.col("_p") == rank).select("component")  # ``rank`` rows
+    return m.join(one, "component", "left_semi").select("h", "r", "t")
+
+
+def component_top_relations(triples: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(component, r, n, place): the ``k`` most frequent relations of every component, ties by name."""
+    per = triples.join(members.select(F.col("node").alias("h"), "component"), "h").groupBy("component", "r").agg(F.count(F.lit(1)).alias("n"))
+    return per.withColumn("place", F.row_number().over(Window.partitionBy("component").orderBy(F.col("n").desc(), "r"))).where(F.col("place") <= k)
+
+
 def without_weak_components(triples: DataFrame, members: DataFrame, min_triples: int, min_entities: int) -> DataFrame:
     """Triples of components that are large enough or hold the only triple of some relation."""
     m = triples.join(members.select(F.col("node").alias("h"), "component"), "h")

@@ -39,6 +39,27 @@ def middle_support(triples: DataFrame) -> DataFrame:
     return into.join(out, "y").groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("support"))
 
 
+def sampled_support(triples: DataFrame, middles: int, seed: str) -> DataFrame:
+    """The same from at most ``middles`` middle entities of each r1, drawn by a seeded hash of (r1, entity)."""
+    own = triples.select(F.col("r").alias("r1"), F.col("t").alias("y")).distinct()
+    draw = Window.partitionBy("r1").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "r1", "y")), "y")
+    # ranks beyond the sample are cut before the shuffle
+    few = own.withColumn("_p", F.row_number().over(draw)).where(F.col("_p") <= middles).select("r1", "y")
+    out = triples.select(F.col("h").alias("y"), F.col("r").alias("r2")).distinct()
+    return few.join(out, "y").groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("support"))
+
+
+def composed(triples: DataFrame, rules: DataFrame) -> DataFrame:
+    """(h, r, t, rules): what the ``rules`` (r1, r2, r3) imply from chains, with the number of different (r1, r2) that imply it."""
+    k = triples.select("h", "r", "t")
+    first = k.join(rules.select(F.col("r1").alias("r")).distinct(), "r", "left_semi").select(F.col("h").alias("x"), F.col("r").alias("r1"), F.col("t").alias("y"))
+    second = k.join(rules.select(F.col("r2").alias("r")).distinct(), "r", "left_semi").select(F.col("h").alias("y"), F.col("r").alias("r2"), F.col("t").alias("z"))
+    # the rules decide which relations meet at a middle before the middles are joined
+    led = first.join(rules, "r1")
+    made = led.join(second, ["y", "r2"]).select(F.col("x").alias("h"), F.col("r3").alias("r"), F.col("z").alias("t"), "r1", "r2").distinct()
+    return made.groupBy("h", "r", "t").agg(F.count(F.lit(1)).alias("rules"))
+
+
 def top_followers(support: DataFrame, by: str, k: int) -> DataFrame:
     """The ``k`` r2 of highest ``by`` for each r1, ties by r2, ranked from 1; r2 without support are left out."""
     w = Window.partitionBy("r1").orderBy(F.col(by).desc(), "r2")

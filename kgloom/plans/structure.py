@@ -20,12 +20,12 @@ from kgloom.sources.tables import AUX_SQL, POOL_SQL, TRIPLES_SQL, allocations, g
 R = Registry()
 
 
-def _cc_sql(name: str, source: str) -> str:
+def cc_sql(name: str, source: str) -> str:
     return f"""e{name} AS MATERIALIZED (SELECT h AS a, t AS b FROM {source} UNION SELECT t, h FROM {source}),
 {name}(v, label) USING KEY (v) AS (SELECT a, min(least(a, b)) FROM e{name} GROUP BY a UNION SELECT e.b, min(g.label) FROM {name} g JOIN e{name} e ON g.v = e.a JOIN recurring.{name} AS r ON r.v = e.b WHERE g.label < r.label GROUP BY e.b)"""
 
 
-CC = f"WITH RECURSIVE {TRIPLES_SQL}, {_cc_sql('cc', 'k')}"
+CC = f"WITH RECURSIVE {TRIPLES_SQL}, {cc_sql('cc', 'k')}"
 
 
 def members(s, d, name="candidates"):
@@ -55,7 +55,7 @@ def _largest(s, d):
 
 R.add("weak_components_filtered", lambda s, d: G.without_weak_components(*parts(s, d), 5, 5), f"""{CC}, q AS (SELECT k.*, label FROM k JOIN cc ON v = h), keep AS (SELECT label FROM (SELECT label, count(*) AS t FROM q GROUP BY 1) JOIN (SELECT label, count(*) AS n FROM cc GROUP BY 1) USING (label) WHERE t >= 5 AND n >= 5
 UNION SELECT label FROM q WHERE r IN (SELECT r FROM k GROUP BY r HAVING count(*) = 1)) SELECT h, r, t FROM q WHERE label IN (SELECT label FROM keep)""")
-R.add("aux_connectivity", lambda s, d: G.connectivity(members(s, d, "aux_edges")), f"WITH RECURSIVE {AUX_SQL}, {_cc_sql('cc', 'aux')} SELECT count(*) AS components, max(n) AS largest, round(max(n) / sum(n), 9) AS largest_share FROM (SELECT count(*) AS n FROM cc GROUP BY label)")
+R.add("aux_connectivity", lambda s, d: G.connectivity(members(s, d, "aux_edges")), f"WITH RECURSIVE {AUX_SQL}, {cc_sql('cc', 'aux')} SELECT count(*) AS components, max(n) AS largest, round(max(n) / sum(n), 9) AS largest_share FROM (SELECT count(*) AS n FROM cc GROUP BY label)")
 
 
 def _bridges(s, d, name="candidates"):
