@@ -166,7 +166,7 @@ def safe_deletions(triples: DataFrame, surplus: DataFrame, order: list[Column])
     return running_totals(m, ["r"], order, total="_k").where("_k <= _cap").select("h", "r", "t")
 
 
-def _loose(triples: DataFrame, over: DataFrame) -> DataFrame:
+def loose(triples: DataFrame, over: DataFrame) -> DataFrame:
     """The triples of the relations in ``over`` (relation) that can go together without parting a component or dropping an entity, as many as
     possible: all other relations stay, so what they join is contracted, and of the rest only a spanning tree of the contracted graph is kept
     (by its first triple by (r, h, t) between two parts)."""
@@ -203,7 +203,7 @@ def prune(triples: DataFrame, alloc: DataFrame, per_round: int | None, max_round
         over = cut(n.join(eta, "relation").select("relation", (room if per_round is None else F.least(room, F.lit(per_round))).alias("_cap")).where("_cap > 0"))
         if over.isEmpty():
             break
-        m = _loose(left, over).join(over.withColumnRenamed("relation", "r"), "r")
+        m = loose(left, over).join(over.withColumnRenamed("relation", "r"), "r")
         cutting = cut(running_totals(m, ["r"], order, total="_k").where("_k <= _cap").select("h", "r", "t", F.lit(turn).alias("turn")))
         if cutting.isEmpty():
             break

@@ -160,17 +160,18 @@ R.add("additions_selected", _selected)
 _CMPQ = "c AS (SELECT r, count(*) AS n FROM k GROUP BY r), cm AS MATERIALIZED (SELECT relation, sum(eta) AS eta, greatest(sum(eta) - coalesce(any_value(n), 0), 0) AS deficit, greatest(coalesce(any_value(n), 0) - sum(eta), 0) AS surplus FROM alloc LEFT JOIN c ON r = relation GROUP BY relation)"
 
 
-def _symmetric(s, d):
-    k, alloc = graph(s, d), allocations(s, d)
+def symmetric(s, d, k=None):
+    """Reverses that the symmetric relations of the candidate graph lack, with the relation's deficit."""
+    k, alloc = graph(s, d) if k is None else k, allocations(s, d)
     sym = alloc.where("pattern = 'symmetric'").select("relation").distinct()
     meta = A.compare_relations(T.relation_counts(k), alloc).join(sym, "relation", "left_semi").select("relation", "deficit")
     return X.symmetric_completion(k, meta, triples(s, d, "aux_edges"))
 
 
 _SYMC = f"{TRIPLES_SQL}, {ALLOC_SQL}, {AUX_SQL}, {_CMPQ}, sy AS MATERIALIZED (SELECT DISTINCT t AS h, r, h AS t, deficit FROM k JOIN cm ON relation = r WHERE relation IN (SELECT relation FROM alloc WHERE pattern = 'symmetric') AND (t, r, h) NOT IN (SELECT (h, r, t) FROM k) AND (t, r, h) NOT IN (SELECT (h, r, t) FROM aux))"
-R.add("symmetric_completion", lambda s, d: _symmetric(s, d).drop("deficit"), f"WITH {_SYMC} SELECT h, r, t FROM sy")
-R.add("symmetric_completion_capped", lambda s, d: X.capped(_symmetric(s, d), F.round("deficit", 6), [F.col("h"), F.col("t")]).drop("deficit"), f"WITH {_SYMC} SELECT h, r, t FROM sy QUALIFY row_number() OVER (PARTITION BY r ORDER BY h, t) <= floor(round(deficit, 6))")
-R.add("completed_graph", lambda s, d: triples(s, d).withColumn("source", F.lit("base")).unionByName(_symmetric(s, d).select("h", "r", "t", F.lit("symmetric").alias("source"))), f"WITH {_SYMC} SELECT h, r, t, 'base' AS source FROM k UNION ALL SELECT h, r, t, 'symmetric' FROM sy")
+R.add("symmetric_completion", lambda s, d: symmetric(s, d).drop("deficit"), f"WITH {_SYMC} SELECT h, r, t FROM sy")
+R.add("symmetric_completion_capped", lambda s, d: X.capped(symmetric(s, d), F.round("deficit", 6), [F.col("h"), F.col("t")]).drop("deficit"), f"WITH {_SYMC} SELECT h, r, t FROM sy QUALIFY row_number() OVER (PARTITION BY r ORDER BY h, t) <= floor(round(deficit, 6))")
+R.add("completed_graph", lambda s, d: triples(s, d).withColumn("source", F.lit("base")).unionByName(symmetric(s, d).select("h", "r", "t", F.lit("symmetric").alias("source"))), f"WITH {_SYMC} SELECT h, r, t, 'base' AS source FROM k UNION ALL SELECT h, r, t, 'symmetric' FROM sy")
 
 
 def _rules(s, d, k=None):

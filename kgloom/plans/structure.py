@@ -15,7 +15,7 @@ from kgloom.operators import vectors as V
 from kgloom.plans.evidence import annotated
 from kgloom.plans.registry import Registry
 from kgloom.session import cut
-from kgloom.sources.tables import AUX_SQL, POOL_SQL, TRIPLES_SQL, allocations, graph, table, triples
+from kgloom.sources.tables import ALLOC_SQL, AUX_SQL, POOL_SQL, TRIPLES_SQL, allocations, graph, table, triples
 
 R = Registry()
 
@@ -28,6 +28,18 @@ def cc_sql(name: str, source: str) -> str:
 CC = f"WITH RECURSIVE {TRIPLES_SQL}, {cc_sql('cc', 'k')}"
 
 
+def bridge_sql(source: str, cc: str) -> str:
+    """Bridges by another way than the operator's: a breadth-first tree, and every edge outside of it walked up to where its ends meet; a tree
+    edge that no such walk covers is a bridge. ``cc`` must hold the components of ``source``."""
+    return f"""ed AS MATERIALIZED (SELECT DISTINCT least(h, t) AS a, greatest(h, t) AS b FROM {source} WHERE h <> t), eb AS MATERIALIZED (SELECT a AS v, b AS w FROM ed UNION ALL SELECT b, a FROM ed),
+bf(v, dist) USING KEY (v) AS (SELECT v, 0 FROM {cc} WHERE v = label UNION SELECT eb.w, min(g.dist) + 1 FROM bf g JOIN eb ON eb.v = g.v LEFT JOIN recurring.bf AS o ON o.v = eb.w WHERE o.v IS NULL GROUP BY eb.w),
+tp AS MATERIALIZED (SELECT x.v, x.dist, min(y.v) AS up FROM bf x LEFT JOIN eb ON eb.v = x.v LEFT JOIN bf y ON y.v = eb.w AND y.dist = x.dist - 1 GROUP BY x.v, x.dist),
+cl(u, w) AS (SELECT a, b FROM ed WHERE NOT EXISTS (SELECT 1 FROM tp WHERE (v = a AND up = b) OR (v = b AND up = a)) UNION SELECT CASE WHEN p.dist >= q.dist THEN p.up ELSE cl.u END, CASE WHEN p.dist >= q.dist THEN cl.w ELSE q.up END FROM cl JOIN tp p ON p.v = cl.u JOIN tp q ON q.v = cl.w WHERE cl.u <> cl.w),
+cv AS MATERIALIZED (SELECT DISTINCT CASE WHEN p.dist >= q.dist THEN u ELSE w END AS v FROM cl JOIN tp p ON p.v = u JOIN tp q ON q.v = w WHERE u <> w),
+ac(v, top) AS (SELECT v, v FROM tp UNION ALL SELECT ac.v, tp.up FROM ac JOIN tp ON tp.v = ac.top WHERE tp.up IS NOT NULL), sz AS (SELECT top AS v, count(*) AS below FROM ac GROUP BY top), wh AS (SELECT label, count(*) AS whole FROM {cc} GROUP BY label),
+br AS MATERIALIZED (SELECT least(tp.v, up) AS a, greatest(tp.v, up) AS b, least(below, whole - below) AS side, whole AS component_size FROM tp JOIN sz ON sz.v = tp.v JOIN {cc} m ON m.v = tp.v JOIN wh USING (label) WHERE up IS NOT NULL AND tp.v NOT IN (SELECT v FROM cv))"""
+
+
 def members(s, d, name="candidates"):
     return parts(s, d, name)[1]
 
@@ -62,8 +74,9 @@ def _bridges(s, d, name="candidates"):
     return G.bridges(cut(G.simple_edges(triples(s, d, name))))
 
 
-R.add("bridges", lambda s, d: _bridges(s, d))
-R.add("bridges_aux", lambda s, d: _bridges(s, d, "aux_edges"))
+_BR = f"{CC}, {bridge_sql('k', 'cc')}"
+R.add("bridges", lambda s, d: _bridges(s, d), f"{_BR} SELECT * FROM br")
+R.add("bridges_aux", lambda s, d: _bridges(s, d, "aux_edges"), f"WITH RECURSIVE {AUX_SQL}, {cc_sql('ca', 'aux')}, {bridge_sql('aux', 'ca')} SELECT * FROM br")
 
 
 def _two_edge(s, d):
@@ -72,8 +85,9 @@ def _two_edge(s, d):
     return cut(G.two_edge_components(e, b)), b
 
 
-R.add("two_edge_components", lambda s, d: _two_edge(s, d)[0])
-R.add("bridge_forest", lambda s, d: G.bridge_forest(*_two_edge(s, d)))
+_TE = f"{_BR}, ne AS MATERIALIZED (SELECT v AS h, w AS t FROM eb WHERE (least(v, w), greatest(v, w)) NOT IN (SELECT (a, b) FROM br)), {cc_sql('ct', 'ne')}, te AS MATERIALIZED (SELECT x.v AS node, coalesce(ct.label, x.v) AS component FROM (SELECT DISTINCT v FROM eb) x LEFT JOIN ct ON ct.v = x.v)"
+R.add("two_edge_components", lambda s, d: _two_edge(s, d)[0], f"{_TE} SELECT node, component FROM te")
+R.add("bridge_forest", lambda s, d: G.bridge_forest(*_two_edge(s, d)), f"{_TE} SELECT a, b, side, x.component AS ca, y.component AS cb FROM br JOIN te x ON x.node = a JOIN te y ON y.node = b")
 
 
 R.add("articulation_points", lambda s, d: G.articulation_points(cut(G.simple_edges(triples(s, d)))))
@@ -93,7 +107,9 @@ def _structure(s, d):
     return one(T.summary(k)).join(one(G.connectivity(G.components(e, T.entities(k)))), "_k").join(one(b), "_k").join(one(T.two_path_proxy(k)), "_k").drop("_k")
 
 
-R.add("structural_metrics", _structure)
+R.add("structural_metrics", _structure, f"""{_BR}, sd AS (SELECT v AS entity, sum(CASE WHEN v = w THEN 2 ELSE 1 END) AS degree FROM (SELECT h AS v, t AS w FROM k UNION SELECT t, h FROM k) GROUP BY v), n AS (SELECT count(*) AS c, max(n) AS m, sum(n) AS s FROM (SELECT count(*) AS n FROM cc GROUP BY label))
+SELECT (SELECT count(*) FROM k) AS raw_rows, (SELECT count(*) FROM k) AS triples, CAST(0 AS BIGINT) AS duplicate_rows, (SELECT count(*) FROM cc) AS entities, (SELECT count(DISTINCT r) FROM k) AS relations, c AS components, m AS largest, round(m / s, 9) AS largest_share, (SELECT count(*) FROM br) AS bridges,
+(SELECT CAST(sum(degree * (degree - 1) // 2) AS BIGINT) FROM sd) AS two_paths, (SELECT count(*) FROM sd WHERE degree <= 1) AS low_degree_entities FROM n""")
 
 
 def _safe_rows(s, d):
@@ -105,7 +121,8 @@ def _safe_rows(s, d):
     return m.select("h", "r", "t", "surplus", F.col("n").alias("pair_count"), F.col("_bridge").isNotNull().alias("bridge"), ((F.col("n") > 1) | F.col("_bridge").isNull()).alias("safe"))
 
 
-R.add("safe_deletion_candidates", _safe_rows)
+R.add("safe_deletion_candidates", _safe_rows, f"""{_BR}, {ALLOC_SQL}, c AS (SELECT r, count(*) AS n FROM k GROUP BY r HAVING count(*) > 1), ov AS (SELECT relation, round(any_value(n) - sum(eta), 6) AS surplus FROM alloc JOIN c ON r = relation GROUP BY relation HAVING any_value(n) > sum(eta)),
+pc AS (SELECT least(h, t) AS a, greatest(h, t) AS b, count(*) AS n FROM k GROUP BY 1, 2) SELECT h, r, t, surplus, n AS pair_count, br.a IS NOT NULL AS bridge, n > 1 OR br.a IS NULL AS safe FROM k JOIN ov ON relation = r JOIN pc ON pc.a = least(h, t) AND pc.b = greatest(h, t) LEFT JOIN br ON br.a = pc.a AND br.b = pc.b""")
 
 
 def _surplus(s, d):

@@ -31,10 +31,10 @@ def read_triples(spark: SparkSession, path: str, h: str = "h", r: str = "r", t:
     elif kind == "jsonl":
         df = spark.read.schema(f"`{h}` string, `{r}` string, `{t}` string").option("mode", "FAILFAST").json(path)
     elif kind == "json":
+        # a list is parsed element by element, however long it is
         item = f"struct<`{h}`:string,`{r}`:string,`{t}`:string>"
-        text = spark.read.option("wholetext", True).text(path)
-        lists = F.coalesce(_as_list(item), *[F.from_json("value", f"struct<`{k}`:array<{item}>>")[k] for k in ("triples", "triples_out")])
-        df = text.select(F.explode(F.when(lists.isNull(), F.raise_error(F.lit(f"{path} holds no list of triples"))).otherwise(lists)).alias("x")).select("x.*")
+        rows = read_json_array(spark, path, f"`{h}` string, `{r}` string, `{t}` string, triples array<{item}>, triples_out array<{item}>")
+        df = rows.select(F.explode(F.coalesce("triples", "triples_out", F.array(F.struct(h, r, t)))).alias("x")).select("x.*")
     elif kind == "parquet":
         df = spark.read.parquet(path)
     else:
@@ -44,6 +44,90 @@ def read_triples(spark: SparkSession, path: str, h: str = "h", r: str = "r", t:
     return out.where(F.when(bad, F.raise_error(F.lit(f"{path}: triple with a missing part")).cast("boolean")).otherwise(F.lit(True)))
 
 
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The elements of a JSON list (or a lone object as one row). The file is parsed as a stream, one element at a time, so it may be larger
+    than any single value; a broken file is an error when it is read."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def read_attempts(spark: SparkSession, path: str, attempt: int | None = None) -> DataFrame:
+    """(h, r, t, attempt, first_seen) of the checkpoint documents that ``path`` matches (names ending in ``attempt`` and a number, or 0 for
+    others): of each attempt the file last changed counts (ties: the last name), each triple once with its lowest attempt.
+
+    ``attempt`` keeps a single one. The triples stand in ``triples_out`` or ``triples``, or the document is a list of them."""
+    item = "struct<h:string,r:string,t:string>"
+    rows = read_json_array(spark, path, f"h string, r string, t string, triples array<{item}>, triples_out array<{item}>")
+    number = F.coalesce(F.nullif(F.regexp_extract("_metadata.file_name", r"(?i)attempt[_-]?(\d+)", 1), F.lit("")).cast("int"), F.lit(0))
+    rows = rows.withColumns({"attempt": number, "_file": F.struct("_metadata.file_modification_time", "_metadata.file_path")})
+    # a file each, so this is small
+    last = rows.groupBy(F.col("attempt").alias("_a")).agg(F.max("_file").alias("_last"))
+    rows = rows.join(last, (F.col("attempt") == F.col("_a")) & (F.col("_file") == F.col("_last")))
+    if attempt is not None:
+        rows = rows.where(F.col("attempt") == attempt)
+    k = rows.select("attempt", F.explode(F.coalesce("triples_out", "triples", F.array(F.struct("h", "r", "t")))).alias("x")).select("x.*", "attempt")
+    return k.where("h IS NOT NULL AND r IS NOT NULL AND t IS NOT NULL").groupBy("h", "r", "t").agg(F.min("attempt").alias("attempt"))
+
+
+_DOC = "r1 string, status string, error string, valid_r2 array<string>, failed_r2 array<string>, support_by_r2 map<string,string>, support_data map<string,struct<loop:string,nonloop:string,total:string>>, top_support array<struct<r2:string,support:string>>, topk_support array<struct<r2:string,support:string>>"
+
+
+def read_discovery(spark: SparkSession, path: str) -> DataFrame:
+    """Support and discovery documents, one a row, with the fields that name an r2; broken lines are dropped."""
+    d = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", _DOC).alias("d")).select("d.*")
+    return d.where(F.col("r1").isNotNull())
+
+
+def valid_r2() -> Column:
+    """The r2 of a document: those of the first of valid_r2, support_by_r2, support_data that it has, else of both lists together."""
+    lists = F.concat(*[F.transform(F.coalesce(c, F.array()), lambda e: e["r2"]) for c in ("top_support", "topk_support")])
+    found = F.coalesce("valid_r2", F.map_keys("support_by_r2"), F.map_keys("support_data"), lists)
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != ""))))
+
+
+def filter_r2(docs: DataFrame, allowed: DataFrame) -> DataFrame:
+    """``docs`` (r1, fields of :func:`read_discovery`) with every field that names an r2 cut down to what is ``allowed`` (r1, r2) for its r1; a
+    document without any allowed r2 keeps empty fields, a field that is NULL stays NULL. Adds ``valid_r2_count``."""
+    per = allowed.where("r1 IS NOT NULL AND r2 IS NOT NULL").groupBy(F.col("r1").alias("_r1")).agg(F.collect_set("r2").alias("_ok"))  # as many as relations
+    m = docs.join(per, F.col("r1") == F.col("_r1"), "left").withColumn("_ok", F.coalesce("_ok", F.array().cast("array<string>")))
+    inside = lambda x: F.array_contains(F.col("_ok"), x)
+    names = {c: F.array_sort(F.filter(c, inside)) for c in ("valid_r2", "failed_r2")}
+    maps = {c: F.map_filter(c, lambda k, _: inside(k)) for c in ("support_by_r2", "support_data")}
+    lists = {c: F.filter(c, lambda e: inside(e["r2"])) for c in ("top_support", "topk_support")}
+    return m.withColumns(names | maps | lists).withColumn("valid_r2_count", F.size("valid_r2")).drop("_r1", "_ok")
+
+
+def failed_only(docs: DataFrame, failed: DataFrame) -> DataFrame:
+    """The documents whose r1 is among ``failed`` (one column), to be run again."""
+    return docs.join(failed.select(F.col(failed.columns[0]).alias("r1")).distinct(), "r1", "left_semi")
+
+
+def to_discovery(pairs: DataFrame, states: DataFrame, min_total: float = 1) -> DataFrame:
+    """(r1, status, valid_r2, valid_r2_count) from support: the r2 of ``pairs`` (r1, r2, total) with ``min_total`` or more; without any, a status
+    of ERROR or NOT_FOUND in ``states`` (r1, status) stays, any other becomes NOT_FOUND. Names other than P and digits are dropped."""
+    ok = pairs.where((F.col("total") >= min_total) & is_pid("r1") & is_pid("r2")).groupBy(F.col("r1").alias("_r1")).agg(F.array_sort(F.collect_set("r2")).alias("valid_r2"))  # as many as relations
+    m = states.where(is_pid("r1")).groupBy("r1").agg(F.max("status").alias("_s")).join(ok, F.col("r1") == F.col("_r1"), "left")
+    status = F.when(F.size(F.coalesce("valid_r2", F.array())) > 0, "SUCCESS").when(F.col("_s").isin("ERROR", "NOT_FOUND"), F.col("_s")).otherwise("NOT_FOUND")
+    found = F.coalesce("valid_r2", F.array().cast("array<string>"))
+    return m.select("r1", status.alias("status"), found.alias("valid_r2"), F.size(found).alias("valid_r2_count"))
+
+
+def read_ontology(spark: SparkSession, path: str) -> DataFrame:
+    """(relation, subject_type, object_type) from JSON lines or a JSON list; rows with a missing part are dropped."""
+    fields = "relation string, subject_type string, object_type string"
+    df = spark.read.schema(fields).json(path) if path.endswith(".jsonl") else read_json_array(spark, path, fields)
+    return df.where("relation IS NOT NULL AND subject_type IS NOT NULL AND object_type IS NOT NULL").distinct()
+
+
+def ontology_ok(rows: DataFrame, table: DataFrame | None) -> DataFrame:
+    """``rows`` (r, subject_type, object_type, …) with ``ontology_ok``: true without a table, where a type is missing, or where the table has the
+    three together."""
+    if table is None:
+        return rows.withColumn("ontology_ok", F.lit(True))
+    t = table.select(F.col("relation").alias("_r"), F.col("subject_type").alias("_s"), F.col("object_type").alias("_o"), F.lit(True).alias("_has")).distinct()
+    m = rows.join(t, (F.col("r") == F.col("_r")) & (F.col("subject_type") == F.col("_s")) & (F.col("object_type") == F.col("_o")), "left")
+    return m.withColumn("ontology_ok", F.col("subject_type").isNull() | F.col("object_type").isNull() | F.col("_has").isNotNull()).drop("_r", "_s", "_o", "_has")
+
+
 def read_triples_leniently(spark: SparkSession, path: str | Sequence[str], h: str = "h", r: str = "r", t: str = "t", recursive: bool = False, pattern: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
     """(triples as a bag, one row with the number of malformed rows) from all JSON-lines files of one or more folders."""
     reader = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern)

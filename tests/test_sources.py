@@ -155,3 +155,44 @@ def test_streams(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "tab" / "v1")).collect()} == {("P1", 3, "b"), ("P2", 5, "x")}
     ev = spark.createDataFrame([("2025-01-01 00:10:00", "k"), ("2025-01-01 00:50:00", "k"), ("2025-01-01 01:00:00", "k")], "at string, k string").selectExpr("to_timestamp(at) AS at", "k")
     assert sorted(r.n for r in jobs.windowed_counts(ev, "at", ["k"]).collect()) == [1, 2]
+
+
+def test_attempts_last_file_wins(spark, tmp_path):
+    import os
+
+    t = lambda *x: [dict(zip("hrt", y, strict=True)) for y in x]
+    put(tmp_path, "a_attempt_1.json", json.dumps({"triples_out": t("arb", "brc")}))
+    put(tmp_path, "b_attempt_1.json", json.dumps({"triples_out": t("xry")}))
+    put(tmp_path, "c_attempt2.json", json.dumps(t("arb", "crd") + [{"h": "q"}]))
+    put(tmp_path, "plain.json", json.dumps({"triples": t("crd")}))
+    os.utime(tmp_path / "a_attempt_1.json", (2_000_000_000, 2_000_000_000))
+    os.utime(tmp_path / "b_attempt_1.json", (1_000_000_000, 1_000_000_000))
+    got = lambda n=None: {tuple(r) for r in S.read_attempts(spark, str(tmp_path / "*.json"), n).collect()}
+    assert got() == {("a", "r", "b", 1), ("b", "r", "c", 1), ("c", "r", "d", 0)}
+    assert got(2) == {("a", "r", "b", 2), ("c", "r", "d", 2)}
+
+
+def test_discovery_documents(spark, tmp_path):
+    docs = [
+        {"r1": "P1", "status": "SUCCESS", "valid_r2": ["P3", "P2", ""], "failed_r2": ["P9", "P2"]},
+        {"r1": "P2", "status": "ERROR", "support_by_r2": {"P5": 1, "P4": 2}},
+        {"r1": "P3", "status": "SUCCESS", "support_data": {"P7": {"total": 3}}, "top_support": [{"r2": "P8", "support": 1}]},
+        {"r1": "P4", "status": "X", "top_support": [{"r2": "P8"}, {"r2": "P6"}], "topk_support": [{"r2": "P8"}]},
+    ]
+    d = S.read_discovery(spark, put(tmp_path, "d.jsonl", "\n".join(map(json.dumps, docs)) + "\n{bad\n"))
+    assert {r.r1: r.v for r in d.select("r1", S.valid_r2().alias("v")).collect()} == {"P1": ["P2", "P3"], "P2": ["P4", "P5"], "P3": ["P7"], "P4": ["P6", "P8"]}
+    ok = spark.createDataFrame([("P1", "P2"), ("P2", "P4"), ("P4", "P6"), ("P1", None)], "r1 string, r2 string")
+    got = {r.r1: r for r in S.filter_r2(d, ok).collect()}
+    assert got["P1"].valid_r2 == ["P2"] and got["P1"].failed_r2 == ["P2"] and got["P1"].valid_r2_count == 1
+    assert got["P2"].support_by_r2 == {"P4": "2"} and got["P3"].support_data == {} and [x.r2 for x in got["P4"].top_support] == ["P6"] and got["P4"].valid_r2 is None
+    assert {r.r1 for r in S.failed_only(d, spark.createDataFrame([("P2",), ("P2",)], "x string")).collect()} == {"P2"}
+    pairs = spark.createDataFrame([("P1", "P2", 5), ("P1", "P7", 0), ("P2", "x", 4), ("P3", "P1", 1)], "r1 string, r2 string, total long")
+    assert {tuple(r) for r in S.to_discovery(pairs, d, 1).select("r1", "status", "valid_r2_count").collect()} == {("P1", "SUCCESS", 1), ("P2", "ERROR", 0), ("P3", "SUCCESS", 1), ("P4", "NOT_FOUND", 0)}
+
+
+def test_ontology(spark, tmp_path):
+    f = put(tmp_path, "o.json", json.dumps([{"relation": "P1", "subject_type": "a", "object_type": "b"}, {"relation": "P1"}]))
+    rows = spark.createDataFrame([(1, "P1", "a", "b"), (2, "P1", "b", "a"), (3, "P1", None, "b"), (4, "P2", "a", "b")], "i int, r string, subject_type string, object_type string")
+    table = S.read_ontology(spark, f)
+    assert {x.i for x in S.ontology_ok(rows, table).where("ontology_ok").collect()} == {1, 3}
+    assert S.ontology_ok(rows, None).where("ontology_ok").count() == 4
