@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import html
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import count
 
 import pyarrow as pa
 import regex
@@ -29,6 +31,8 @@ _INLINE = regex.compile(r"</?(?:a|abbr|b|big|cite|code|del|dfn|em|font|i|ins|kbd
 _TAG = regex.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->", regex.S)
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Cc}\p{Co}\p{Variation_Selector}͏ᅟᅠ឴឵ㅤﾠ--[\t-\r\x1c-\x1f\x85]]", regex.V1)
 _STARS = regex.compile(r"\*+|`+|~~")
+_ASCII_HIDDEN = re.compile(r"[\x00-\x08\x0e-\x1b\x7f]")
+_ASCII_WORD = re.compile(r"[0-9A-Za-z]+")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _UNIT = regex.compile(r"[\p{L}\p{M}\p{N}]")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー]")
@@ -48,7 +52,7 @@ def normalised(text: str) -> str:
         text = text.replace("ํา", "ำ").replace("ໍາ", "ຳ")
         text = _HIDDEN.sub("", text)
     else:
-        text = _HIDDEN.sub("", text).lower()
+        text = _ASCII_HIDDEN.sub("", text).lower()
     if "*" in text or "`" in text or "~~" in text:
         text = _STARS.sub("", text)
     return text
@@ -56,12 +60,12 @@ def normalised(text: str) -> str:
 
 def words(norm: str) -> list[str]:
     """Unbroken runs of letters, marks and digits."""
-    return _WORD.findall(norm)
+    return (_ASCII_WORD if norm.isascii() else _WORD).findall(norm)
 
 
 def characters(norm: str) -> list[str]:
     """Letters, marks and digits one by one; spaces and punctuation don't count."""
-    return _UNIT.findall(norm)
+    return list("".join(words(norm)))
 
 
 def is_unspaced(norm: str) -> bool:
@@ -192,12 +196,17 @@ def leaks(text: str, pair: tuple[Automaton, Automaton]) -> set[int]:
     """Items of which ``text`` holds enough consecutive words or characters."""
     by_word, by_char = pair
     norm = normalised(text)
-    found = by_word.matches(words(norm))[0] if by_word.items else set()
-    if by_char.items and (by_char.plain_run or _UNSPACED.search(norm)):
-        found |= by_char.matches(characters(norm))[0]
+    units = words(norm)
+    found = by_word.matches(units)[0] if by_word.items else set()
+    if by_char.items and (by_char.plain_run or _has_unspaced(norm)):
+        found |= by_char.matches("".join(units))[0]
     return found
 
 
+def _has_unspaced(norm: str) -> bool:
+    return not norm.isascii() and _UNSPACED.search(norm) is not None
+
+
 def _detector(pair: object) -> object:
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = pair.value  # type: ignore[attr-defined]
@@ -235,7 +244,7 @@ def _runs(norm: str, pair: tuple[Automaton, Automaton]) -> list[tuple[int, int,
     by_word, by_char = pair
     out: list[tuple[int, int, int, int]] = []
     for kind, automaton, unit in ((0, by_word, words), (1, by_char, characters)):
-        if automaton.items and (kind == 0 or by_char.plain_run or _UNSPACED.search(norm)):
+        if automaton.items and (kind == 0 or by_char.plain_run or _has_unspaced(norm)):
             units = unit(norm)
             out += [(kind, s, e, len(units)) for s, e in automaton.matches(units)[1]]
     return out
@@ -378,16 +387,12 @@ def _cut_out(text: str, runs: Iterable[tuple[int, int, int, int]], drop_from: fl
     return "".join(kept) + text[last:]
 
 
-#: Cuts after which a text is given up, as something always joins to a run again.
-TURNS = 100
-
-
 def without_runs(text: str, pair: tuple[Automaton, Automaton], drop_from: float = 0.5) -> str | None:
     """``text`` without its leaked runs, or None where they cover ``drop_from`` of its units or more.
 
-    Cutting repeats until no run is left, since what stood around a run may join to another.
+    Cutting repeats until no run is left, since what stood around a run may join to another; each turn makes the text shorter.
     """
-    for turn in range(TURNS):
+    for turn in count():
         runs = _runs(normalised(text), pair)
         if not runs:
             return text
@@ -395,7 +400,6 @@ def without_runs(text: str, pair: tuple[Automaton, Automaton], drop_from: float
         if rest is None:
             return None
         text = rest
-    return None
 
 
 def cleaned(documents: DataFrame, items: DataFrame, drop_from: float = 0.5) -> DataFrame:
@@ -411,7 +415,7 @@ def cleaned(documents: DataFrame, items: DataFrame, drop_from: float = 0.5) -> D
     if len(pairs) <= 1:
         return docs.mapInArrow(_cleaner(pairs[0], drop_from), "doc_id long, text string") if pairs else docs.limit(0)
     done: list[DataFrame] = []
-    for turn in range(TURNS):
+    for turn in count():
         for pair in pairs:
             docs = docs.mapInArrow(_finder(pair), "doc_id long, text string, runs array<long>")
         # the first turn leaves out what no item touches
@@ -422,8 +426,6 @@ def cleaned(documents: DataFrame, items: DataFrame, drop_from: float = 0.5) -> D
         docs = docs.where("text IS NOT NULL")
         if docs.isEmpty():
             break
-    else:
-        done.append(docs.select("doc_id", F.lit(None).cast("string").alias("text")))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
