@@ -147,3 +147,10 @@ def census_score(weights: dict[str, float] | None = None) -> Column:
         - w["generic"] * one(c("is_generic"))
         - w["new_entity"] * c("new_entities")
     )
+
+
+def fetch_limit(target: Column, bucket: Column, factor: int = 3, least: int = 100, most: int = 20_000) -> Column:
+    """How many raw rows to fetch for a relation that is to keep ``target``: ``factor`` times as many, twice that for highly generic ones, within
+    bounds."""
+    many = target * F.when(bucket == "high", 2 * factor).otherwise(factor)
+    return F.least(F.lit(most), F.greatest(F.lit(least), many)).cast("long")

@@ -61,3 +61,13 @@ def nested(matrix: DataFrame) -> DataFrame:
 def unnested(rows: DataFrame) -> DataFrame:
     """The reverse of :func:`nested`."""
     return rows.select("row", F.explode("cells").alias("col", "value"))
+
+
+def dense(matrix: DataFrame, relations: DataFrame, default: float = 0.0, at_least: float | None = None) -> DataFrame:
+    """(row, col, value) for every pair of ``relations`` (one column): ``default`` where ``matrix`` has no cell, nothing below ``at_least``."""
+    names = relations.select(F.col(relations.columns[0]).alias("row")).where("row IS NOT NULL").distinct()
+    # the square is the result; its side is the relations asked for
+    side = names.agg(F.sort_array(F.collect_list("row")).alias("_all"))
+    cells = names.join(F.broadcast(side), F.lit(True)).select("row", F.explode("_all").alias("col")).join(matrix.select("row", "col", F.col("value").alias("_v")), ["row", "col"], "left")
+    v = F.coalesce("_v", F.lit(float(default)))
+    return cells.select("row", "col", (v if at_least is None else F.greatest(v, F.lit(float(at_least)))).alias("value"))

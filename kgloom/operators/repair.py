@@ -118,3 +118,35 @@ def restricted_picks(scored: DataFrame, group: str, order: list[Column], top: in
     best = scored.withColumn("_p", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_p") <= top)
     draw = Window.partitionBy(group).orderBy(F.md5(F.concat_ws("|", F.lit(seed), group, name)), name)
     return best.withColumn("pick", F.row_number().over(draw)).where(F.col("pick") <= picks).drop("_p")
+
+
+def absent_classes(absent: DataFrame, universe: DataFrame, graph: DataFrame, typed: DataFrame) -> DataFrame:
+    """(relation, candidates, touching, class) of the ``absent`` relations (relation): none in the universe, none compatible with any relation of
+    the graph by ``typed`` (relation), none that touches the graph, or some that do."""
+    e = lambda c: entities(graph).select(F.col("entity").alias(c), F.lit(1).alias(f"_{c}"))
+    u = universe.join(absent.select(F.col("relation").alias("r")), "r", "left_semi").join(e("h"), "h", "left").join(e("t"), "t", "left")
+    n = u.groupBy(F.col("r").alias("_r")).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_h").isNotNull() | F.col("_t").isNotNull()).alias("_k"))
+    m = absent.select("relation").join(n, F.col("relation") == F.col("_r"), "left").join(typed.select(F.col("relation").alias("_t"), F.lit(True).alias("_ok")).distinct(), F.col("relation") == F.col("_t"), "left")
+    count = lambda c: F.coalesce(c, F.lit(0))
+    kind = F.when(count("_n") == 0, "no_candidates").when(F.col("_ok").isNull(), "types_fail").when(count("_k") == 0, "untouched").otherwise("touching")
+    return m.select("relation", count("_n").alias("candidates"), count("_k").alias("touching"), kind.alias("class"))
+
+
+def attached_sample(universe: DataFrame, reached: DataFrame, n: int, seed: str, exact: bool = False) -> DataFrame:
+    """(h, r, t, place): of each relation at most ``n`` triples of ``universe`` that touch an entity of ``reached`` (one column), drawn by a seeded
+    hash: the same wherever drawn. ``exact`` leaves out relations with fewer."""
+    v = reached.select(F.col(reached.columns[0]).alias("v")).distinct()
+    at = lambda c: universe.select("h", "r", "t").join(v.withColumnRenamed("v", c), c, "left_semi").select("h", "r", "t")
+    key = F.md5(F.concat_ws("|", F.lit(seed), "h", "r", "t"))
+    # ranks beyond n are cut before the shuffle
+    out = at("h").unionByName(at("t")).distinct().withColumn("place", F.row_number().over(Window.partitionBy("r").orderBy(key, "h", "t"))).where(F.col("place") <= n)
+    if exact:
+        out = out.join(out.where(F.col("place") == n).select("r"), "r", "left_semi")
+    return out.select("h", "r", "t", "place")
+
+
+def touching_parts(universe: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Triples of ``universe`` that ``graph`` lacks and that touch one of the ``nodes`` (node): what small components could grow by."""
+    v = nodes.select("node").distinct()
+    at = lambda c: universe.select("h", "r", "t").join(v.withColumnRenamed("node", c), c, "left_semi").select("h", "r", "t")
+    return at("h").unionByName(at("t")).distinct().join(graph.select("h", "r", "t"), ["h", "r", "t"], "left_anti")

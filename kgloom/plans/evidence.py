@@ -63,7 +63,7 @@ c AS (SELECT r, count(*) AS n FROM k GROUP BY r), cmp AS (SELECT relation, (e -
 SELECT a AS relation, round(sum(weight * rest), 9) AS unlock_score FROM u JOIN cmp ON b = relation GROUP BY a""")
 
 # genericity and annotation
-_GEN = f"""{PAIRS_SQL}, {ALLOC_SQL}, rel AS MATERIALIZED (SELECT relation, sum(eta) AS eta FROM alloc GROUP BY 1), cell AS (SELECT r1, r2, sum(total) AS v FROM pairs GROUP BY 1, 2 HAVING sum(total) >= 3),
+GEN_SQL = f"""{PAIRS_SQL}, {ALLOC_SQL}, rel AS MATERIALIZED (SELECT relation, sum(eta) AS eta FROM alloc GROUP BY 1), cell AS (SELECT r1, r2, sum(total) AS v FROM pairs GROUP BY 1, 2 HAVING sum(total) >= 3),
 ins AS (SELECT * FROM cell WHERE r1 IN (SELECT relation FROM rel) AND r2 IN (SELECT relation FROM rel)), en AS (SELECT r1 AS relation, r2 AS o, v FROM ins UNION ALL SELECT r2, r1, v FROM ins),
 per AS (SELECT relation, count(DISTINCT CASE WHEN v > 1e-12 THEN o END) AS n, CAST(sum(v) AS DOUBLE) AS m FROM en GROUP BY 1), s0 AS (SELECT relation, eta, coalesce(n, 0) AS n, coalesce(m, 0) AS mass FROM rel LEFT JOIN per USING (relation)),
 th AS (SELECT list_sort(list(mass))[CAST(floor(0.9 * (count(*) - 1)) AS INT) + 1] AS thr, max(mass) AS top, max(eta) AS me, count(*) AS c FROM s0),
@@ -76,9 +76,9 @@ def generic(s, d):
     return N.genericity(allocations(s, d), M.adjacency(pairs(s, d), 3))
 
 
-R.add("genericity", lambda s, d: rounded(generic(s, d), "coverage_score", "mass_score", "volume_score", "genericity_score"), f"""WITH {_GEN} SELECT relation, round(coverage_score, 9) AS coverage_score, round(mass_score, 9) AS mass_score, round(volume_score, 9) AS volume_score, CAST(0 AS DOUBLE) AS manual_risk,
+R.add("genericity", lambda s, d: rounded(generic(s, d), "coverage_score", "mass_score", "volume_score", "genericity_score"), f"""WITH {GEN_SQL} SELECT relation, round(coverage_score, 9) AS coverage_score, round(mass_score, 9) AS mass_score, round(volume_score, 9) AS volume_score, CAST(0 AS DOUBLE) AS manual_risk,
   round(genericity_score, 9) AS genericity_score, genericity_bucket FROM gen""")
-_ANN = f"""{TRIPLES_SQL}, {_GEN}, tg AS (SELECT relation, genericity_score AS gs, genericity_bucket AS gb, least(5000, greatest(40, 5 * CAST(floor(eta) AS BIGINT) + 20)) AS target FROM rel JOIN gen USING (relation)),
+_ANN = f"""{TRIPLES_SQL}, {GEN_SQL}, tg AS (SELECT relation, genericity_score AS gs, genericity_bucket AS gb, least(5000, greatest(40, 5 * CAST(floor(eta) AS BIGINT) + 20)) AS target FROM rel JOIN gen USING (relation)),
 ok AS MATERIALIZED (SELECT k.* FROM k JOIN tg ON relation = r WHERE h <> t), fr AS MATERIALIZED (SELECT r, e, count(*) AS f FROM (SELECT r, h AS e FROM ok UNION ALL SELECT r, t FROM ok) GROUP BY 1, 2),
 pk AS (SELECT r, max(f) AS peak FROM fr GROUP BY 1), ac AS (SELECT r, count(*) AS accepted FROM ok GROUP BY 1),
 pr AS (SELECT tg.*, peak, CASE WHEN gb = 'high' THEN least(target, 200) WHEN accepted <= 200 THEN accepted ELSE least(target, accepted) END AS keep, CASE WHEN gb = 'high' THEN 'graph_anchored' WHEN accepted <= 200 THEN 'small_full' ELSE 'normal' END AS mode FROM tg JOIN ac ON ac.r = relation JOIN pk ON pk.r = relation),

@@ -41,17 +41,17 @@ def _status(s, d):
 
 # compositions in the candidate graph
 K = f"WITH {TRIPLES_SQL}"
-_COMP = """ch AS MATERIALIZED (SELECT DISTINCT a.r AS r1, b.r AS r2, a.h AS x, b.t AS z FROM k a JOIN k b ON a.t = b.h),
+COMP_SQL = """ch AS MATERIALIZED (SELECT DISTINCT a.r AS r1, b.r AS r2, a.h AS x, b.t AS z FROM k a JOIN k b ON a.t = b.h),
 ex AS (SELECT r1, r2, count(*) AS examined FROM ch GROUP BY 1, 2),
 comp AS MATERIALIZED (SELECT s.r1, s.r2, s.r3, examined, shortcuts, examined - shortcuts AS missing, shortcuts / examined AS confidence FROM
   (SELECT r1, r2, k.r AS r3, count(*) AS shortcuts FROM ch JOIN k ON k.h = x AND k.t = z GROUP BY 1, 2, 3) s JOIN ex USING (r1, r2))"""
-R.add("composition_evidence", lambda s, d: rounded(H.composition(graph(s, d)), "confidence"), f"{K}, {_COMP} SELECT r1, r2, r3, examined, shortcuts, missing, round(confidence, 9) AS confidence FROM comp")
+R.add("composition_evidence", lambda s, d: rounded(H.composition(graph(s, d)), "confidence"), f"{K}, {COMP_SQL} SELECT r1, r2, r3, examined, shortcuts, missing, round(confidence, 9) AS confidence FROM comp")
 _W = """w AS (SELECT *, greatest(0, (confidence + 1.96*1.96/(2*examined)) / (1 + 1.96*1.96/examined) - 1.96/(1 + 1.96*1.96/examined) * sqrt(confidence*(1-confidence)/examined + 1.96*1.96/(4*examined*examined))) AS lo,
   least(1, (confidence + 1.96*1.96/(2*examined)) / (1 + 1.96*1.96/examined) + 1.96/(1 + 1.96*1.96/examined) * sqrt(confidence*(1-confidence)/examined + 1.96*1.96/(4*examined*examined))) AS hi FROM comp WHERE examined >= 2 AND shortcuts >= 1 AND confidence >= 0.05),
 a AS MATERIALIZED (SELECT * FROM w WHERE lo >= 0.05)
 SELECT r1, r2, r3, examined, shortcuts, missing, round(confidence, 9) AS confidence, round(lo, 9) AS wilson_low, round(hi, 9) AS wilson_high, (r2, r1, r3) IN (SELECT (r1, r2, r3) FROM a) AS swapped_too,
   CASE WHEN r1 = r2 AND r2 = r3 THEN 'transitive_self_composition' WHEN (r2, r1, r3) IN (SELECT (r1, r2, r3) FROM a) THEN 'non_transitive_commutative_composition' ELSE 'non_transitive_non_commutative_composition' END AS composition_class FROM a"""
-R.add("composition_filter_wilson", lambda s, d: rounded(P.filter_compositions(H.composition(graph(s, d)), 2, 1, 0.05, by_bound=True), "confidence", "wilson_low", "wilson_high"), f"{K}, {_COMP}, {_W}")
+R.add("composition_filter_wilson", lambda s, d: rounded(P.filter_compositions(H.composition(graph(s, d)), 2, 1, 0.05, by_bound=True), "confidence", "wilson_low", "wilson_high"), f"{K}, {COMP_SQL}, {_W}")
 
 
 def _examples(s, d):
@@ -73,7 +73,7 @@ def groups(s, d):
     return P.pattern_groups(P.self_pairs(p, "conf_loop", 1, 0.2), P.self_pairs(p, "conf_nonloop", 1, 0.8), P.inverse_pairs(p, 1, 0.01), comp)
 
 
-_G = f"""{PAIRS_SQL}, {_INV}, {TRIPLES_SQL}, {_COMP}, acc AS (SELECT * FROM comp WHERE examined >= 2 AND shortcuts >= 1 AND confidence >= 0.05 AND
+_G = f"""{PAIRS_SQL}, {_INV}, {TRIPLES_SQL}, {COMP_SQL}, acc AS (SELECT * FROM comp WHERE examined >= 2 AND shortcuts >= 1 AND confidence >= 0.05 AND
   greatest(0, (confidence + 1.96*1.96/(2*examined)) / (1 + 1.96*1.96/examined) - 1.96/(1 + 1.96*1.96/examined) * sqrt(confidence*(1-confidence)/examined + 1.96*1.96/(4*examined*examined))) >= 0.05),
 sy AS (SELECT r1 FROM pairs WHERE r1 = r2 AND total >= 1 AND conf_loop >= 0.2), iv AS (SELECT * FROM inv WHERE least(total, reverse_total) >= 1 AND least(conf_loop, reverse_conf_loop) >= 0.01),
 grp AS MATERIALIZED (SELECT 'symmetric' AS pattern, r1 AS relation FROM sy UNION SELECT 'anti_symmetric', r1 FROM pairs WHERE r1 = r2 AND total >= 1 AND conf_nonloop >= 0.8 AND r1 NOT IN (SELECT r1 FROM sy)

@@ -6,16 +6,21 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kgloom.operators import allocate as A
+from kgloom.operators import candidates as N
 from kgloom.operators import graph as G
 from kgloom.operators import hops as H
+from kgloom.operators import matrix as M
 from kgloom.operators import patterns as P
 from kgloom.operators import repair as Z
 from kgloom.operators import triples as T
-from kgloom.plans.patterns import K, _COMP
+from kgloom.plans.evidence import GEN_SQL as _GEN
+from kgloom.plans.evidence import generic
+from kgloom.plans.patterns import COMP_SQL as _COMP
+from kgloom.plans.patterns import K
 from kgloom.plans.registry import Registry, rounded
 from kgloom.plans.structure import CC, cc_sql, parts
 from kgloom.session import cut
-from kgloom.sources.tables import ALLOC_SQL, AUX_SQL, PAIRS_SQL, POOL_SQL, TRIPLES_SQL, allocations, graph, pair_rows, table, triples
+from kgloom.sources.tables import ALLOC_SQL, AUX_SQL, PAIRS_SQL, POOL_SQL, PROFILE_SQL, TRIPLES_SQL, allocations, constraints, graph, pair_rows, table, triples
 
 R = Registry()
 _AUX = f"WITH RECURSIVE {TRIPLES_SQL}, {AUX_SQL}, {cc_sql('ca', 'aux')}, mc AS MATERIALIZED (SELECT label FROM ca GROUP BY label ORDER BY count(*) DESC, label LIMIT 1), mn AS MATERIALIZED (SELECT v FROM ca WHERE label IN (SELECT label FROM mc))"
@@ -110,6 +115,60 @@ c AS (SELECT r, round(count(*) FILTER (WHERE x) / count(*), 9) AS overlap FROM n
 SELECT *, CAST(row_number() OVER (PARTITION BY pattern ORDER BY md5(concat_ws('|', '7', pattern, relation)), relation) AS INTEGER) AS pick FROM b QUALIFY pick <= 3""")
 
 
+def _classes(s, d):
+    """Why allocated relations are absent from the auxiliary graph; types fail where no supported pair with a relation of the graph is compatible."""
+    a = graph(s, d, "aux_edges")
+    absent = cut(_absent(s, d, a).select("relation"))
+    return Z.absent_classes(absent, triples(s, d), a, _chained(s, d, a))
+
+
+def _chained(s, d, a):
+    """Relations whose domain fits the range of a relation of ``a``, or whose range fits the domain of one; unknown types fit all."""
+    c = constraints(s, d)
+    own = c.join(a.select(F.col("r").alias("relation")).distinct(), "relation", "left_semi")
+    # one row: the types of a bounded number of relations
+    flat = lambda x: F.array_distinct(F.flatten(F.collect_list(x)))
+    whole = own.agg(flat("subjects").alias("_s"), flat("objects").alias("_o"), F.bool_or(F.col("subjects").isNull()).alias("_ns"), F.bool_or(F.col("objects").isNull()).alias("_no"), F.count(F.lit(1)).alias("_n"))
+    m = c.join(F.broadcast(whole), F.lit(True))
+    follows = F.col("subjects").isNull() | F.col("_no") | F.arrays_overlap("subjects", "_o")
+    leads = F.col("objects").isNull() | F.col("_ns") | F.arrays_overlap("objects", "_s")
+    return m.where((F.col("_n") > 0) & (follows | leads)).select("relation")
+
+
+_CHA = f"""{PROFILE_SQL}, ow AS (SELECT * FROM prof WHERE relation IN (SELECT r FROM aux)), chd AS (SELECT DISTINCT p.relation FROM prof p JOIN ow o ON p.subjects IS NULL OR o.objects IS NULL OR list_has_any(p.subjects, o.objects) OR p.objects IS NULL OR o.subjects IS NULL OR list_has_any(p.objects, o.subjects))"""
+R.add("absent_relation_classes", _classes, f"""WITH {TRIPLES_SQL}, {AUX_SQL}, {ALLOC_SQL}, {_CHA}, e AS MATERIALIZED (SELECT h AS v FROM aux UNION SELECT t FROM aux), ab AS (SELECT DISTINCT relation FROM alloc WHERE relation NOT IN (SELECT r FROM aux)),
+n AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE h IN (SELECT v FROM e) OR t IN (SELECT v FROM e)) AS k FROM k GROUP BY r)
+SELECT relation, coalesce(n, 0) AS candidates, coalesce(k, 0) AS touching, CASE WHEN coalesce(n, 0) = 0 THEN 'no_candidates' WHEN relation NOT IN (SELECT relation FROM chd) THEN 'types_fail' WHEN k = 0 THEN 'untouched' ELSE 'touching' END AS class FROM ab LEFT JOIN n ON r = relation""")
+R.add("chained_targets", lambda s, d: constraints(s, d).where(~F.col("target").eqNullSafe(F.lit("NO_WAY"))).join(_chained(s, d, graph(s, d, "aux_edges")), "relation", "left_semi").select("relation"), f"WITH {AUX_SQL}, {_CHA} SELECT relation FROM prof WHERE target IS DISTINCT FROM 'NO_WAY' AND relation IN (SELECT relation FROM chd)")
+_SAMPLE = """att AS MATERIALIZED (SELECT * FROM k WHERE h IN (SELECT v FROM e) OR t IN (SELECT v FROM e)), pl AS (SELECT h, r, t, CAST(row_number() OVER (PARTITION BY r ORDER BY md5(concat_ws('|', '7', h, r, t)), h, t) AS INTEGER) AS place FROM att)"""
+_ENT = f"WITH {TRIPLES_SQL}, {AUX_SQL}, e AS MATERIALIZED (SELECT h AS v FROM aux UNION SELECT t FROM aux), {_SAMPLE}"
+R.add("attached_sample", lambda s, d: Z.attached_sample(triples(s, d), T.entities(triples(s, d, "aux_edges")), 20, "7"), f"{_ENT} SELECT * FROM pl WHERE place <= 20")
+R.add("attached_exactly", lambda s, d: Z.attached_sample(triples(s, d), T.entities(triples(s, d, "aux_edges")), 50, "7", exact=True), f"{_ENT} SELECT * FROM pl WHERE place <= 50 AND r IN (SELECT r FROM pl WHERE place = 50)")
+
+
+def _growth(s, d):
+    """Candidate triples that the parts of the auxiliary graph with fewer than five entities could grow by."""
+    a, m = parts(s, d, "aux_edges")
+    small = m.join(G.component_sizes(m).where("entities < 5").select("component"), "component", "left_semi").select("node")
+    return Z.touching_parts(triples(s, d), a, small)
+
+
+R.add("small_parts_growth", _growth, f"{_AUX}, sm AS MATERIALIZED (SELECT v FROM ca WHERE label IN (SELECT label FROM ca GROUP BY label HAVING count(*) < 5)) SELECT h, r, t FROM k WHERE (h IN (SELECT v FROM sm) OR t IN (SELECT v FROM sm)) AND (h, r, t) NOT IN (SELECT (h, r, t) FROM aux)")
+
+
+def _scope(s, d):
+    """Candidate relations by whether they have a budget, only a profile, or neither."""
+    k = triples(s, d).groupBy(F.col("r").alias("relation")).agg(F.count(F.lit(1)).alias("n"))
+    known = lambda df, c: df.select("relation", F.lit(True).alias(c)).distinct()
+    m = k.join(known(allocations(s, d), "_a"), "relation", "left").join(known(constraints(s, d), "_p"), "relation", "left")
+    return m.select("relation", "n", F.when(F.col("_a"), "in_core").when(F.col("_p"), "in_universe").otherwise("out_of_scope").alias("scope"))
+
+
+R.add("relation_scope", _scope, f"WITH {TRIPLES_SQL}, {ALLOC_SQL} SELECT r AS relation, count(*) AS n, CASE WHEN r IN (SELECT relation FROM alloc) THEN 'in_core' WHEN r IN (SELECT property_id FROM relation_profiles) THEN 'in_universe' ELSE 'out_of_scope' END AS scope FROM k GROUP BY r")
+R.add("fetch_limits", lambda s, d: generic(s, d).join(allocations(s, d).groupBy("relation").agg(F.floor(F.sum("eta")).cast("long").alias("target")), "relation").select("relation", "target", N.fetch_limit(F.col("target"), F.col("genericity_bucket")).alias("fetch")), f"""WITH {_GEN} SELECT relation, CAST(floor(eta) AS BIGINT) AS target, CAST(least(20000, greatest(100, floor(eta) * CASE WHEN genericity_bucket = 'high' THEN 6 ELSE 3 END)) AS BIGINT) AS fetch FROM gen JOIN rel USING (relation)""")
+R.add("weights_dense", lambda s, d: M.dense(M.adjacency(P.pair_confidence(pair_rows(s, d)), 3), allocations(s, d).select("relation"), 0.5, 1.0), f"WITH {PAIRS_SQL}, {ALLOC_SQL}, n AS (SELECT DISTINCT relation FROM alloc) SELECT a.relation AS \"row\", b.relation AS col, greatest(coalesce(CASE WHEN total >= 3 THEN total END, 0.5), 1.0) AS value FROM n a, n b LEFT JOIN pairs ON r1 = a.relation AND r2 = b.relation".replace("greatest(coalesce(CASE WHEN total >= 3 THEN total END, 0.5), 1.0)", "CAST(greatest(coalesce(CASE WHEN total >= 3 THEN CAST(total AS DOUBLE) END, 0.5), 1.0) AS DOUBLE)"))
+
+
 # components
 def _selected(s, d):
     """Triples of the components with 5 nodes and 5 triples or more, the largest component left out, at most the 50 largest of them."""

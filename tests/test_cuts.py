@@ -27,7 +27,7 @@ def drawn():
     return sorted(e)
 
 
-@pytest.mark.parametrize("bound", [1000, 7])
+@pytest.mark.parametrize("bound", [1000, 25])
 def test_cuts_sides_and_crossing_pairs(spark, drawn, bound):
     df = spark.createDataFrame(drawn, "a string, b string")
     nodes = sorted({v for e in drawn for v in e})
@@ -49,7 +49,7 @@ def test_cuts_sides_and_crossing_pairs(spark, drawn, bound):
     k = spark.createDataFrame(sorted(set(pairs)), "h string, r string, t string")
     rows = [tuple(x) for x in C.crossing(k, df, bound=bound).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
-    if bound == 7:
+    if bound == 25:
         return
     some = sorted(bridge)[::2]
     assert {tuple(x) for x in C.crossing(k, df, spark.createDataFrame(some, "a string, b string"), bound).collect()} == {x for x in want if x[3:] in some}
