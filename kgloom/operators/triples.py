@@ -130,14 +130,16 @@ def common_neighbours(df: DataFrame, pairs: DataFrame) -> DataFrame:
 
     The neighbours of the end with fewer of them are looked up and probed as edges to the other end, so a hub is never expanded.
     """
-    d = simple_degrees(df)
-    p = pairs.select("a", "b").distinct()
-    da, db = d.select(F.col("entity").alias("a"), F.col("degree").alias("_da")), d.select(F.col("entity").alias("b"), F.col("degree").alias("_db"))
+    p = cut(pairs.select("a", "b").distinct())
+    ends = p.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    # both steps start at an end of a pair: from the one to a neighbour, from the other to the same
+    e = cut(neighbours(df).join(ends, "v", "left_semi"))
+    d = cut(e.groupBy("v").agg(F.count(F.lit(1)).alias("degree")))
+    da, db = d.select(F.col("v").alias("a"), F.col("degree").alias("_da")), d.select(F.col("v").alias("b"), F.col("degree").alias("_db"))
     both = p.join(da, "a").join(db, "b")
     swap = F.col("_da") > F.col("_db")
     probe = both.select("a", "b", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("other"))
-    e = neighbours(df)
-    wedge = probe.join(e, "v").select("a", "b", F.col("w").alias("v"), F.col("other").alias("w"))
+    wedge = probe.join(e, "v").select("a", "b", F.col("other").alias("v"), "w")
     hit = wedge.join(e, ["v", "w"], "left_semi").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return p.join(hit, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("common"))
 

@@ -115,9 +115,9 @@ SELECT h, r, t, max(kind) AS kind FROM (SELECT * FROM lo UNION ALL SELECT * FROM
 PATTERN_FLAGS = ("symmetric", "composition")
 
 
-def census(s, d):
+def census(s, d, k=None):
     """Every auxiliary triple with what decides on it: class, deficits, patterns, common neighbours, score."""
-    k, alloc = graph(s, d), allocations(s, d)
+    k, alloc = graph(s, d) if k is None else k, allocations(s, d)
     counts = T.relation_counts(k)
     aux = graph(s, d, "aux_edges")
     ent = T.entities(k)
@@ -148,8 +148,8 @@ R.add("additions_ranked", lambda s, d: rounded(census(s, d), "score", "relation_
 
 def _selected(s, d):
     """Additions a greedy pass accepts; 2,000 is the operator's budget. No end is new, so no addition makes a component."""
-    k = triples(s, d)
-    rows = rounded(census(s, d), "score", "relation_deficit", digits=6).where("new_entities = 0 AND score > 0").join(k, ["h", "r", "t"], "left_anti")
+    k = graph(s, d)
+    rows = rounded(census(s, d, k), "score", "relation_deficit", digits=6).where("new_entities = 0 AND score > 0").join(k, ["h", "r", "t"], "left_anti")
     order = [F.col("score").desc(), F.col("relation_deficit").desc(), F.col("r"), F.col("h"), F.col("t")]
     return B.select_additions(rows.select("h", "r", "t", "score", "relation_deficit"), T.relation_counts(k).withColumnRenamed("r", "relation"), allocations(s, d), 2000, order).drop("relation_deficit")
 
