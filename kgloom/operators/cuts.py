@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.operators.graph import bridges, components, rooted, spanning_forest, two_edge_components
-from kgloom.operators.unionfind import BOUND
+from kgloom.operators.unionfind import BOUND, LEAN
 from kgloom.session import cut
 
 
-def bridge_cuts(edges: DataFrame, bound: int = BOUND) -> tuple[DataFrame, DataFrame]:
+def bridge_cuts(edges: DataFrame, bound: int = LEAN) -> tuple[DataFrame, DataFrame]:
     """(cuts: a, b, root, pre, size, whole, side; walk: node, root, pre) of the ``edges``: below the bridge (a, b) lie the ``size`` nodes of the tree
     of ``root`` from place ``pre`` on, out of ``whole``; ``side`` is the smaller of both sides."""
     walk = cut(rooted(cut(spanning_forest(edges, bound)), bound))
@@ -37,7 +37,7 @@ def side_members(cuts: DataFrame, walk: DataFrame) -> DataFrame:
     return places.join(walk, ["root", "pre"]).select("a", "b", "node")
 
 
-def bridge_tree(edges: DataFrame, bound: int = BOUND) -> tuple[DataFrame, DataFrame]:
+def bridge_tree(edges: DataFrame, bound: int = LEAN) -> tuple[DataFrame, DataFrame]:
     """(member: node, part; tree: part, up, a, b, root, pre, size): the parts that no bridge holds together, and the forest that the bridges
     (a, b) make of them, each part with the part above it (NULL at a root), the place in the walk and the size of the subtree in parts."""
     found = cut(bridges(edges, bound).select("a", "b"))
@@ -91,7 +91,7 @@ def bridge_paths(pairs: DataFrame, member: DataFrame, tree: DataFrame) -> DataFr
     return every.join(tree.where("up IS NOT NULL").select(F.col("part").alias("at"), "a", "b"), "at").select("h", "t", "a", "b")
 
 
-def crossing(candidates: DataFrame, edges: DataFrame, tested: DataFrame | None = None, bound: int = BOUND) -> DataFrame:
+def crossing(candidates: DataFrame, edges: DataFrame, tested: DataFrame | None = None, bound: int = LEAN) -> DataFrame:
     """(h, r, t, a, b): candidates with both ends in one component of ``edges`` and the bridges (of ``tested`` (a, b), if given) whose sides they
     join. Adding the candidate makes up for the loss of any of these bridges."""
     member, tree = bridge_tree(edges, bound)
@@ -101,7 +101,7 @@ def crossing(candidates: DataFrame, edges: DataFrame, tested: DataFrame | None =
     return candidates.select("h", "r", "t").join(way, ["h", "t"]).select("h", "r", "t", "a", "b")
 
 
-def connected_after_swaps(swaps: DataFrame, edges: DataFrame, bound: int = BOUND) -> DataFrame:
+def connected_after_swaps(swaps: DataFrame, edges: DataFrame, bound: int = LEAN) -> DataFrame:
     """``swaps`` (a, b: an edge to remove; h, t: one to add) with ``whole``: do the ends of the removed edge stay connected? They do unless it is
     a bridge that the added edge doesn't make up for."""
     member, tree = bridge_tree(edges, bound)

@@ -12,7 +12,7 @@ from kgloom.operators.construct import loose
 from kgloom.operators.graph import articulation_points, bridges, components, simple_edges
 from kgloom.operators.skew import running_totals
 from kgloom.operators.triples import common_neighbours, entities, pair_counts, relation_counts, simple_degrees
-from kgloom.operators.unionfind import BOUND
+from kgloom.operators.unionfind import LEAN
 from kgloom.session import cut
 
 
@@ -56,7 +56,7 @@ def projected(triples: DataFrame) -> DataFrame:
     return m.select("h", "r", "t", F.when(left > 0, F.lit(n - 1) / left).otherwise(F.lit(0.0)).alias("triples_per_entity"), made.alias("low_degree_made"), paths.alias("two_paths_lost"))
 
 
-def removal_scores(triples: DataFrame, alloc: DataFrame, w: RemovalWeights = RemovalWeights(), bound: int = BOUND) -> DataFrame:
+def removal_scores(triples: DataFrame, alloc: DataFrame, w: RemovalWeights = RemovalWeights(), bound: int = LEAN) -> DataFrame:
     """(h, r, t, balance_gain, structural_penalty, score) of the triples whose removal is worth something (score above 0).
 
     Only triples that lower a surplus of a pattern or of their relation come into question, none of a protected pattern that is short. The
@@ -126,7 +126,7 @@ def broken_guards(triples: DataFrame, guards: Guards) -> list[str]:
     return [k for k, v in found.items() if v]
 
 
-def prune_scored(triples: DataFrame, alloc: DataFrame, batch: int | None = None, per_relation: int | None = None, guards: Guards = Guards(), w: RemovalWeights = RemovalWeights(), bound: int = BOUND) -> DataFrame:
+def prune_scored(triples: DataFrame, alloc: DataFrame, batch: int | None = None, per_relation: int | None = None, guards: Guards = Guards(), w: RemovalWeights = RemovalWeights(), bound: int = LEAN) -> DataFrame:
     """(h, r, t, turn, score) removed in rounds by descending score, renewed each round, until nothing scores or a round would break a guard (that
     round isn't applied).
 

@@ -63,6 +63,17 @@ def test_components_and_bridges(spark, seed):
     assert two == {(v, c) for v, c in find([(v, v) for v in ends] + list(pairs - bridge)).items()}
 
 
+def test_bridges_beyond_half_a_million_edges_need_no_rounds(spark):
+    from kgloom import session
+
+    n = 520_000
+    name = lambda i: F.format_string("%06d", i)
+    edges = session.cut(spark.range(n).select(name(F.col("id")).alias("a"), name(F.col("id") + 1).alias("b")))
+    written = len(session._written)
+    x = G.bridges(edges).agg(F.count(F.lit(1)), F.sum("side"), F.min("component_size"), F.countDistinct("a")).collect()[0]
+    assert tuple(x) == (n, sum(min(i, n + 1 - i) for i in range(1, n + 1)), n + 1, n) and len(session._written) == written
+
+
 def test_articulation_points(spark):
     k = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("d", "f"), ("f", "g"), ("x", "y"), ("y", "z"), ("x", "z"), ("b", "z1"), ("b", "z2"), ("z1", "z2")]
     r = random.Random(3)
