@@ -25,3 +25,10 @@ def test_components(path):
     written = len(session._written)
     x = G.components(path).agg(F.count(F.lit(1)), F.max("component")).collect()[0]
     assert tuple(x) == (N + 1, "000000") and len(session._written) == written + 2
+
+
+def test_rooted_spanning_forest(path):
+    tree = session.cut(G.spanning_forest(path))
+    written = len(session._written)
+    x = G.rooted(tree).agg(F.count(F.lit(1)), F.max("root"), F.count_if((F.col("pre") != F.col("node").cast("long")) | (F.col("size") + F.col("pre") != N + 1)), F.count("parent")).collect()[0]
+    assert tuple(x) == (N + 1, "000000", 0, N) and len(session._written) == written
