@@ -159,3 +159,11 @@ def test_inverse_candidates_move_no_implied_row(spark):
     # but for the pairs with several relations, which are few, nothing is moved once the pairs are gathered
     moves = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
     assert all("REPARTITION_BY_COL" in x for x in moves)
+
+
+def test_scored_removal_uses_the_searches_of_one_task():
+    import inspect
+
+    from kgloom.operators.unionfind import LEAN
+
+    assert all(inspect.signature(f).parameters["bound"].default == LEAN for f in (Y.removal_scores, Y.prune_scored))
