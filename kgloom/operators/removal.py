@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from kgloom.operators.allocate import by_membership, compare_patterns, compare_relations
 from kgloom.operators.construct import loose
-from kgloom.operators.graph import articulation_points, bridges, components, simple_edges
+from kgloom.operators.graph import _small, articulation_points, bridges, components, simple_edges
+from kgloom.operators.lowlink import removal_rows
 from kgloom.operators.skew import running_totals
 from kgloom.operators.triples import common_neighbours, entities, pair_counts, relation_counts, simple_degrees
 from kgloom.operators.unionfind import LEAN
@@ -64,14 +65,7 @@ def removal_scores(triples: DataFrame, alloc: DataFrame, w: RemovalWeights = Rem
     low degree and articulation points, less common neighbours and a short way round (another edge of the pair, or one common neighbour;
     longer ways aren't looked for). ``triples`` must be a set; bring a written table.
     """
-    counts = relation_counts(triples)
-    rel = compare_relations(counts, alloc).select(F.col("relation").alias("r"), F.floor("surplus").alias("_over"))
-    pat = compare_patterns(by_membership(counts, alloc), alloc).select("pattern", (F.col("surplus") > 0).alias("_s"), (F.col("deficit") > 0).alias("_d"))
-    own = alloc.select("pattern", F.col("relation").alias("r")).distinct().join(pat, "pattern").withColumn("_p", F.col("pattern").isin(*w.protected))
-    worth = F.sum(w.pattern_surplus * F.col("_s").cast("int") - w.pattern_deficit * F.col("_d").cast("int") - w.protected_pattern * F.col("_p").cast("int"))
-    own = own.groupBy("r").agg(worth.alias("_gain"), F.bool_or("_s").alias("_helps"), F.bool_or(F.col("_p") & F.col("_d")).alias("_short"))
-    r = own.join(rel, "r").where("(_helps OR _over >= 1) AND NOT _short")
-    r = cut(r.select("r", (F.col("_gain") + F.when(F.col("_over") >= 1, w.relation_excess * F.col("_over")).otherwise(F.lit(0.0))).alias("balance_gain")).where("balance_gain > 0"))
+    r = _worth(triples, alloc, w)
     m = triples.select("h", "r", "t").join(F.broadcast(r) if r.count() <= 100_000 else r, "r").withColumns({"a": F.least("h", "t"), "b": F.greatest("h", "t")})
     edges = cut(simple_edges(triples))
     d, cutting = cut(simple_degrees(triples)), cut(articulation_points(edges, bound).select("node"))
@@ -79,12 +73,17 @@ def removal_scores(triples: DataFrame, alloc: DataFrame, w: RemovalWeights = Rem
     m = m.join(common_neighbours(triples, m.where("a <> b").select("a", "b")), ["a", "b"], "left")
     for c in ("h", "t"):
         m = m.join(d.select(F.col("entity").alias(c), F.col("degree").alias(f"_d{c}")), c).join(cutting.select(F.col("node").alias(c), F.lit(True).alias(f"_a{c}")), c, "left")
-    common = F.coalesce("common", F.lit(0))
+    common, flag = F.coalesce("common", F.lit(0)), lambda c: F.col(c).isNotNull()
+    return _scored(m, common, flag("_bridge") & (F.col("n") <= 1), flag("_ah"), flag("_at"), w)
+
+
+def _scored(m: DataFrame, common: Column, bridge: Column, cuts_h: Column, cuts_t: Column, w: RemovalWeights) -> DataFrame:
+    """(h, r, t, balance_gain, structural_penalty, score) of rows with pair count n and degrees _dh and _dt, if the score is above 0."""
     way = F.when(F.col("n") > 1, 1).when(common > 0, 2)
     penalty = (
-        w.bridge * (F.col("_bridge").isNotNull() & (F.col("n") <= 1)).cast("int")
+        w.bridge * bridge.cast("int")
         + w.low_degree * ((F.col("_dh") <= w.low_degree_threshold).cast("int") + (F.col("_dt") <= w.low_degree_threshold).cast("int"))
-        + w.articulation * (F.col("_ah").isNotNull().cast("int") + F.col("_at").isNotNull().cast("int"))
+        + w.articulation * (cuts_h.cast("int") + cuts_t.cast("int"))
         - w.common_neighbour * F.least(common, F.lit(w.common_neighbour_cap))
         - w.cycle * F.coalesce(5 - way, F.lit(0))
     )
@@ -92,6 +91,38 @@ def removal_scores(triples: DataFrame, alloc: DataFrame, w: RemovalWeights = Rem
     return out.withColumn("score", F.round(F.col("balance_gain") - F.col("structural_penalty"), 6)).where("score > 0")
 
 
+def _worth(triples: DataFrame, alloc: DataFrame, w: RemovalWeights) -> DataFrame:
+    """(r, balance_gain) of the relations whose triples come into question."""
+    counts = relation_counts(triples)
+    rel = compare_relations(counts, alloc).select(F.col("relation").alias("r"), F.floor("surplus").alias("_over"))
+    pat = compare_patterns(by_membership(counts, alloc), alloc).select("pattern", (F.col("surplus") > 0).alias("_s"), (F.col("deficit") > 0).alias("_d"))
+    own = alloc.select("pattern", F.col("relation").alias("r")).distinct().join(pat, "pattern").withColumn("_p", F.col("pattern").isin(*w.protected))
+    worth = F.sum(w.pattern_surplus * F.col("_s").cast("int") - w.pattern_deficit * F.col("_d").cast("int") - w.protected_pattern * F.col("_p").cast("int"))
+    own = own.groupBy("r").agg(worth.alias("_gain"), F.bool_or("_s").alias("_helps"), F.bool_or(F.col("_p") & F.col("_d")).alias("_short"))
+    r = own.join(rel, "r").where("(_helps OR _over >= 1) AND NOT _short")
+    return cut(r.select("r", (F.col("_gain") + F.when(F.col("_over") >= 1, w.relation_excess * F.col("_over")).otherwise(F.lit(0.0))).alias("balance_gain")).where("balance_gain > 0"))
+
+
+def loose_scores(triples: DataFrame, over: DataFrame, alloc: DataFrame, w: RemovalWeights = RemovalWeights(), bound: int = LEAN) -> DataFrame:
+    """The rows of :func:`removal_scores` that :func:`loose` lets go for the relations in ``over`` (relation). ``triples`` must be a set.
+
+    Up to ``bound`` pairs one task searches the graph for all of it. No loose triple is a bridge alone, so bridges needn't be found then.
+    """
+    names = over.select(F.col("relation").alias("r"), F.lit(True).alias("_mine"))
+    k = triples.select("h", "r", "t", F.least("h", "t").alias("a"), F.greatest("h", "t").alias("b")).join(F.broadcast(names) if over.count() <= 100_000 else names, "r", "left")
+    k = k.withColumn("_mine", F.col("_mine").isNotNull())
+    pairs = cut(k.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.bool_or("_mine").alias("mine"), F.bool_or(~F.col("_mine")).alias("rest")))
+    if (one := _small(pairs, bound, "n", "mine", "rest")) is None:
+        return loose(triples, over).join(removal_scores(triples, alloc, w, bound), ["h", "r", "t"])
+    kind = pairs.schema["a"].dataType.simpleString()
+    seen = cut(one.mapInArrow(removal_rows, f"a {kind}, b {kind}, n long, _a {kind}, _b {kind}, _stays boolean, common long, _dh long, _dt long, _ah boolean, _at boolean"))
+    m = cut(k.where("_mine").drop("_mine").join(seen, ["a", "b"]).drop("a", "b"))
+    stays = m.where("_stays").groupBy("_a", "_b").agg(F.min(F.struct("r", "h", "t")).alias("x")).select("x.*")
+    r = _worth(triples, alloc, w)
+    m = m.join(F.broadcast(r) if r.count() <= 100_000 else r, "r").join(stays, ["h", "r", "t"], "left_anti")
+    return _scored(m, F.col("common"), F.lit(False), F.col("_ah"), F.col("_at"), w)
+
+
 @dataclass(frozen=True)
 class Guards:
     """What a round of pruning must leave; None doesn't bind."""
@@ -141,7 +172,7 @@ def prune_scored(triples: DataFrame, alloc: DataFrame, batch: int | None = None,
         over = cut(over.select("relation", room.alias("_cap")).where("_cap > 0"))
         if over.isEmpty():
             break
-        m = loose(left, over).join(removal_scores(left, alloc, w, bound), ["h", "r", "t"]).join(over.withColumnRenamed("relation", "r"), "r")
+        m = loose_scores(left, over, alloc, w, bound).join(over.withColumnRenamed("relation", "r"), "r")
         best = running_totals(m, ["r"], [F.col("score").desc(), F.col("h"), F.col("t")], total="_k").where("_k <= _cap").select("h", "r", "t", "score")
         if batch is not None:
             best = best.orderBy(F.col("score").desc(), "r", "h", "t").limit(batch)

@@ -167,3 +167,23 @@ def test_scored_removal_uses_the_searches_of_one_task():
     from kgloom.operators.unionfind import LEAN
 
     assert all(inspect.signature(f).parameters["bound"].default == LEAN for f in (Y.removal_scores, Y.prune_scored))
+
+
+def test_a_round_of_pruning_is_searched_in_one_task(spark, monkeypatch):
+    from kgloom import session
+    from kgloom.operators import lowlink
+    from kgloom.operators.construct import loose
+
+    monkeypatch.setattr(lowlink, "_PROBES", 7)
+    over = spark.createDataFrame([("r0",), ("r1",), ("r2",)], "relation string")
+    for seed, (nodes, rows, relations) in enumerate([(12, 60, 4), (40, 45, 4), (25, 60, 3), (9, 90, 5)]):
+        k = drawn(seed, nodes, rows, relations) + [("alone", "r1", "alone"), ("alone", "r0", "alone"), ("held", "r2", "held"), ("held", "r9", "held"), ("n1", "r0", "n1")]
+        df = session.cut(spark.createDataFrame(sorted(set(k)), K3))
+        alloc = spark.createDataFrame([("p", "r0", 2.0), ("p", "r1", 1.0), ("q", "r2", 3.0)], ALLOC)
+        w = Y.RemovalWeights(pattern_surplus=200.0)
+        written = len(session._written)
+        got = sorted(map(tuple, Y.loose_scores(df, over, alloc, w).collect()))
+        assert len(session._written) - written <= 4
+        assert got == sorted(map(tuple, loose(df, over).join(Y.removal_scores(df, alloc, w), ["h", "r", "t"]).collect())) and got
+    assert Y.loose_scores(df.limit(0), over, alloc).count() == 0
+    assert "loose_scores" in Y.prune_scored.__code__.co_names
